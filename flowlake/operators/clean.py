@@ -12,11 +12,29 @@ from flowlake.functions.numeric import binarize, blank_to_int, finite, to_int
 from flowlake.operators.ordering import forward_fill
 from flowlake.operators.quantiles import quantile_columns
 
-# Capture columns removed before modelling (identifiers, addresses, free text).
-CAPTURE_DROPS = (
-    "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "tunnel_parents", "fuid", "conn_uids",
-    "history", "ts",
-)
+# Capture columns dropped in the first and in the second cleaning step.
+CAPTURE_DROPS_FIRST = (
+    "peer metric_type prefix name labels label_values value mem events_proc events_queued timers active_timers "
+    "files active_files reassem_unknown_size unit trans_id software_type version.major version.minor version.addl "
+    "unparsed_version port_num port_proto gaps ack action size times.modified times.accessed times.created "
+    "times.changed mode stratum poll precision root_delay root_disp ref_id ref_time org_time rec_time xmt_time "
+    "num_exts notice source uids mac requested_addr msg_types fingerprint certificate.version certificate.serial "
+    "certificate.subject certificate.issuer certificate.not_valid_before certificate.not_valid_after "
+    "certificate.key_alg certificate.sig_alg certificate.key_type certificate.key_length certificate.exponent "
+    "san.dns basic_constraints.ca host_cert client_cert fuid depth analyzers mime_type resp_fuids resp_mime_types "
+    "cert_chain_fps client_cert_chain_fps subject issuer sni_matches_cert client_addr version.minor2 host_p note "
+    "msg sub src actions email_dest suppress_for direction level message location assigned_addr lease_time "
+    "host_name md5 sha1 extracted"
+).split()
+CAPTURE_DROPS_SECOND = (
+    "version curve server_name resumed established ssl_history addl user_agent certificate.curve referrer host "
+    "server cipher tags uri service client host_key query qclass qclass_name qtype qtype_name rcode rcode_name AA "
+    "TC RD RA Z answers TTLs rejected compression_alg host_key_alg orig_fuids orig_mime_types origin cause "
+    "analyzer_kind analyzer_name failure_reason analyzer next_protocol id hashAlgorithm issuerNameHash "
+    "issuerKeyHash serialNumber certStatus thisUpdate nextUpdate version.minor3 last_alert proxied request_type "
+    "till forwardable renewable cookie cert_count dst p tunnel_type status request.host request_p bound.host "
+    "bound_p client_scid failure_data san.ip resp_filenames"
+).split()
 
 
 def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -125,11 +143,13 @@ def cap_outliers(df: DataFrame, caps: Mapping[str, float]) -> DataFrame:
     return df.withColumns(out)
 
 
-def features_and_label(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """One ``features`` array plus ``label`` (null when the table is unlabeled)."""
+def features_and_label(
+    df: DataFrame, features: Sequence[str], label: str = "label", keep: Sequence[str] = ()
+) -> DataFrame:
+    """One ``features`` array plus ``label`` (null when the table is unlabeled) and the kept keys."""
     y = F.col(label) if label in df.columns else F.lit(None).cast("int")
     return df.select(
-        F.array(*[F.col(c).cast("double") for c in features]).alias("features"), y.alias("label")
+        *keep, F.array(*[F.col(c).cast("double") for c in features]).alias("features"), y.alias("label")
     )
 
 

@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 
 from flowlake.operators.encode import class_weights_join
 
-_ALL = Window.partitionBy(F.lit(0))
 # Beta of the effective-number weights, and the guard added to counts.
 EFFECTIVE_BETA = 0.9999
 COUNT_GUARD = 1e-8
 
 
+def _classes():
+    """Window over the class table: one row per class."""
+    return Window.partitionBy(F.lit(0))
+
+
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"))
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Count, frequency, imbalance ratio and entropy, the last two repeated per class."""
-    counts = class_counts(df, label).withColumn("frequency", F.col("n") / F.sum("n").over(_ALL))
-    return counts.withColumn("imbalance_ratio", F.max("n").over(_ALL) / F.min("n").over(_ALL)).withColumn(
-        "entropy", -F.sum(F.col("frequency") * F.ln(F.col("frequency") + F.lit(COUNT_GUARD))).over(_ALL)
+    counts = class_counts(df, label).withColumn("frequency", F.col("n") / F.sum("n").over(_classes()))
+    return counts.withColumn("imbalance_ratio", F.max("n").over(_classes()) / F.min("n").over(_classes())).withColumn(
+        "entropy", -F.sum(F.col("frequency") * F.ln(F.col("frequency") + F.lit(COUNT_GUARD))).over(_classes())
     )
 
 
 def _raw_weight(method: str, n: Column) -> Column:
     if method == "balanced":
-        return F.sum("n").over(_ALL) / (F.count("*").over(_ALL) * n)
+        return F.sum("n").over(_classes()) / (F.count("*").over(_classes()) * n)
     if method == "inverse":
         return F.lit(1.0) / (n + F.lit(COUNT_GUARD))
     if method == "sqrt_inverse":
@@ -44,7 +48,7 @@ def class_weights(df: DataFrame, label: str, method: str = "balanced", power: fl
     counts = class_counts(df, label)
     raised = counts.withColumn("_w", F.pow(_raw_weight(method, F.col("n")), F.lit(power)))
     return raised.withColumn(
-        "weight", F.col("_w") * F.count("*").over(_ALL) / F.sum("_w").over(_ALL)
+        "weight", F.col("_w") * F.count("*").over(_classes()) / F.sum("_w").over(_classes())
     ).drop("_w")
 
 
@@ -56,7 +60,7 @@ def balanced_sample_weights(df: DataFrame, label: str, out: str = "weight") -> D
 
 def focal_recommendation(df: DataFrame, label: str) -> DataFrame:
     """Focal gamma from the imbalance ratio, alpha from the balanced class weights."""
-    ratio = F.max("n").over(_ALL) / F.min("n").over(_ALL)
+    ratio = F.max("n").over(_classes()) / F.min("n").over(_classes())
     gamma = F.when(ratio < 2, 1.0).when(ratio < 5, 2.0).when(ratio < 10, 3.0).otherwise(4.0)
     return (
         class_weights(df, label)

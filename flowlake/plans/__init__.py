@@ -6,7 +6,7 @@ import importlib
 
 from flowlake.plans.registry import ORACLES, QUERIES
 
-_FAMILIES = ("splitting",)
+_FAMILIES = ("splitting", "cleaning")
 
 
 def load_all() -> None:
