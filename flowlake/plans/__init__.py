@@ -6,7 +6,7 @@ import importlib
 
 from flowlake.plans.registry import ORACLES, QUERIES
 
-_FAMILIES = ("splitting", "cleaning")
+_FAMILIES = ("splitting", "cleaning", "profiling", "evaluation")
 
 
 def load_all() -> None:
