@@ -16,12 +16,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import finite
 from flowlake.operators.model import NODE_SCHEMA, BoostModel, Tree, leaf_sums
-from flowlake.sources.durable import Slots
+from flowlake.sources.durable import Slots, spread
 
 MAX_BINS = 32
 _MIN_HESSIAN = 1e-16
@@ -97,7 +97,7 @@ def prepare(
     )
     trees = start.trees if start else []
     schema = "row_id bigint, client int, label int, weight double, is_val boolean, bins array<smallint>, margin array<double>"
-    binned = rows.mapInArrow(_binner(edges, trees, classes, tracks), schema)
+    binned = spread(rows).mapInArrow(_binner(edges, trees, classes, tracks), schema)
     slots = Slots(df.sparkSession, "boost")
     return BoostData(slots.put(binned), list(features), edges, classes, tracks, slots)
 
@@ -253,81 +253,58 @@ def _histograms(data: BoostData, params: dict[int, BoostParams], growing: list[_
 _CELLS = "track int, client int, class int, node bigint, feat int, bin int, g double, h double"
 
 
-def _objective(g: Column, h: Column, alpha: Column, lam: Column) -> Column:
-    """Structure score G^2 / (H + lambda) with the L1 threshold on G."""
-    shrunk = F.greatest(F.abs(g) - alpha, F.lit(0.0))
-    return shrunk * shrunk / (h + lam)
+_NODE = "track, client, class, node"
+# {cells} holds the tasks' partial sums; p_* are the parameters of a row's track.
+# Bin -1 counts missing values: every cut is tried with them on the right and on the left.
+_BEST_SPLITS = """
+with cell as (
+  select {node}, feat, bin, sum(g) as g, sum(h) as h from {{cells}} group by {node}, feat, bin),
+known as (
+  select *, if(bin >= 0, g, 0D) as gk, if(bin >= 0, h, 0D) as hk from cell),
+prefix as (
+  select {node}, feat, bin,
+    sum(gk) over upto as g_left, sum(hk) over upto as h_left,
+    sum(g - gk) over feature as g_miss, sum(h - hk) over feature as h_miss,
+    sum(g) over feature as g_all, sum(h) over feature as h_all
+  from known
+  window feature as (partition by {node}, feat),
+    upto as (partition by {node}, feat order by bin rows between unbounded preceding and current row)),
+cut as (
+  select {node}, feat, bin, g_all, h_all, miss_left, gl, hl, g_all - gl as gr, h_all - hl as hr,
+    {reg_lambda} as p_lambda, {reg_alpha} as p_alpha, {gamma} as p_gamma, {min_child_weight} as p_least
+  from prefix
+  lateral view inline(array(named_struct('m', false, 'gl', g_left, 'hl', h_left),
+    named_struct('m', true, 'gl', g_left + g_miss, 'hl', h_left + h_miss))) side as miss_left, gl, hl),
+scored as (
+  select *, if(bin >= 0 and hl >= greatest(p_least, 1e-12D) and hr >= greatest(p_least, 1e-12D),
+    round(0.5D * (pow(greatest(abs(gl) - p_alpha, 0D), 2) / (hl + p_lambda)
+      + pow(greatest(abs(gr) - p_alpha, 0D), 2) / (hr + p_lambda)
+      - pow(greatest(abs(g_all) - p_alpha, 0D), 2) / (h_all + p_lambda)) - p_gamma, 9), null) as gain
+  from cut),
+best as (
+  select {node}, max(named_struct('gain', gain, 'feat', -feat, 'bin', -bin, 'right', not miss_left, 'gl', gl, 'hl', hl)) as b,
+    max(g_all) as g, max(h_all) as h
+  from scored group by {node})
+select {node}, b.gain as gain, -b.feat as feat, -b.bin as bin, not b.right as miss_left, b.gl as gl, b.hl as hl, g, h from best
+"""
 
 
-def best_splits(cells: DataFrame, params: dict[int, BoostParams]) -> DataFrame:
-    """Best split of every measured node from the summed histograms.
+def best_splits(partial: DataFrame, params: dict[int, BoostParams]) -> DataFrame:
+    """Best split of every measured node from the tasks' partial histograms.
 
-    Bin -1 holds missing values; each cut is tried with them on either side. Ties go to
-    the smaller (feature, bin). Windows run over the bins of one feature of one node.
+    The windows run over the bins of one feature of one node. Gains are rounded so that
+    summation order cannot decide between equal ones; ties go to the smaller (feature, bin).
     """
 
-    def of(name: str) -> Column:
-        pairs = [x for t, p in params.items() for x in (F.lit(t), F.lit(float(getattr(p, name))))]
-        return F.create_map(*pairs)[F.col("track")]
-
-    node = ["track", "client", "class", "node"]
-    per_feature = Window.partitionBy(*node, "feat")
-    known = F.col("bin") >= 0
-    upto = per_feature.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-
-    def sums(c: str) -> dict[str, Column]:
-        seen = F.when(known, F.col(c)).otherwise(0.0)
-        return {
-            f"{c}_left": F.sum(seen).over(upto),
-            f"{c}_miss": F.sum(F.when(known, 0.0).otherwise(F.col(c))).over(per_feature),
-            f"{c}_all": F.sum(c).over(per_feature),
-        }
-
-    s = cells.select("*", *[e.alias(n) for c in ("g", "h") for n, e in sums(c).items()])
-    alpha, lam = of("reg_alpha"), of("reg_lambda")
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(False).alias("miss_left"), F.col("g_left").alias("gl"), F.col("h_left").alias("hl")),
-            F.struct(
-                F.lit(True).alias("miss_left"),
-                (F.col("g_left") + F.col("g_miss")).alias("gl"),
-                (F.col("h_left") + F.col("h_miss")).alias("hl"),
-            ),
-        )
-    ).alias("side")
-    cut = s.select(*node, "feat", "bin", "g_all", "h_all", sides).select(
-        *node, "feat", "bin", "g_all", "h_all", "side.miss_left", "side.gl", "side.hl"
-    )
-    gr, hr = F.col("g_all") - F.col("gl"), F.col("h_all") - F.col("hl")
-    least = of("min_child_weight")
-    allowed = (F.col("bin") >= 0) & (F.col("hl") >= least) & (hr >= least) & (F.col("hl") > 0) & (hr > 1e-12)
-    gain = F.when(
-        allowed,
-        0.5
-        * (
-            _objective(F.col("gl"), F.col("hl"), alpha, lam)
-            + _objective(gr, hr, alpha, lam)
-            - _objective(F.col("g_all"), F.col("h_all"), alpha, lam)
-        )
-        - of("gamma"),
-    )
-    # rounding keeps summation order from deciding between equal gains
-    scored = cut.withColumn("gain", F.round(gain, 9))
-    choice = F.struct(
-        F.col("gain"), -F.col("feat"), -F.col("bin"), (~F.col("miss_left")).alias("plain"), "gl", "hl", "g_all", "h_all"
-    )
-    best = scored.groupBy(*node).agg(F.max(choice).alias("b"), F.max("g_all").alias("g0"), F.max("h_all").alias("h0"))
-    return best.select(
-        *node,
-        F.col("b.gain").alias("gain"),
-        (-F.col("b.col2")).alias("feat"),
-        (-F.col("b.col3")).alias("bin"),
-        (~F.col("b.plain")).alias("miss_left"),
-        F.col("b.gl").alias("gl"),
-        F.col("b.hl").alias("hl"),
-        F.col("g0").alias("g"),
-        F.col("h0").alias("h"),
-    )
+    def of(name: str) -> str:
+        pairs = ", ".join(f"{t}, {float(getattr(p, name))!r}D" for t, p in params.items())
+        return f"map({pairs})[track]"
+
+    names = ("reg_lambda", "reg_alpha", "gamma", "min_child_weight")
+    text = _BEST_SPLITS.format(node=_NODE, **{n: of(n) for n in names})
+    # tasks already combined their rows, so the sums can be taken where the windows need them
+    placed = partial.repartition("track", "client", "class", "node", "feat")
+    return partial.sparkSession.sql(text, cells=placed)
 
 
 def _leaf(p: BoostParams, g: float, h: float) -> float:
@@ -353,15 +330,14 @@ def grow_round(
         for c in clients
         for k in range(data.classes)
     }
-    train = data.rows.where(~F.col("is_val"))
+    train = data.rows.where(~F.col("is_val")).drop("is_val")
     options: dict[tuple, dict[int, tuple]] = {key: {} for key in growing}
     while True:
         todo = [g for g in growing.values() if g.measure]
         if not todo:
             break
         kernel = _histograms(data, params, todo, pending, turn)
-        cells = train.mapInArrow(kernel, _CELLS).groupBy("track", "client", "class", "node", "feat", "bin")
-        found = best_splits(cells.agg(F.sum("g").alias("g"), F.sum("h").alias("h")), params).collect()
+        found = best_splits(train.mapInArrow(kernel, _CELLS), params).collect()
         for item in todo:
             item.measure = []
         for r in found:
@@ -429,64 +405,86 @@ def _judge(data: BoostData, judged: Sequence[int], pending: list[Tree]):
     features, classes, tracks = len(data.features), data.classes, data.tracks
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {t: [np.zeros(classes * classes), np.zeros(classes * classes)] for t in judged}
+        total: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             bins = _matrix(batch.column("bins"), features, np.int64)
             margin = _matrix(batch.column("margin"), tracks * classes, float)
             label = batch.column("label").to_numpy()
+            client = batch.column("client").to_numpy()
             for t in judged:
                 mine = [x for x in pending if x.track == t]
                 m = margin[:, t * classes : (t + 1) * classes] + leaf_sums(mine, classes, bins)
                 m = m - m.max(axis=1, keepdims=True)
                 logp = m[np.arange(len(label)), label] - np.log(np.exp(m).sum(axis=1))
                 cell = label * classes + m.argmax(axis=1)
-                total[t][0] += np.bincount(cell, minlength=classes * classes)
-                total[t][1] += np.bincount(cell, -logp, minlength=classes * classes)
-        for t, (n, loss) in total.items():
+                for c in np.unique(client):
+                    own = client == c
+                    sums = total.setdefault((t, int(c)), [np.zeros(classes * classes) for _ in range(2)])
+                    sums[0] += np.bincount(cell[own], minlength=classes * classes)
+                    sums[1] += np.bincount(cell[own], -logp[own], minlength=classes * classes)
+        for (t, c), (n, loss) in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(at), t, np.int32)),
+                    pa.array(np.full(len(at), c, np.int32)),
                     pa.array((at // classes).astype(np.int32)),
                     pa.array((at % classes).astype(np.int32)),
                     pa.array(n[at].astype(np.int64)),
                     pa.array(loss[at]),
                 ],
-                names=["track", "true_class", "pred_class", "n", "loss"],
+                names=["track", "client", "true_class", "pred_class", "n", "loss"],
             )
 
     return run
 
 
-def validate(data: BoostData, tracks: Sequence[int], pending: list[Tree], client: int | None = None) -> DataFrame:
-    """Validation cells (track, true_class, pred_class, n, loss) of the model so far."""
-    rows = data.rows.where("is_val")
-    if client is not None:
-        rows = rows.where(F.col("client") == client)
-    cells = rows.mapInArrow(
-        _judge(data, tracks, pending), "track int, true_class int, pred_class int, n bigint, loss double"
+def validate(data: BoostData, tracks: Sequence[int], pending: list[Tree]) -> DataFrame:
+    """Validation cells (track, client, true_class, pred_class, n, loss) of the model so far."""
+    cells = data.rows.where("is_val").mapInArrow(
+        _judge(data, tracks, pending),
+        "track int, client int, true_class int, pred_class int, n bigint, loss double",
+    )
+    return cells.groupBy("track", "client", "true_class", "pred_class").agg(
+        F.sum("n").alias("n"), F.sum("loss").alias("loss")
     )
-    return cells.groupBy("track", "true_class", "pred_class").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
 
 
-def track_scores(cells: DataFrame) -> DataFrame:
-    """Per track: weighted scores, mlogloss and the trial objective.
+def track_scores(cells: DataFrame, by: Sequence[str] = ("track",)) -> DataFrame:
+    """Weighted scores, mlogloss and the trial objective per group of validation cells.
 
-    The objective is the weighted f1 (accuracy for two classes); a track without a result scores 0.
+    The objective is the weighted f1 (accuracy when only two classes occur).
     """
     from flowlake.operators.metrics import summary
 
-    losses = cells.groupBy("track").agg(
+    by = list(by)
+    summed = cells.groupBy(*by, "true_class", "pred_class").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+    losses = summed.groupBy(*by).agg(
         (F.sum("loss") / F.sum("n")).alias("mlogloss"),
         F.greatest(F.max("true_class"), F.max("pred_class")).alias("_top"),
     )
-    scored = summary(cells.select("track", "true_class", "pred_class", "n"), ["track"]).join(losses, "track")
+    scored = summary(summed, by).join(losses, by)
     objective = F.when(F.col("_top") <= 1, F.col("accuracy")).otherwise(F.col("f1"))
     return scored.withColumn("objective", F.coalesce(F.nanvl(objective, F.lit(0.0)), F.lit(0.0))).drop("_top")
 
 
+def cell_scores(cells: Sequence[Row], classes: int) -> dict[str, float]:
+    """Loss, accuracy and weighted f1 of one model's validation cells (at most clients * classes^2 rows)."""
+    counts = np.zeros((classes, classes))
+    for c in cells:
+        counts[c["true_class"], c["pred_class"]] += c["n"]
+    total, hits = counts.sum(), counts.diagonal()
+    both = counts.sum(axis=0) + counts.sum(axis=1)
+    f1 = np.divide(2 * hits, both, out=np.zeros(classes), where=both > 0)
+    return {
+        "mlogloss": float(sum(c["loss"] for c in cells) / total),
+        "accuracy": float(hits.sum() / total),
+        "f1": float((f1 * counts.sum(axis=1)).sum() / total),
+    }
+
+
 @dataclass
 class Trainer:
     """Rounds over one prepared table. Margins are rewritten every ``keep_every`` rounds;
@@ -500,6 +498,10 @@ class Trainer:
     turn: int = 0
     _since: int = 0
 
+    def __post_init__(self) -> None:
+        # own margin tables: the prepared table stays as it is for the next trainer
+        self.data = replace(self.data, slots=Slots(self.data.rows.sparkSession, "margins"))
+
     def round(self, clients: Sequence[int] = (0,), local_rounds: int = 1, tracks: Sequence[int] | None = None) -> list[Tree]:
         """Let the clients train ``local_rounds`` from the current model, then append all their trees."""
         params = {t: self.params[t] for t in (tracks if tracks is not None else self.params)}
@@ -527,14 +529,10 @@ class Trainer:
         before = start.trees if start else []
         shift = 1 + max((t.turn for t in before), default=-1)
         return BoostModel(
-            self.data.features, self.data.classes, before + [replace_turn(t, t.turn + shift) for t in self.trees]
+            self.data.features, self.data.classes, before + [replace(t, turn=t.turn + shift) for t in self.trees]
         )
 
 
-def replace_turn(tree: Tree, turn: int) -> Tree:
-    return replace(tree, turn=turn)
-
-
 def fit(
     data: BoostData, params: BoostParams, patience: int | None = None, start: BoostModel | None = None
 ) -> tuple[BoostModel, list[dict]]:
@@ -547,9 +545,9 @@ def fit(
         trainer.round(clients)
         if patience is None:
             continue
-        row = trainer.scores().first()
-        loss = row["mlogloss"]
-        history.append({"round": number, "mlogloss": loss, "accuracy": row["accuracy"], "f1": row["f1"]})
+        record = cell_scores(validate(trainer.data, [0], trainer.pending).collect(), data.classes)
+        loss = record["mlogloss"]
+        history.append({"round": number, **record})
         if loss < best:
             best, best_at = loss, number
         elif number - best_at >= patience:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlake.functions.numeric import binarize, blank_to_int, finite, to_int
-from flowlake.operators.ordering import forward_fill
+from flowlake.operators.ordering import forward_fill, label_last_n
 from flowlake.operators.quantiles import quantile_columns
 
 # Capture columns dropped in the first and in the second cleaning step.
@@ -91,6 +91,12 @@ def fill_then_drop(df: DataFrame, columns: Sequence[str], order: Sequence[str |
     return forward_fill(df, columns, order).dropna(subset=list(columns))
 
 
+def label_flag_last(df: DataFrame, order: Sequence[str], n: int = 10, out: str = "label") -> DataFrame:
+    """0 everywhere, 1 on the last ``n`` rows by the (numeric) order columns."""
+    latest = [F.col(f"`{c}`").cast("double").desc() for c in order]
+    return label_last_n(df, order[-1], latest, n, out)
+
+
 def clamp_labels(df: DataFrame, label: str, classes: int, out: str = "clamped") -> DataFrame:
     """Labels forced into [0, classes-1]; ``out_of_range`` marks the rows that changed."""
     c = F.col(label)

@@ -43,3 +43,11 @@ def early_stop(history: DataFrame, by: Sequence[str] = (), loss: str = "loss", p
         .withColumn("stop", F.col("stale_rounds") >= patience)
         .drop("_no", "_improved")
     )
+
+
+def has_converged(losses: Sequence[float | None], patience: int = 3, min_delta: float = 0.001) -> bool:
+    """The ``converged`` rule for the losses of a running driver loop."""
+    if len(losses) < patience + 1:
+        return False
+    recent = [float("inf") if v is None else v for v in losses[-patience - 1 :]]
+    return all(a - b < min_delta for a, b in zip(recent, recent[1:]))

@@ -28,8 +28,8 @@ def _best_in_block(k: int):
         columns = ["id", "neighbour", "distance", "vector"]
         if seeds.empty or others.empty:
             return pd.DataFrame(columns=columns)
-        a, b = np.vstack(seeds["x"].to_numpy()), np.vstack(others["x"].to_numpy())
-        ids = others["id"].to_numpy()
+        a, b = np.vstack(seeds["x"].to_numpy()), np.vstack(others["other_x"].to_numpy())
+        ids = others["other"].to_numpy()
         out: dict[str, list] = {c: [] for c in columns}
         for seed, x in zip(seeds["id"].to_numpy(), a):
             gap = np.sqrt(((b - x) ** 2).sum(axis=1))
@@ -60,11 +60,14 @@ def same_class_neighbours(
         F.sequence(F.lit(0), F.col("_blocks") - 1).alias("_all"),
     )
     seeds = rows.select("id", "cls", "x", F.col("_own").alias("i"), F.explode("_all").alias("j"))
-    others = rows.select("id", "cls", "x", F.col("_own").alias("j"), F.explode("_all").alias("i"))
+    others = rows.select(
+        F.col("id").alias("other"), F.col("cls").alias("other_cls"), F.col("x").alias("other_x"),
+        F.explode("_all").alias("other_i"), F.col("_own").alias("other_j"),
+    )
     id_type = df.schema[key].dataType.simpleString()
     pairs = (
         seeds.groupBy("cls", "i", "j")
-        .cogroup(others.groupBy("cls", "i", "j"))
+        .cogroup(others.groupBy("other_cls", "other_i", "other_j"))
         .applyInPandas(
             _best_in_block(k), f"id {id_type}, neighbour {id_type}, distance double, vector array<double>"
         )

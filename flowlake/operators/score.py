@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlake.functions import scores as S
+from flowlake.operators import curves, metrics
+from flowlake.operators.clean import null_extremes
 from flowlake.operators.encode import CLASS_NAMES, class_name
+from flowlake.operators.model import BoostModel, predict
+from flowlake.sources.durable import durable
 
 
 def decide(df: DataFrame, raw: str, names: Mapping[int, str] = CLASS_NAMES) -> DataFrame:
@@ -36,3 +41,51 @@ def decide(df: DataFrame, raw: str, names: Mapping[int, str] = CLASS_NAMES) -> D
     return df.withColumn("predicted_label", F.bround(raw, 0).cast("int")).withColumn(
         "prediction_type", class_name("predicted_label", names)
     )
+
+
+def score_table(
+    df: DataFrame,
+    model: BoostModel,
+    label: str | None = None,
+    keep: Sequence[str] = (),
+    names: Mapping[int, str] = CLASS_NAMES,
+) -> DataFrame:
+    """Predictions of a saved model: label, name, confidence, probabilities and, if known, the truth.
+
+    Unlabelled tables are cleaned first (infinite and extreme values become missing).
+    """
+    rows = df if label else null_extremes(df, model.features)
+    scored = decide(predict(rows, model, "probs"), "probs", names)
+    columns = [*keep, "predicted_label", "prediction_type", "prediction_score", "probs"]
+    if label:
+        scored = scored.withColumn("true_label", F.col(label).cast("int"))
+        columns.append("true_label")
+    return scored.select(*columns)
+
+
+def evaluate_scored(scored: DataFrame, classes: int) -> dict[str, DataFrame]:
+    """All evaluation tables of one scored, labelled table, which is written once and read by each."""
+    rows = durable(scored, "scored")
+    cells = metrics.confusion(rows, "true_label", "predicted_label", classes)
+    counts = curves.threshold_counts(rows, "probs", "true_label", classes, digits=6)
+    return {
+        "confusion": cells,
+        "summary": metrics.summary(cells),
+        "per_class": metrics.per_class(cells),
+        "report": metrics.report(cells),
+        "log_loss": metrics.log_loss(rows, "probs", "true_label", classes),
+        "roc_auc": curves.roc_auc(counts),
+        "pr_area": curves.pr_area(counts),
+        "class_totals": metrics.class_totals(rows, "true_label", "predicted_label"),
+        "true_class_histogram": metrics.true_class_histogram(rows, "probs", "true_label"),
+    }
+
+
+def evaluate_rounds(
+    df: DataFrame, model: BoostModel, label: str, keep: Sequence[str] = (), every: int = 1
+) -> Iterator[tuple[int, dict[str, DataFrame]]]:
+    """Central evaluation after each turn of the model; turn 0, the untrained model, is skipped."""
+    last = max((t.turn for t in model.trees), default=-1)
+    for turn in range(0, last + 1, every):
+        partial = replace(model, trees=[t for t in model.trees if t.turn <= turn])
+        yield turn + 1, evaluate_scored(score_table(df, partial, label, keep), model.classes)

@@ -178,3 +178,25 @@ def classified_events(spark: SparkSession, folder: str) -> DataFrame:
         code.alias("label"),
         F.when(F.col("value") < 20, code).otherwise((F.floor("value") % 5).cast("int")).alias("pred"),
     )
+
+
+# line items as classified flows: seven features, a label that depends on two of them, an owner
+FLOW_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "l_partkey"]
+FLOW_CLASSES = 5
+FLOW_LABEL = (
+    "case when l_extendedprice * (1 - l_discount) < 20000 then 0 "
+    "when l_extendedprice * (1 - l_discount) < 50000 then case when l_quantity < 25 then 1 else 2 end "
+    "when l_quantity < 25 then 3 else 4 end"
+)
+FLOW_ID = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+
+
+def flows(spark: SparkSession, folder: str) -> DataFrame:
+    """flow_id, label 0..4, client 0..4, held_out, and the features."""
+    return table(spark, folder, "lineitem").selectExpr(
+        f"{FLOW_ID} as flow_id",
+        f"cast({FLOW_LABEL} as int) as label",
+        "cast(l_suppkey % 5 as int) as client",
+        f"substr(md5({FLOW_ID}), 1, 1) < '3' as held_out",
+        *FLOW_FEATURES,
+    )

@@ -53,3 +53,12 @@ def counted_broadcast(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     splits hot keys.
     """
     return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least as many partitions as cores, for row-wise work in Python on few-split inputs.
+
+    Inputs with enough splits (any large table) pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
