@@ -14,18 +14,31 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value once for a lambda that would otherwise recompute it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _exp_shifted(s: Column) -> Column:
+    return _let(F.array_max(s), lambda m: F.transform(s, lambda v: F.exp(v - m)))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
 def softmax(scores: str | Column) -> Column:
     """Softmax of an array, shifted by its maximum."""
-    s = _c(scores)
-    raised = F.transform(s, lambda v: F.exp(v - F.array_max(s)))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(raised, lambda v: v / total)
+    return _let(
+        _exp_shifted(_c(scores)), lambda raised: _let(_total(raised), lambda t: F.transform(raised, lambda v: v / t))
+    )
 
 
 def log_softmax(scores: str | Column) -> Column:
     s = _c(scores)
-    total = F.aggregate(s, F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max(s)))
-    return F.transform(s, lambda v: v - F.array_max(s) - F.ln(total))
+    return _let(
+        F.array_max(s) + F.ln(_total(_exp_shifted(s))), lambda shift: F.transform(s, lambda v: v - shift)
+    )
 
 
 def argmax(scores: str | Column) -> Column:

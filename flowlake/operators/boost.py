@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import finite
-from flowlake.operators.model import NODE_SCHEMA, BoostModel, Tree, leaf_sums
+from flowlake.operators.model import NODE_SCHEMA, BoostModel, Tree, leaf_sums, list_array, matrix_of, softmax_rows
 from flowlake.sources.durable import Slots, spread
 
 MAX_BINS = 32
@@ -63,7 +63,7 @@ class BoostData:
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int = MAX_BINS) -> list[list[float]]:
     """Ascending distinct cut points per feature from one approximate-percentile pass."""
     probs = [i / bins for i in range(1, bins)]
-    row = df.agg(*[F.percentile_approx(finite(c).cast("double"), probs, 10_000).alias(f"e{i}") for i, c in enumerate(features)])
+    row = df.agg(*[F.percentile_approx(finite(c).cast("double"), probs, bins * 32).alias(f"e{i}") for i, c in enumerate(features)])
     found = row.first()
     return [sorted(set(found[f"e{i}"] or [])) for i in range(len(features))]
 
@@ -102,17 +102,6 @@ def prepare(
     return BoostData(slots.put(binned), list(features), edges, classes, tracks, slots)
 
 
-def _matrix(column, width: int, kind) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return np.asarray(values, dtype=kind).reshape(-1, width)
-
-
-def _listed(matrix: np.ndarray) -> pa.Array:
-    n, width = matrix.shape
-    offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
-
-
 def _binner(edges, trees: list[Tree], classes: int, tracks: int):
     cuts = [np.asarray(e, dtype=float) for e in edges]
 
@@ -120,14 +109,14 @@ def _binner(edges, trees: list[Tree], classes: int, tracks: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("x"), len(cuts), float)  # nulls arrive as NaN
+            x = matrix_of(batch.column("x"), len(cuts), float)  # nulls arrive as NaN
             bins = np.empty(x.shape, dtype=np.int16)
             for f, cut in enumerate(cuts):
                 bins[:, f] = np.where(np.isnan(x[:, f]), -1, np.searchsorted(cut, x[:, f], side="left"))
             margin = np.tile(leaf_sums(trees, classes, x, raw=True), (1, tracks))
             kept = [batch.column(c) for c in ("row_id", "client", "label", "weight", "is_val")]
             yield pa.RecordBatch.from_arrays(
-                [*kept, _listed(bins), _listed(margin)],
+                [*kept, list_array(bins), list_array(margin)],
                 names=["row_id", "client", "label", "weight", "is_val", "bins", "margin"],
             )
 
@@ -172,8 +161,7 @@ class _Growing:
 
 
 def _gradients(margin: np.ndarray, label: np.ndarray, weight: np.ndarray):
-    shifted = np.exp(margin - margin.max(axis=1, keepdims=True))
-    p = shifted / shifted.sum(axis=1, keepdims=True)
+    p = softmax_rows(margin)
     g = p.copy()
     g[np.arange(len(label)), label] -= 1.0
     h = np.maximum(2.0 * p * (1.0 - p), _MIN_HESSIAN)
@@ -196,8 +184,8 @@ def _histograms(data: BoostData, params: dict[int, BoostParams], growing: list[_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins = _matrix(batch.column("bins"), features, np.int64)
-            margins = _matrix(batch.column("margin"), tracks * classes, float)
+            bins = matrix_of(batch.column("bins"), features, np.int64)
+            margins = matrix_of(batch.column("margin"), tracks * classes, float)
             client = batch.column("client").to_numpy()
             label = batch.column("label").to_numpy()
             weight = batch.column("weight").to_numpy()
@@ -389,12 +377,12 @@ def _adder(data: BoostData, trees: list[Tree]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins = _matrix(batch.column("bins"), features, np.int64)
-            margin = _matrix(batch.column("margin"), tracks * classes, float)
+            bins = matrix_of(batch.column("bins"), features, np.int64)
+            margin = matrix_of(batch.column("margin"), tracks * classes, float)
             for track in {t.track for t in trees}:
                 mine = [t for t in trees if t.track == track]
                 margin[:, track * classes : (track + 1) * classes] += leaf_sums(mine, classes, bins)
-            columns = [batch.column(c) if c != "margin" else _listed(margin) for c in batch.schema.names]
+            columns = [batch.column(c) if c != "margin" else list_array(margin) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
@@ -409,8 +397,8 @@ def _judge(data: BoostData, judged: Sequence[int], pending: list[Tree]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins = _matrix(batch.column("bins"), features, np.int64)
-            margin = _matrix(batch.column("margin"), tracks * classes, float)
+            bins = matrix_of(batch.column("bins"), features, np.int64)
+            margin = matrix_of(batch.column("margin"), tracks * classes, float)
             label = batch.column("label").to_numpy()
             client = batch.column("client").to_numpy()
             for t in judged:

@@ -11,13 +11,12 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.functions import scores as S
 from flowlake.operators.federate import average_parameters
+from flowlake.operators.model import list_array, matrix_of, softmax_rows
 from flowlake.sources.durable import durable, spread
 
 
@@ -64,14 +63,9 @@ def _forward(x: np.ndarray, layers) -> list[np.ndarray]:
     return acts
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
 def _loss_gradient(z: np.ndarray, y: np.ndarray, weight: np.ndarray, spec: MlpSpec) -> tuple[float, np.ndarray]:
     """Summed loss of the rows and its gradient in the logits."""
-    p = _softmax(z)
+    p = softmax_rows(z)
     rows = np.arange(len(y))
     hot = np.zeros_like(p)
     hot[rows, y] = 1.0
@@ -118,8 +112,7 @@ def _kernel(current: dict[int, np.ndarray], spec: MlpSpec):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.asarray(batch.column("x").flatten().to_numpy(zero_copy_only=False), dtype=float)
-            x = x.reshape(-1, spec.inputs)
+            x = matrix_of(batch.column("x"), spec.inputs)
             y, weight = batch.column("label").to_numpy(), batch.column("weight").to_numpy()
             client = batch.column("client").to_numpy()
             for c, flat in current.items():
@@ -215,13 +208,11 @@ def federated_average(
 def predict_mlp(df: DataFrame, features: str, flat: np.ndarray, spec: MlpSpec, out: str = "probs") -> DataFrame:
     """Class probabilities of each row."""
 
-    @F.pandas_udf("array<double>")
-    def logits(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(_forward(np.vstack(x.to_numpy()), _layers(flat, spec))[-1]))
+    @F.arrow_udf("array<double>")
+    def score(x: pa.Array) -> pa.Array:
+        return list_array(softmax_rows(_forward(matrix_of(x, spec.inputs), _layers(flat, spec))[-1]))
 
-    return df.withColumn("_z", logits(F.col(features).cast("array<double>"))).withColumn(out, S.softmax("_z")).drop("_z")
+    return df.withColumn(out, score(F.col(features).cast("array<double>")))
 
 
 def pipeline_mlp(df: DataFrame, columns: Sequence[str], label: str, hidden: Sequence[int], classes: int, steps: int = 50):

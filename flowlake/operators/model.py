@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.functions import scores as S
 from flowlake.functions.numeric import finite
 
 NODE_SCHEMA = (
@@ -88,6 +87,11 @@ def leaf_sums(trees: Sequence[Tree], classes: int, values: np.ndarray, raw: bool
     return total
 
 
+def softmax_rows(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 @dataclass
 class BoostModel:
     features: list[str]
@@ -138,23 +142,30 @@ class BoostModel:
         )
 
 
-def margins(df: DataFrame, model: BoostModel, features: Sequence[str] | None = None) -> Column:
-    """Margin array of each row. The model ships with the task: rounds x classes x nodes numbers."""
-    trees, classes, width = model.trees, model.classes, len(model.features)
+def list_array(matrix: np.ndarray) -> pa.Array:
+    """A matrix as an Arrow list column, one list per row."""
+    n, width = matrix.shape
+    offsets = pa.array(np.arange(n + 1, dtype=np.int64) * width, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            x = np.vstack(rows.to_numpy()).astype(float) if len(rows) else np.empty((0, width))
-            yield pd.Series(list(leaf_sums(trees, classes, x, raw=True)))
 
-    nan = F.lit(float("nan"))
-    return score(F.array(*[F.coalesce(finite(c).cast("double"), nan) for c in features or model.features]))
+def matrix_of(column: pa.Array, width: int, kind=float) -> np.ndarray:
+    """An Arrow list column without null rows as a matrix; null cells of a float matrix are NaN."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=kind).reshape(-1, width)
 
 
 def predict(df: DataFrame, model: BoostModel, out: str = "probs", features: Sequence[str] | None = None) -> DataFrame:
-    """Class probabilities of each row in one pass."""
-    return df.withColumn("_margin", margins(df, model, features)).withColumn(out, S.softmax("_margin")).drop("_margin")
+    """Class probabilities of each row in one pass.
+
+    The model ships with the task: rounds x classes x nodes numbers.
+    """
+    trees, classes, width = model.trees, model.classes, len(model.features)
+
+    @F.arrow_udf("array<double>")
+    def score(x: pa.Array) -> pa.Array:
+        return list_array(softmax_rows(leaf_sums(trees, classes, matrix_of(x, width), raw=True)))
+
+    return df.withColumn(out, score(F.array(*[finite(c).cast("double") for c in features or model.features])))
 
 
 def model_info(nodes: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -100,7 +100,7 @@ def csv_parts(spark, folder):
     for i, half in enumerate(halves):
         half.write.csv(f"{base}/part{i}")
     names = spark.createDataFrame([(i + 1, n) for i, n in enumerate(orders.columns)], "No int, Name string")
-    names.coalesce(1).write.option("header", True).option("encoding", "windows-1252").csv(f"{base}/names")
+    names.coalesce(1).write.option("header", True).option("encoding", "iso-8859-1").csv(f"{base}/names")
     parts = [f"{base}/part0", f"{base}/part1"]
     return readers.read_parts(spark, parts, f"{base}/names", schema_types="bigint, bigint, string, double")
 

@@ -21,14 +21,15 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None
 def read_parts(
     spark: SparkSession, parts: Sequence[str], dictionary: str, name_column: str = "Name", schema_types: str | None = None
 ) -> DataFrame:
-    """Headerless part files whose column names come from a windows-1252 dictionary file.
+    """Headerless part files whose column names come from a single-byte encoded dictionary file.
 
     All parts are one scan. ``schema_types`` gives the comma-separated types in order;
-    without it they are inferred.
+    without it they are inferred. Dictionaries come in windows-1252, which Spark no longer
+    decodes; ISO-8859-1 reads the same names (the two differ only in 0x80-0x9f).
     """
     names_table = (
         spark.read.option("header", True)
-        .option("encoding", "windows-1252")
+        .option("encoding", "iso-8859-1")
         .csv(dictionary)
         .select(F.trim(F.col(name_column)).alias("n"))
     )
