@@ -61,7 +61,10 @@ class BoostData:
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int = MAX_BINS) -> list[list[float]]:
-    """Ascending distinct cut points per feature from one approximate-percentile pass."""
+    """Ascending distinct cut points per feature from one approximate-percentile pass.
+
+    Sketches depend a little on how the rows are laid out: pass the same edges to repeat a run exactly.
+    """
     probs = [i / bins for i in range(1, bins)]
     row = df.agg(*[F.percentile_approx(finite(c).cast("double"), probs, bins * 32).alias(f"e{i}") for i, c in enumerate(features)])
     found = row.first()

@@ -90,7 +90,7 @@ def smote(df: DataFrame, key: str, label: str, features: str, target: int, k: in
     short = durable(short, "short")
     near = (
         same_class_neighbours(short, key, label, features, k)
-        .groupBy("id")
+        .groupBy(F.col("id").alias("_near_id"))
         .agg(F.array_sort(F.collect_list(F.struct("rank", "vector"))).alias("near"))
     )
     seat = F.row_number().over(Window.partitionBy(label).orderBy(hash_key(key), key)) - 1
@@ -100,7 +100,7 @@ def smote(df: DataFrame, key: str, label: str, features: str, target: int, k: in
     )
     copies = (
         seeds.where("_copies > 0")
-        .join(near, F.col(key) == F.col("id"), "left")
+        .join(near, F.col(key) == F.col("_near_id"), "left")
         .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     )
     pick = F.floor(hash_unit(F.lit("near"), key, "_copy") * F.size("near")).cast("int")
