@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import finite
 from flowlake.operators.model import NODE_SCHEMA, BoostModel, Tree, leaf_sums, list_array, matrix_of, softmax_rows
-from flowlake.sources.durable import Slots, spread
+from flowlake.sources.durable import Slots, gathered, spread
 
 MAX_BINS = 32
 _MIN_HESSIAN = 1e-16
@@ -321,7 +321,7 @@ def grow_round(
         for c in clients
         for k in range(data.classes)
     }
-    train = data.rows.where(~F.col("is_val")).drop("is_val")
+    train = gathered(data.rows.where(~F.col("is_val")).drop("is_val"))
     options: dict[tuple, dict[int, tuple]] = {key: {} for key in growing}
     while True:
         todo = [g for g in growing.values() if g.measure]
@@ -434,7 +434,7 @@ def _judge(data: BoostData, judged: Sequence[int], pending: list[Tree]):
 
 def validate(data: BoostData, tracks: Sequence[int], pending: list[Tree]) -> DataFrame:
     """Validation cells (track, client, true_class, pred_class, n, loss) of the model so far."""
-    cells = data.rows.where("is_val").mapInArrow(
+    cells = gathered(data.rows.where("is_val")).mapInArrow(
         _judge(data, tracks, pending),
         "track int, client int, true_class int, pred_class int, n bigint, loss double",
     )

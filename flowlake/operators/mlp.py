@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowlake.operators.federate import average_parameters
 from flowlake.operators.model import list_array, matrix_of, softmax_rows
-from flowlake.sources.durable import durable, spread
+from flowlake.sources.durable import durable, gathered, spread
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def gradient_step(rows: DataFrame, current: dict[int, np.ndarray], spec: MlpSpec
 
     The driver receives one number per weight and client.
     """
-    parts = rows.mapInArrow(_kernel(current, spec), "client int, pos int, value double")
+    parts = gathered(rows).mapInArrow(_kernel(current, spec), "client int, pos int, value double")
     summed = parts.groupBy("client", "pos").agg(F.sum("value").alias("value"))
     width = len(next(iter(current.values()))) + 3
     table: dict[int, np.ndarray] = {}

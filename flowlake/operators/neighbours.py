@@ -25,12 +25,11 @@ def _best_in_block(k: int):
     """Compare the seeds of one block with the candidates of another."""
 
     def best(seeds: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "neighbour", "distance", "vector"]
+        out: dict[str, list] = {"id": [], "neighbour": [], "distance": [], "vector": []}
         if seeds.empty or others.empty:
-            return pd.DataFrame(columns=columns)
+            return pd.DataFrame(out, dtype=object)
         a, b = np.vstack(seeds["x"].to_numpy()), np.vstack(others["other_x"].to_numpy())
         ids = others["other"].to_numpy()
-        out: dict[str, list] = {c: [] for c in columns}
         for seed, x in zip(seeds["id"].to_numpy(), a):
             gap = np.sqrt(((b - x) ** 2).sum(axis=1))
             gap[ids == seed] = np.inf
@@ -40,7 +39,7 @@ def _best_in_block(k: int):
                 out["neighbour"].append(ids[j])
                 out["distance"].append(gap[j])
                 out["vector"].append(b[j])
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object if not out["id"] else None)
 
     return best
 

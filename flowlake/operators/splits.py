@@ -2,9 +2,10 @@
 
 Rows of a stratum are taken in md5 order of their key, so every split is random-looking,
 reproducible and independent of row placement. Exact quotas need no sort of the table: a
-count per (stratum, leading hash digits) locates each cut, rows outside the cut cells are
-decided by comparing digits, and only the rows inside a cut cell (about 1/4096 of a
-stratum) are ranked. A stratum holding a third of all rows therefore never meets in one task.
+count per (stratum, leading hash digits) locates each cut, only the rows inside a cut cell
+(about 1/4096 of a stratum) are ranked to find the hash at the cut, and every row is then
+placed by comparing its own hash. A stratum holding a third of all rows never meets in one
+task, and the result is a projection of the input with one small join.
 """
 
 from __future__ import annotations
@@ -37,47 +38,80 @@ def cut_segments(
     for a stratum of ``n`` rows. Null strata form a stratum of their own.
     """
     digest = hash_key(F.lit(salt), key) if salt else hash_key(key)
-    hashed = df.withColumn("_hash", digest).withColumn("_cell", hash_int(F.col("_hash"), digits).cast("int"))
-    cuts = durable(_cut_points(hashed, ends, strata), "cuts")
-    for s in strata:
-        cuts = cuts.withColumnRenamed(s, f"_cut_{s}")
+    hashed = df.withColumn("_hash", digest)
+    cuts = durable(_cut_points(hashed, ends, strata, digits), "cuts")
+    marks = durable(_cut_marks(hashed, cuts, key, strata, digits), "marks")
+
+    def passed(mark: Column) -> Column:
+        return (F.col("_hash") > mark["hash"]) | ((F.col("_hash") == mark["hash"]) & (F.col(key) >= mark["key"]))
+
+    if strata:
+        placed = _join_strata(hashed, marks, strata, "left")
+        number = F.coalesce(F.size(F.filter("_marks", passed)), F.lit(0))
+    else:
+        # one row of marks at most: plain literals, no join
+        row = marks.first()
+        number = F.lit(0)
+        kind = df.schema[key].dataType
+        for mark in row["_marks"] if row else []:
+            at = F.struct(F.lit(mark["hash"]).alias("hash"), F.lit(mark["key"]).cast(kind).alias("key"))
+            number = number + F.coalesce(passed(at), F.lit(False)).cast("int")
+        placed = hashed
+    return placed.withColumn(out, number.cast("int")).drop("_hash", "_marks")
+
+
+def _join_strata(rows: DataFrame, dim: DataFrame, strata: Sequence[str], how: str) -> DataFrame:
+    """Join a one-row-per-stratum table, null strata included."""
     on = F.lit(True)
     for s in strata:
-        on = on & hashed[s].eqNullSafe(F.col(f"_cut_{s}"))
+        dim = dim.withColumnRenamed(s, f"_at_{s}")
+        on = on & rows[s].eqNullSafe(F.col(f"_at_{s}"))
+    return rows.join(counted_broadcast(dim), on, how).drop(*[f"_at_{s}" for s in strata])
+
+
+def _cut_marks(hashed: DataFrame, cuts: DataFrame, key: str, strata: Sequence[str], digits: int) -> DataFrame:
+    """Per stratum the (hash, key) every segment but the first starts at.
+
+    A cut at the start of a cell needs no row: the cell's digits sort before all its hashes.
+    """
+    prefix = F.lower(F.lpad(F.hex(F.col("c.cell").cast("bigint")), digits, "0"))
+    edges = (
+        cuts.select(*strata, F.explode("_cuts").alias("c"))
+        .where("c.rest = 0")
+        .select(*strata, F.struct(prefix.alias("hash"), F.lit(None).cast(hashed.schema[key].dataType).alias("key")).alias("m"))
+    )
+    inner = cuts.withColumn("_cuts", F.filter("_cuts", lambda c: c["rest"] > 0)).where(F.size("_cuts") > 0)
+    cells = inner.select(*strata, "_cuts")
     if strata:
-        placed = hashed.join(counted_broadcast(cuts), on, "inner").drop(*[f"_cut_{s}" for s in strata])
+        near = _join_strata(hashed, cells, strata, "inner")
     else:
-        # a single row of cut points: carried as a literal, no join needed
-        row = cuts.first()
-        points = row["_cuts"] if row else []
-        literal = F.array(*[F.struct(F.lit(p["cell"]).alias("cell"), F.lit(p["rest"]).alias("rest")) for p in points])
-        placed = hashed.withColumn(
-            "_cuts", literal if points else F.array().cast("array<struct<cell:int,rest:bigint>>")
-        )
-    in_cut = F.exists("_cuts", lambda c: (c["cell"] == F.col("_cell")) & (c["rest"] > 0))
-    ranked = placed.where(in_cut).withColumn(
-        "_pos", F.row_number().over(Window.partitionBy(*strata, "_cell").orderBy("_hash", key)).cast("bigint") - 1
+        row = cells.first()  # a single row with one entry per cut
+        points = [F.struct(F.lit(c["cell"]).alias("cell"), F.lit(c["rest"]).cast("bigint").alias("rest")) for c in (row["_cuts"] if row else [])]
+        empty = F.array().cast("array<struct<cell:int,rest:bigint>>")
+        near = hashed.withColumn("_cuts", F.array(*points) if points else empty)
+    near = near.withColumn("_cell", hash_int(F.col("_hash"), digits).cast("int")).withColumn(
+        "_here", F.filter("_cuts", lambda c: c["cell"] == F.col("_cell"))
     )
-    clear = placed.where(~in_cut).withColumn("_pos", F.lit(0).cast("bigint"))
-    return (
-        clear.unionByName(ranked)
-        .withColumn(
-            out,
-            F.size(
-                F.filter(
-                    "_cuts",
-                    lambda c: (F.col("_cell") > c["cell"])
-                    | ((F.col("_cell") == c["cell"]) & (F.col("_pos") >= c["rest"])),
-                )
-            ).cast("int"),
+    position = F.row_number().over(Window.partitionBy(*strata, "_cell").orderBy("_hash", key)) - 1
+    rows = (
+        near.where(F.size("_here") > 0)
+        .select(*strata, "_hash", key, "_here", "_cell", position.alias("_pos"))
+        .where(F.exists("_here", lambda c: c["rest"] == F.col("_pos")))
+        .select(
+            *strata,
+            # equal cut positions each need their own mark
+            F.explode(F.filter("_here", lambda c: c["rest"] == F.col("_pos"))),
+            F.struct(F.col("_hash").alias("hash"), F.col(key).alias("key")).alias("m"),
         )
-        .drop("_hash", "_cell", "_cuts", "_pos")
+        .select(*strata, "m")
     )
+    return edges.unionByName(rows).groupBy(*strata).agg(F.collect_list("m").alias("_marks"))
 
 
-def _cut_points(hashed: DataFrame, ends, strata: Sequence[str]) -> DataFrame:
+def _cut_points(hashed: DataFrame, ends, strata: Sequence[str], digits: int) -> DataFrame:
     """Per stratum, for every segment end: the hash cell it lies in and the rows of it still below."""
-    cells = hashed.groupBy(*strata, "_cell").agg(F.count("*").alias("_c"))
+    cell = hash_int(F.col("_hash"), digits).cast("int").alias("_cell")
+    cells = hashed.groupBy(*strata, cell).agg(F.count("*").alias("_c"))
     whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
     upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = (

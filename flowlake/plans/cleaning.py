@@ -153,7 +153,17 @@ def row_preview(spark, folder):
     return table(spark, folder, "events").select("event_id", "ts", "event_type", "value").orderBy("ts", "event_id").limit(5)
 
 
-@query("column_kinds")
+@query(
+    "column_kinds",
+    "\nunion all\n".join(
+        f"select '{c}' as \"column\", '{kind}' as kind, count({c}) as n from lineitem"
+        for kind, names in {
+            "numeric": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax",
+            "categorical": "l_returnflag l_linestatus",
+        }.items()
+        for c in names.split()
+    ),
+)
 def column_kinds(spark, folder):
     """Column name and kind of the line items, with the non-null count of each."""
     df = table(spark, folder, "lineitem")

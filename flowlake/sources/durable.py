@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.session import shared_folder
+from flowlake.session import shared_folder, shuffle_width
 
 # A side is broadcast only when it was counted and holds at most this many rows.
 BROADCAST_ROWS = 200_000
@@ -56,9 +56,14 @@ def counted_broadcast(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least as many partitions as cores, for row-wise work in Python on few-split inputs.
+    """Even partitions for a table that many row-wise passes will read: one shuffle up front."""
+    spark = df.sparkSession
+    return df.repartition(max(shuffle_width(spark), spark.sparkContext.defaultParallelism))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """No more tasks than a few per core, without a shuffle, for passes whose tasks each emit a fixed-size summary.
 
-    Inputs with enough splits (any large table) pass through without a shuffle.
+    The summaries are what is shuffled, so their number should follow the cluster, not the data.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)

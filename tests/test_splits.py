@@ -55,11 +55,10 @@ def test_quota_is_exact_for_any_cell_width(flows):
     assert picked[0] == picked[1] == picked[2]
 
 
-def test_only_cut_cells_are_ranked(flows):
-    cut = splits.stratified_split(flows, "id", "label")
-    plan = cut._jdf.queryExecution().sparkPlan().toString()
-    assert "SinglePartition" not in plan
-    assert plan.count("Window") == 1  # the ranking of the cut cells, partitioned by (label, cell)
+def test_a_split_is_a_projection_with_one_small_join(flows):
+    plan = splits.stratified_split(flows, "id", "label")._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and "Union" not in plan
+    assert plan.count("BroadcastHashJoin") == 1
 
 
 def test_clients_hold_every_class_equally(flows):
