@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import finite
 
-IN_TASK_VALUES = 20_000_000
-_ACCURACY = 10_000
+IN_TASK_VALUES = 2_000_000
+_ACCURACY = 2_000
 _CANDIDATES = 500_000
 
 
@@ -83,18 +83,24 @@ def narrowed_quantiles(
 def _narrow(clean, todo, wanted, inside, below) -> None:
     """One sketch pass and one counting pass shrink the open brackets."""
 
-    def within(key):
-        lo, hi = wanted[key]
-        return F.when(F.col(key[0]).between(lo, hi), F.col(key[0]))
-
+    # order statistics that still share a bracket share one sketch
+    shared: dict[tuple, list] = {}
+    for key in todo:
+        shared.setdefault((key[0], *wanted[key]), []).append(key)
     sketches = []
-    for j, key in enumerate(todo):
-        at = (key[1] - below[key]) / inside[key]
-        slack = 2.0 / _ACCURACY
-        ends = [max(0.0, at - slack), min(1.0, at + slack)]
-        sketches.append(F.percentile_approx(within(key), ends, _ACCURACY).alias(f"s{j}"))
+    for i, ((c, lo, hi), keys) in enumerate(shared.items()):
+        ends = []
+        for key in keys:
+            at, slack = (key[1] - below[key]) / inside[key], 2.0 / _ACCURACY
+            ends += [max(0.0, at - slack), min(1.0, at + slack)]
+        inner = F.when(F.col(c).between(lo, hi), F.col(c))
+        sketches.append(F.percentile_approx(inner, ends, _ACCURACY).alias(f"s{i}"))
     row = clean.agg(*sketches).first()
-    tries = {key: list(row[f"s{j}"]) for j, key in enumerate(todo)}
+    tries = {
+        key: list(row[f"s{i}"])[2 * j : 2 * j + 2]
+        for i, keys in enumerate(shared.values())
+        for j, key in enumerate(keys)
+    }
     counts = clean.agg(
         *[F.count_if(F.col(k[0]) < tries[k][0]).alias(f"b{j}") for j, k in enumerate(todo)],
         *[F.count_if(F.col(k[0]) <= tries[k][1]).alias(f"u{j}") for j, k in enumerate(todo)],
