@@ -25,6 +25,8 @@ from flowlake.sources.durable import Slots, gathered, spread
 
 MAX_BINS = 32
 _MIN_HESSIAN = 1e-16
+# histogram cells a task holds before it hands partial sums on (two doubles each)
+_HELD_CELLS = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -219,28 +221,33 @@ def _histograms(data: BoostData, params: dict[int, BoostParams], growing: list[_
                             total[slot] += np.bincount(
                                 cell, np.repeat(part[here, item.cls], len(cols)), minlength=features * width
                             )
-        measured = {(i.track, i.client, i.cls): i.measure for i in growing}
-        for (track, owner, cls), (g, h) in sums.items():
-            slot, cell = np.nonzero(h)
-            n = len(slot)
-            nodes = np.asarray(measured[(track, owner, cls)], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, track, np.int32)),
-                    pa.array(np.full(n, owner, np.int32)),
-                    pa.array(np.full(n, cls, np.int32)),
-                    pa.array(nodes[slot]),
-                    pa.array((cell // width).astype(np.int32)),
-                    pa.array((cell % width - 1).astype(np.int32)),
-                    pa.array(g[slot, cell]),
-                    pa.array(h[slot, cell]),
-                ],
-                names=["track", "client", "class", "node", "feat", "bin", "g", "h"],
-            )
+                if sum(g.size for g, _ in sums.values()) > _HELD_CELLS:
+                    yield from _emitted(sums, growing, width)
+        yield from _emitted(sums, growing, width)
 
     return run
 
 
+def _emitted(sums: dict, growing: list[_Growing], width: int) -> Iterator[pa.RecordBatch]:
+    """The non-empty cells of the sums so far; the sums start over."""
+    nodes = {(i.track, i.client, i.cls): np.asarray(i.measure, dtype=np.int64) for i in growing}
+    for key, (g, h) in sums.items():
+        slot, cell = np.nonzero(h)
+        heads = [pa.array(np.full(len(slot), v, np.int32)) for v in key]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *heads,
+                pa.array(nodes[key][slot]),
+                pa.array((cell // width).astype(np.int32)),
+                pa.array((cell % width - 1).astype(np.int32)),
+                pa.array(g[slot, cell]),
+                pa.array(h[slot, cell]),
+            ],
+            names=["track", "client", "class", "node", "feat", "bin", "g", "h"],
+        )
+    sums.clear()
+
+
 _CELLS = "track int, client int, class int, node bigint, feat int, bin int, g double, h double"
 
 

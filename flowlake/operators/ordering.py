@@ -18,6 +18,7 @@ from flowlake.sources.durable import counted_broadcast, durable
 
 # monotonically_increasing_id() keeps the partition number above this bit.
 _OFFSET_BITS = 33
+_LITERAL_SLICES = 2_000
 
 
 def _as_col(c: str | Column) -> Column:
@@ -91,14 +92,25 @@ def with_rank(
 
 
 def _rank_whole(laid: DataFrame, out: str, size: str | None) -> DataFrame:
-    """Rank over the whole table: the driver holds one row count per slice, so no join is needed."""
-    rows = {r["_slice"]: r["n"] for r in laid.groupBy("_slice").agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for piece in range(max(rows, default=-1) + 1):
-        starts.append(total)
-        total += rows.get(piece, 0)
-    before = F.array(*[F.lit(s).cast("bigint") for s in starts or [0]])[F.col("_slice")]
-    ranked = laid.withColumn(out, before + F.col("_offset"))
+    """Rank over the whole table from one row count per slice.
+
+    Few slices travel as literals, so no join is needed; many as a broadcast table whose
+    row count is the number of slices.
+    """
+    counts = laid.groupBy("_slice").agg(F.count("*").alias("_rows"))
+    rows = {r["_slice"]: r["_rows"] for r in counts.collect()}
+    total = sum(rows.values())
+    if len(rows) <= _LITERAL_SLICES:
+        starts, before = [], 0
+        for piece in range(max(rows, default=-1) + 1):
+            starts.append(before)
+            before += rows.get(piece, 0)
+        start = F.array(*[F.lit(s).cast("bigint") for s in starts or [0]])[F.col("_slice")]
+        ranked = laid.withColumn(out, start + F.col("_offset"))
+    else:
+        earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        links = counts.select("_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        ranked = _attach(laid, links, ()).withColumn(out, F.col("_before") + F.col("_offset")).drop("_before")
     if size:
         ranked = ranked.withColumn(size, F.lit(total).cast("bigint"))
     return ranked.drop("_slice", "_offset")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlake.functions import scores as S
 from flowlake.operators import convergence, curves, encode, federate, metrics, weights
 from flowlake.plans.inputs import CLASSES, ROUNDS_SQL, SCORED_SQL, classified_events, scored_vectors
-from flowlake.plans.registry import query, r6, table
+from flowlake.plans.registry import query, r9, table
 
 _GRID = """, grid as (select cast(t.i as int) as t, cast(p.i as int) as p from range(10) t(i), range(10) p(i)),
 cells as (select g.t as true_class, g.p as pred_class, count(pred.vec_id) as n
@@ -34,22 +34,22 @@ def confusion_matrix(spark, folder):
     "weighted_scores",
     SCORED_SQL
     + _GRID
-    + """select round(sum("precision" * support) / sum(support), 6) as "precision", round(sum(recall * support) / sum(support), 6) as recall,
-  round(sum(f1 * support) / sum(support), 6) as f1, (select round(avg(case when pred = label then 1.0 else 0.0 end), 6) from pred) as accuracy,
-  (select round(avg(case when pred = label then 0.0 else 1.0 end), 6) from pred) as error_rate, cast(sum(support) as bigint) as n from cls""",
+    + """select round(sum("precision" * support) / sum(support), 9) as "precision", round(sum(recall * support) / sum(support), 9) as recall,
+  round(sum(f1 * support) / sum(support), 9) as f1, (select round(avg(case when pred = label then 1.0 else 0.0 end), 9) from pred) as accuracy,
+  (select round(avg(case when pred = label then 0.0 else 1.0 end), 9) from pred) as error_rate, cast(sum(support) as bigint) as n from cls""",
 )
 def weighted_scores(spark, folder):
     got = metrics.summary(_cells(spark, folder))
-    return got.select(*[r6(c).alias(c) for c in ("precision", "recall", "f1", "accuracy", "error_rate")], "n")
+    return got.select(*[r9(c).alias(c) for c in ("precision", "recall", "f1", "accuracy", "error_rate")], "n")
 
 
 @query(
     "class_scores",
-    SCORED_SQL + _GRID + 'select k as class, round("precision", 6) as "precision", round(recall, 6) as recall, round(f1, 6) as f1, support from cls',
+    SCORED_SQL + _GRID + 'select k as class, round("precision", 9) as "precision", round(recall, 9) as recall, round(f1, 9) as f1, support from cls',
 )
 def class_scores(spark, folder):
     got = metrics.per_class(_cells(spark, folder))
-    return got.select("class", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"), "support")
+    return got.select("class", r9("precision").alias("precision"), r9("recall").alias("recall"), r9("f1").alias("f1"), "support")
 
 
 @query(
@@ -57,45 +57,45 @@ def class_scores(spark, folder):
     SCORED_SQL
     + _GRID
     + """, used as (select * from cls where support > 0 or predicted > 0)
-select cast(k as varchar) as row, round("precision", 6) as "precision", round(recall, 6) as recall, round(f1, 6) as f1, support from used
-union all select 'macro avg', round(avg("precision"), 6), round(avg(recall), 6), round(avg(f1), 6), cast(sum(support) as bigint) from used
-union all select 'weighted avg', round(sum("precision" * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-  round(sum(f1 * support) / sum(support), 6), cast(sum(support) as bigint) from used""",
+select cast(k as varchar) as row, round("precision", 9) as "precision", round(recall, 9) as recall, round(f1, 9) as f1, support from used
+union all select 'macro avg', round(avg("precision"), 9), round(avg(recall), 9), round(avg(f1), 9), cast(sum(support) as bigint) from used
+union all select 'weighted avg', round(sum("precision" * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9),
+  round(sum(f1 * support) / sum(support), 9), cast(sum(support) as bigint) from used""",
 )
 def classification_report(spark, folder):
     got = metrics.report(_cells(spark, folder))
-    return got.select("row", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"), "support")
+    return got.select("row", r9("precision").alias("precision"), r9("recall").alias("recall"), r9("f1").alias("f1"), "support")
 
 
 @query(
     "log_loss",
     SCORED_SQL
-    + "select round(avg(-ln(least(greatest(p, 1e-15), 1 - 1e-15))), 6) as log_loss, count(*) as n from prob where k = label",
+    + "select round(avg(-ln(least(greatest(p, 1e-15), 1 - 1e-15))), 9) as log_loss, count(*) as n from prob where k = label",
 )
 def log_loss(spark, folder):
-    return metrics.log_loss(scored_vectors(spark, folder), "probs", "label", CLASSES).withColumn("log_loss", r6("log_loss"))
+    return metrics.log_loss(scored_vectors(spark, folder), "probs", "label", CLASSES).withColumn("log_loss", r9("log_loss"))
 
 
 @query(
     "hard_log_loss",
-    SCORED_SQL + "select round(avg(-ln(case when pred = label then 1 - 1e-15 else 1e-15 end)), 6) as log_loss from pred",
+    SCORED_SQL + "select round(avg(-ln(case when pred = label then 1 - 1e-15 else 1e-15 end)), 9) as log_loss from pred",
 )
 def hard_log_loss(spark, folder):
-    return metrics.hard_log_loss(scored_vectors(spark, folder), "pred", "label").withColumn("log_loss", r6("log_loss"))
+    return metrics.hard_log_loss(scored_vectors(spark, folder), "pred", "label").withColumn("log_loss", r9("log_loss"))
 
 
 @query(
     "pseudo_probabilities",
     SCORED_SQL
     + """, shifted as (select vec_id, pred * 2 - 5 as pred from pred)
-select vec_id, round(case when pred not between 0 and 9 then 0.1 else 0.9 end, 6) as top,
-  round(case when pred not between 0 and 9 then 0.1 else 0.1 / 9 end, 6) as low, 10 as width from shifted""",
+select vec_id, round(case when pred not between 0 and 9 then 0.1 else 0.9 end, 9) as top,
+  round(case when pred not between 0 and 9 then 0.1 else 0.1 / 9 end, 9) as low, 10 as width from shifted""",
 )
 def pseudo_probabilities(spark, folder):
     hard = scored_vectors(spark, folder).select("vec_id", (F.col("pred") * 2 - 5).alias("pred"))
     p = hard.withColumn("probs", S.pseudo_probabilities("pred", CLASSES))
     return p.select(
-        "vec_id", r6(F.array_max("probs")).alias("top"), r6(F.array_min("probs")).alias("low"), F.size("probs").alias("width")
+        "vec_id", r9(F.array_max("probs")).alias("top"), r9(F.array_min("probs")).alias("low"), F.size("probs").alias("width")
     )
 
 
@@ -117,40 +117,40 @@ def _counts(spark, folder):
 
 @query(
     "roc_points",
-    SCORED_SQL + _CURVE_SQL + "select class, score, round((cr - cp) / (ar - ap), 6) as fpr, round(cp / ap, 6) as tpr from c",
+    SCORED_SQL + _CURVE_SQL + "select class, score, round((cr - cp) / (ar - ap), 9) as fpr, round(cp / ap, 9) as tpr from c",
 )
 def roc_points(spark, folder):
     got = curves.roc_points(_counts(spark, folder))
-    return got.select("class", "score", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+    return got.select("class", "score", r9("fpr").alias("fpr"), r9("tpr").alias("tpr"))
 
 
 @query(
     "roc_auc",
     SCORED_SQL
     + _CURVE_SQL
-    + "select class, round(sum(((cr - cp) - (br - bp)) / (ar - ap) * (cp + bp) / (2.0 * ap)), 6) as auc from steps group by class",
+    + "select class, round(sum(((cr - cp) - (br - bp)) / (ar - ap) * (cp + bp) / (2.0 * ap)), 9) as auc from steps group by class",
 )
 def roc_auc(spark, folder):
-    return curves.roc_auc(_counts(spark, folder)).withColumn("auc", r6("auc"))
+    return curves.roc_auc(_counts(spark, folder)).withColumn("auc", r9("auc"))
 
 
 @query(
     "pr_points",
-    SCORED_SQL + _CURVE_SQL + 'select class, score, round(cp / cr, 6) as "precision", round(cp / ap, 6) as recall from c',
+    SCORED_SQL + _CURVE_SQL + 'select class, score, round(cp / cr, 9) as "precision", round(cp / ap, 9) as recall from c',
 )
 def pr_points(spark, folder):
     got = curves.pr_points(_counts(spark, folder))
-    return got.select("class", "score", r6("precision").alias("precision"), r6("recall").alias("recall"))
+    return got.select("class", "score", r9("precision").alias("precision"), r9("recall").alias("recall"))
 
 
 @query(
     "pr_area",
     SCORED_SQL
     + _CURVE_SQL
-    + "select class, round(sum((cp - bp) / ap * (cp / cr + case when br > 0 then bp / br else 1 end) / 2), 6) as pr_area from steps group by class",
+    + "select class, round(sum((cp - bp) / ap * (cp / cr + case when br > 0 then bp / br else 1 end) / 2), 9) as pr_area from steps group by class",
 )
 def pr_area(spark, folder):
-    return curves.pr_area(_counts(spark, folder)).withColumn("pr_area", r6("pr_area"))
+    return curves.pr_area(_counts(spark, folder)).withColumn("pr_area", r9("pr_area"))
 
 
 @query(
@@ -173,10 +173,10 @@ def true_class_histogram(spark, folder):
 
 @query(
     "true_class_mean",
-    SCORED_SQL + "select label as class, round(avg(p), 6) as mean_p, count(*) as n from prob where k = label group by 1",
+    SCORED_SQL + "select label as class, round(avg(p), 9) as mean_p, count(*) as n from prob where k = label group by 1",
 )
 def true_class_mean(spark, folder):
-    return metrics.true_class_mean(scored_vectors(spark, folder), "probs", "label").withColumn("mean_p", r6("mean_p"))
+    return metrics.true_class_mean(scored_vectors(spark, folder), "probs", "label").withColumn("mean_p", r9("mean_p"))
 
 
 @query(
@@ -185,34 +185,34 @@ def true_class_mean(spark, folder):
     + """, w as (select label, count(*) as n from embeddings group by 1),
 weight as (select label, sum(n) over () / (count(*) over () * n) as a from w),
 loss as (select a * power(1 - exp(logp), 2.0) * -logp as v from prob join weight using (label) where k = label)
-select round(avg(v), 6) as mean_loss, round(sum(v), 4) as sum_loss from loss""",
+select round(avg(v), 9) as mean_loss, round(sum(v), 4) as sum_loss from loss""",
 )
 def focal_loss(spark, folder):
     weighted = weights.balanced_sample_weights(scored_vectors(spark, folder), "label")
     got = metrics.focal_loss(weighted, "logits", "label", 2.0, "weight")
-    return got.select(r6("mean_loss").alias("mean_loss"), F.round("sum_loss", 4).alias("sum_loss"))
+    return got.select(r9("mean_loss").alias("mean_loss"), F.round("sum_loss", 4).alias("sum_loss"))
 
 
 @query(
     "smoothing_loss",
     SCORED_SQL
     + """, loss as (select -logp * (case when k = label then 0.9 else 0.0 end + 0.01) as v from prob)
-select round(sum(v) / count(*), 6) as mean_loss, round(sum(v), 4) as sum_loss from loss""",
+select round(sum(v) / count(*), 9) as mean_loss, round(sum(v), 4) as sum_loss from loss""",
 )
 def smoothing_loss(spark, folder):
     got = metrics.smoothing_loss(scored_vectors(spark, folder), "logits", "label", CLASSES)
-    return got.select(r6("mean_loss").alias("mean_loss"), F.round("sum_loss", 4).alias("sum_loss"))
+    return got.select(r9("mean_loss").alias("mean_loss"), F.round("sum_loss", 4).alias("sum_loss"))
 
 
 @query(
     "prediction_summary",
     SCORED_SQL
-    + "select pred, count(*) as n, round(min(top), 6) as min_score, round(max(top), 6) as max_score, round(avg(top), 6) as mean_score from pred group by pred",
+    + "select pred, count(*) as n, round(min(top), 9) as min_score, round(max(top), 9) as max_score, round(avg(top), 9) as mean_score from pred group by pred",
 )
 def prediction_summary(spark, folder):
     scored = scored_vectors(spark, folder).withColumn("score", S.confidence("probs"))
     got = metrics.prediction_summary(scored, "pred", "score")
-    return got.select("pred", "n", *[r6(c).alias(c) for c in ("min_score", "max_score", "mean_score")])
+    return got.select("pred", "n", *[r9(c).alias(c) for c in ("min_score", "max_score", "mean_score")])
 
 
 @query("argmax_class", SCORED_SQL + "select vec_id, pred from pred")
@@ -226,9 +226,9 @@ def softmax_columns(spark, folder):
     return scored.select("vec_id", *S.probability_columns("probs", CLASSES))
 
 
-@query("confidence", SCORED_SQL + "select vec_id, round(top, 6) as confidence from pred")
+@query("confidence", SCORED_SQL + "select vec_id, round(top, 9) as confidence from pred")
 def confidence(spark, folder):
-    return scored_vectors(spark, folder).select("vec_id", r6(S.confidence("probs")).alias("confidence"))
+    return scored_vectors(spark, folder).select("vec_id", r9(S.confidence("probs")).alias("confidence"))
 
 
 @query(
@@ -296,12 +296,12 @@ def class_counts(spark, folder):
 @query(
     "class_distribution",
     _SKEW_COUNTS
-    + """select label, n, round(n / sum(n) over (), 6) as frequency, round(max(n) over () / min(n) over (), 6) as imbalance_ratio,
-  round(-(select sum(n / t * ln(n / t + 1e-8)) from c, (select sum(n) as t from c)), 6) as entropy from c""",
+    + """select label, n, round(n / sum(n) over (), 9) as frequency, round(max(n) over () / min(n) over (), 9) as imbalance_ratio,
+  round(-(select sum(n / t * ln(n / t + 1e-8)) from c, (select sum(n) as t from c)), 9) as entropy from c""",
 )
 def class_distribution(spark, folder):
     got = weights.class_distribution(_skewed(spark, folder), "label")
-    return got.select("label", "n", *[r6(c).alias(c) for c in ("frequency", "imbalance_ratio", "entropy")])
+    return got.select("label", "n", *[r9(c).alias(c) for c in ("frequency", "imbalance_ratio", "entropy")])
 
 
 _RAW = {
@@ -318,7 +318,7 @@ _RAW = {
     _SKEW_COUNTS
     + ", raw as ("
     + " union all ".join(f"select '{m}' as method, label, sqrt({e}) as w from c" for m, e in _RAW.items())
-    + ")\nselect method, label, round(w * count(*) over (partition by method) / sum(w) over (partition by method), 6) as weight from raw",
+    + ")\nselect method, label, round(w * count(*) over (partition by method) / sum(w) over (partition by method), 9) as weight from raw",
 )
 def class_weights(spark, folder):
     from functools import reduce
@@ -327,30 +327,30 @@ def class_weights(spark, folder):
         weights.class_weights(_skewed(spark, folder), "label", m).select(F.lit(m).alias("method"), "label", "weight")
         for m in _RAW
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("weight", r6("weight"))
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("weight", r9("weight"))
 
 
 @query(
     "sample_weights",
     """with c as (select l_linenumber as k, count(*) as n from lineitem group by 1)
-select l_orderkey, l_partkey, l_linenumber, round((select sum(n) from c) / ((select count(*) from c) * n), 6) as weight
+select l_orderkey, l_partkey, l_linenumber, round((select sum(n) from c) / ((select count(*) from c) * n), 9) as weight
 from lineitem join c on k = l_linenumber""",
 )
 def sample_weights(spark, folder):
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    return weights.balanced_sample_weights(rows, "l_linenumber").withColumn("weight", r6("weight"))
+    return weights.balanced_sample_weights(rows, "l_linenumber").withColumn("weight", r9("weight"))
 
 
 @query(
     "focal_recommendation",
     _SKEW_COUNTS
     + """, raw as (select label, n, sqrt((select sum(n) from c) / ((select count(*) from c) * n)) as w, max(n) over () / min(n) over () as r from c)
-select label, n, round(w * count(*) over () / sum(w) over (), 6) as alpha, round(r, 6) as imbalance_ratio,
+select label, n, round(w * count(*) over () / sum(w) over (), 9) as alpha, round(r, 9) as imbalance_ratio,
   case when r < 2 then 1.0::double when r < 5 then 2.0::double when r < 10 then 3.0::double else 4.0::double end as gamma from raw""",
 )
 def focal_recommendation(spark, folder):
     got = weights.focal_recommendation(_skewed(spark, folder), "label")
-    return got.withColumn("alpha", r6("alpha")).withColumn("imbalance_ratio", r6("imbalance_ratio"))
+    return got.withColumn("alpha", r9("alpha")).withColumn("imbalance_ratio", r9("imbalance_ratio"))
 
 
 # ---- client aggregation --------------------------------------------------------------------
@@ -363,18 +363,18 @@ def client_metrics(spark, folder):
 
 @query(
     "client_metrics",
-    ROUNDS_SQL + 'select round, client, n, round("precision", 6) as "precision", round(recall, 6) as recall, round(f1, 6) as f1 from metric',
+    ROUNDS_SQL + 'select round, client, n, round("precision", 9) as "precision", round(recall, 9) as recall, round(f1, 9) as f1 from metric',
 )
 def client_metrics_query(spark, folder):
     got = client_metrics(spark, folder)
-    return got.select("round", "client", "n", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+    return got.select("round", "client", "n", *[r9(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(
     "aggregate_metrics",
     ROUNDS_SQL
-    + """select round, cast(sum(n) as bigint) as n, round(sum("precision" * n) / sum(n), 6) as "precision", round(sum(recall * n) / sum(n), 6) as recall,
-  round(sum(f1 * n) / sum(n), 6) as f1, case when count(*) filter (client = 3 and round % 2 = 0) > 0 then 0.0::double else round(sum((1 - recall) * n) / sum(n), 6) end as mlogloss
+    + """select round, cast(sum(n) as bigint) as n, round(sum("precision" * n) / sum(n), 9) as "precision", round(sum(recall * n) / sum(n), 9) as recall,
+  round(sum(f1 * n) / sum(n), 9) as f1, case when count(*) filter (client = 3 and round % 2 = 0) > 0 then 0.0::double else round(sum((1 - recall) * n) / sum(n), 9) end as mlogloss
 from metric group by round""",
 )
 def aggregate_metrics(spark, folder):
@@ -383,7 +383,7 @@ def aggregate_metrics(spark, folder):
     got = client_metrics(spark, folder).withColumn("mlogloss", F.when(~silent, F.col("error_rate")))
     names = ["precision", "recall", "f1", "mlogloss"]
     total = federate.aggregate_metrics(got, names, ["round"])
-    return total.select("round", "n", *[r6(c).alias(c) for c in names])
+    return total.select("round", "n", *[r9(c).alias(c) for c in names])
 
 
 @query(
@@ -393,7 +393,7 @@ def aggregate_metrics(spark, folder):
   select e.round, e.client, cast(t.i as int) as true_class, cast(p.i as int) as pred_class, e.n as examples, coalesce(cm.n, 0) as n
   from metric e cross join range(5) t(i) cross join range(5) p(i)
   left join cm on cm.round = e.round and cm.client = e.client and cm.label = t.i and cm.pred = p.i)
-select round, true_class, pred_class, round(sum(n * examples) / sum(examples), 6) as n_weighted, cast(sum(n) as bigint) as n_sum
+select round, true_class, pred_class, round(sum(n * examples) / sum(examples), 9) as n_weighted, cast(sum(n) as bigint) as n_sum
 from full_cm group by all""",
 )
 def aggregate_confusion(spark, folder):
@@ -401,15 +401,15 @@ def aggregate_confusion(spark, folder):
 
     cells = metrics.confusion(classified_events(spark, folder), "label", "pred", 5, ["round", "client"])
     cells = cells.withColumn("examples", F.sum("n").over(Window.partitionBy("round", "client")))
-    return federate.aggregate_confusion(cells, ["round"]).withColumn("n_weighted", r6("n_weighted"))
+    return federate.aggregate_confusion(cells, ["round"]).withColumn("n_weighted", r9("n_weighted"))
 
 
 @query(
     "aggregate_per_class",
     ROUNDS_SQL
     + """, tot as (select round, sum(n) as total from metric group by round)
-select c.round, c.k as class, round(sum(c."precision" * m.n / total), 6) as "precision", round(sum(c.recall * m.n / total), 6) as recall,
-  round(sum(c.f1 * m.n / total), 6) as f1, cast(sum(c.support) as bigint) as support
+select c.round, c.k as class, round(sum(c."precision" * m.n / total), 9) as "precision", round(sum(c.recall * m.n / total), 9) as recall,
+  round(sum(c.f1 * m.n / total), 9) as f1, cast(sum(c.support) as bigint) as support
 from classes c join metric m on m.round = c.round and m.client = c.client join tot on tot.round = c.round group by c.round, c.k""",
 )
 def aggregate_per_class(spark, folder):
@@ -419,14 +419,14 @@ def aggregate_per_class(spark, folder):
     classes = metrics.per_class(cells, ["round", "client"])
     classes = classes.withColumn("examples", F.sum("support").over(Window.partitionBy("round", "client")))
     got = federate.aggregate_per_class(classes, ["round"])
-    return got.select("round", "class", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+    return got.select("round", "class", *[r9(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 @query(
     "average_parameters",
     """with cells as (select vec_id % 3 as client, unnest(range(64)) as pos, unnest(embedding)::double as v from embeddings),
 clients as (select client, pos, avg(v) as v, count(*) as n from cells where client < 2 or pos >= 0 group by all)
-select cast(pos as int) as pos, round(sum(v * n) / sum(n), 6) as value from clients group by pos""",
+select cast(pos as int) as pos, round(sum(v * n) / sum(n), 9) as value from clients group by pos""",
 )
 def average_parameters(spark, folder):
     cells = table(spark, folder, "embeddings").select(
@@ -437,7 +437,7 @@ def average_parameters(spark, folder):
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("weights"),
         F.first("n").alias("n"),
     )
-    return federate.average_parameters(local).select("pos", r6("value").alias("value"))
+    return federate.average_parameters(local).select("pos", r9("value").alias("value"))
 
 
 @query(
@@ -474,20 +474,20 @@ def convergence_query(spark, folder):
     + _LOSS_SQL
     + """, b as (select *, min(loss) over (partition by client order by round rows between unbounded preceding and 1 preceding) as best,
    row_number() over (partition by client order by round) as no from loss)
-select round, client, no - max(case when best is null or loss < best then no end) over w as stale_rounds, round(min(loss) over w, 6) as best_loss,
+select round, client, no - max(case when best is null or loss < best then no end) over w as stale_rounds, round(min(loss) over w, 9) as best_loss,
   no - max(case when best is null or loss < best then no end) over w >= 5 as stop
 from b window w as (partition by client order by round rows between unbounded preceding and current row)""",
 )
 def early_stop(spark, folder):
     history = client_metrics(spark, folder).select("round", "client", F.col("error_rate").alias("loss"))
     got = convergence.early_stop(history, ["client"], patience=5)
-    return got.select("round", "client", "stale_rounds", r6("best_loss").alias("best_loss"), "stop")
+    return got.select("round", "client", "stale_rounds", r9("best_loss").alias("best_loss"), "stop")
 
 
 @query(
     "learning_curves",
     ROUNDS_SQL
-    + """select 'client_' || cast(client as varchar) as source, round, metric, round(value, 6) as value from (
+    + """select 'client_' || cast(client as varchar) as source, round, metric, round(value, 9) as value from (
   select client, round, 'precision' as metric, "precision" as value from metric union all
   select client, round, 'recall', recall from metric union all select client, round, 'f1', f1 from metric)""",
 )
@@ -495,4 +495,4 @@ def learning_curves(spark, folder):
     wide = client_metrics(spark, folder).select(
         F.concat(F.lit("client_"), F.col("client").cast("string")).alias("source"), "round", "precision", "recall", "f1"
     )
-    return metrics.learning_curves(wide, ["precision", "recall", "f1"]).withColumn("value", r6("value"))
+    return metrics.learning_curves(wide, ["precision", "recall", "f1"]).withColumn("value", r9("value"))

@@ -32,3 +32,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def r6(c: str | Column) -> Column:
     """Six decimals, so that summation order does not show in comparisons."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def r9(c: str | Column) -> Column:
+    """Nine decimals for measures near 1: short fractions do not end on a rounding edge there."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 9)

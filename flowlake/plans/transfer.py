@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlake.operators import metrics
 from flowlake.plans.evaluation import client_metrics
 from flowlake.plans.inputs import DIRTY_SQL, ROUNDS_SQL, SCORED_SQL, dirty_events, scored_vectors
-from flowlake.plans.registry import query, r6, table
+from flowlake.plans.registry import query, r6, r9, table
 from flowlake.sources import readers, sinks
 from flowlake.sources.durable import fresh_path
 from flowlake.sources.state import Processor
@@ -153,20 +153,20 @@ def predictions_sink(spark, folder):
 @query(
     "metrics_sink",
     SCORED_SQL
-    + """select 'run_1' as run, 1 as round, 'accuracy' as metric, round(avg(case when pred = label then 1.0 else 0.0 end), 6) as value from pred
-union all select 'run_1', 1, 'error_rate', round(avg(case when pred = label then 0.0 else 1.0 end), 6) from pred""",
+    + """select 'run_1' as run, 1 as round, 'accuracy' as metric, round(avg(case when pred = label then 1.0 else 0.0 end), 9) as value from pred
+union all select 'run_1', 1, 'error_rate', round(avg(case when pred = label then 0.0 else 1.0 end), 9) from pred""",
 )
 def metrics_sink(spark, folder):
     path = fresh_path(spark, "metrics")
     row = metrics.summary(metrics.confusion(scored_vectors(spark, folder), "label", "pred", 10)).first()
     sinks.write_metrics(spark, path, "run_1", 1, {k: row[k] for k in ("accuracy", "error_rate")})
-    return spark.read.parquet(path).select("run", "round", "metric", r6("value").alias("value"))
+    return spark.read.parquet(path).select("run", "round", "metric", r9("value").alias("value"))
 
 
 @query(
     "run_history",
     ROUNDS_SQL
-    + """select 'run_1' as run, 'client_' || cast(client as varchar) as source, round, metric, round(value, 6) as value from (
+    + """select 'run_1' as run, 'client_' || cast(client as varchar) as source, round, metric, round(value, 9) as value from (
   select client, round, 'recall' as metric, recall as value from metric union all select client, round, 'f1', f1 from metric)""",
 )
 def run_history(spark, folder):
@@ -175,7 +175,7 @@ def run_history(spark, folder):
         F.concat(F.lit("client_"), F.col("client").cast("string")).alias("source"), "round", "recall", "f1"
     )
     sinks.write_history(metrics.learning_curves(wide, ["recall", "f1"]), path, "run_1")
-    return sinks.read_history(spark, path, "run_1").withColumn("value", r6("value"))
+    return sinks.read_history(spark, path, "run_1").withColumn("value", r9("value"))
 
 
 @query(

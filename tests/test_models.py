@@ -59,6 +59,18 @@ def test_same_seed_same_nodes(table, data, fitted):
     assert key(model) == key(fitted[0])
 
 
+def test_partial_sums_handed_on_early_give_the_same_trees(table, data, fitted, monkeypatch):
+    monkeypatch.setattr(boost, "_HELD_CELLS", 100)
+    again = boost.prepare(
+        table, FLOW_FEATURES, "label", FLOW_CLASSES, "flow_id", validation=F.col("held_out"), edges=data.edges
+    )
+    model, _ = boost.fit(again, replace(PARAMS, rounds=1))
+    first = [t for t in fitted[0].trees if t.turn == 0]
+    assert [{n: s[:2] for n, s in t.splits.items()} for t in model.trees] == [
+        {n: s[:2] for n, s in t.splits.items()} for t in first
+    ]
+
+
 def test_split_gain_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(0, 6, (400, 2)).astype(float)

@@ -18,6 +18,13 @@ def test_rank_with_heavy_ties_and_many_slices(spark):
     assert (got["rank"].to_numpy() == np.arange(3000)).all()
 
 
+def test_many_slices_rank_by_join(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "_LITERAL_SLICES", 3)
+    got = ordering.with_rank(spark.range(500).select((F.lit(1000) - F.col("id")).alias("k")), ["k"], slices=12, size="n")
+    rows = got.toPandas().sort_values("k")
+    assert (rows["rank"].to_numpy() == np.arange(500)).all() and (rows["n"] == 500).all()
+
+
 def test_group_rank_of_a_hot_group(spark):
     df = spark.range(2000).select("id", F.when(F.col("id") < 1500, "hot").otherwise("cold").alias("g"))
     got = ordering.with_rank(df, [F.desc("id")], ["g"], slices=8, size="n").toPandas()
