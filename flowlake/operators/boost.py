@@ -164,6 +164,14 @@ class _Growing:
     tree: Tree
     measure: list[int]
 
+    def slots(self) -> np.ndarray:
+        """Position in ``measure`` of every node of the tree, -1 for the others."""
+        index = self.tree.index
+        found = np.full(len(index), -1)
+        for n, node in enumerate(self.measure):
+            found[index[node]] = n
+        return found
+
 
 def _gradients(margin: np.ndarray, label: np.ndarray, weight: np.ndarray):
     p = softmax_rows(margin)
@@ -200,48 +208,52 @@ def _histograms(data: BoostData, params: dict[int, BoostParams], growing: list[_
                 rows = np.flatnonzero((client == owner) & _sampled(row_id, p.subsample, p.seed, track, turn))
                 if not len(rows):
                     continue
-                b = bins[rows]
+                by_feature = np.ascontiguousarray(bins[rows].T)
+                b = by_feature.T
                 mine = [t for t in shared if t.track == track] + [
                     t for t in private if t.track == track and t.client == owner
                 ]
                 m = margins[rows, track * classes : (track + 1) * classes] + leaf_sums(mine, classes, b)
                 g, h = _gradients(m, label[rows], weight[rows])
                 for item in items:
-                    at = item.tree.place(b)
-                    for slot, node in enumerate(item.measure):
-                        here = np.flatnonzero(at == item.tree.index[node])
-                        if not len(here):
-                            continue
-                        cols = _columns(p, features, track, turn, item.cls, node)
-                        cell = (b[np.ix_(here, cols)] + 1 + cols * width).ravel()
-                        key = (track, owner, item.cls)
-                        if key not in sums:
-                            sums[key] = [np.zeros((len(item.measure), features * width)) for _ in range(2)]
-                        for total, part in zip(sums[key], (g, h)):
-                            total[slot] += np.bincount(
-                                cell, np.repeat(part[here, item.cls], len(cols)), minlength=features * width
-                            )
+                    nodes = len(item.measure)
+                    slot = item.slots()[item.tree.place(b)]
+                    here = np.flatnonzero(slot >= 0)
+                    if not len(here):
+                        continue
+                    may = np.zeros((nodes, features), dtype=bool)
+                    for n, node in enumerate(item.measure):
+                        may[n, _columns(p, features, track, turn, item.cls, node)] = True
+                    key = (track, owner, item.cls)
+                    if key not in sums:
+                        sums[key] = [np.zeros((nodes, features, width)) for _ in range(2)]
+                    first, parts = slot[here] * width + 1, (g[here, item.cls], h[here, item.cls])
+                    for f in np.flatnonzero(may.any(axis=0)):
+                        cell = first + by_feature[f, here]
+                        for total, part in zip(sums[key], parts):
+                            added = np.bincount(cell, part, minlength=nodes * width).reshape(nodes, width)
+                            total[:, f, :] += np.where(may[:, f, None], added, 0.0)
                 if sum(g.size for g, _ in sums.values()) > _HELD_CELLS:
-                    yield from _emitted(sums, growing, width)
-        yield from _emitted(sums, growing, width)
+                    yield from _emitted(sums, growing)
+        yield from _emitted(sums, growing)
 
     return run
 
 
-def _emitted(sums: dict, growing: list[_Growing], width: int) -> Iterator[pa.RecordBatch]:
+def _emitted(sums: dict, growing: list[_Growing]) -> Iterator[pa.RecordBatch]:
     """The non-empty cells of the sums so far; the sums start over."""
     nodes = {(i.track, i.client, i.cls): np.asarray(i.measure, dtype=np.int64) for i in growing}
     for key, (g, h) in sums.items():
-        slot, cell = np.nonzero(h)
+        slot, feat, cell = np.nonzero(h)
         heads = [pa.array(np.full(len(slot), v, np.int32)) for v in key]
         yield pa.RecordBatch.from_arrays(
             [
                 *heads,
                 pa.array(nodes[key][slot]),
-                pa.array((cell // width).astype(np.int32)),
-                pa.array((cell % width - 1).astype(np.int32)),
-                pa.array(g[slot, cell]),
-                pa.array(h[slot, cell]),
+                pa.array(feat.astype(np.int32)),
+                pa.array((cell - 1).astype(np.int32)),
+                pa.array(g[slot, feat, cell]),
+                pa.array(h[slot, feat, cell]),
             ],
             names=["track", "client", "class", "node", "feat", "bin", "g", "h"],
         )
