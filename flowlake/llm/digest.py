@@ -20,6 +20,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -340,7 +341,6 @@ def neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def alike(one: Column, other: Column) -> Column:
     """Likeness of two fingerprint columns."""
-    import pandas as pd
 
     @F.pandas_udf(T.DoubleType())
     def compare(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -4,8 +4,8 @@ Documents stand in id order on one line of tokens per slice. Cuts may fall at do
 (free), sentence ends (small penalty) and, where a sentence is long or the line ends, between
 any two tokens (larger penalty). The cheapest chain of cuts minimises padding plus penalties:
 ``f(j) = penalty(j) + capacity - j + min(f(i) + i)`` over the cuts i within one capacity before
-j, a sliding-window minimum kept in a monotone queue; a stretch whose length is a power of two
-needs no padding.
+j, a sliding-window minimum kept in a monotone queue. A stretch whose length is a power of two
+needs no padding; such short stretches are offered near the end of a line only.
 
 Edge cases: a null or empty text is one document of just the end token; texts of any length
 are cut freely; repeated rows and repeated ids are separate documents; rows without id come
@@ -58,7 +58,7 @@ def cheapest_cuts(places: np.ndarray, penalties: np.ndarray, costs: Costs, final
     back = [0] * (len(at) + 1)
     where = [0, *at]
     tail = where[-1] - 2 * capacity
-    index = {0: 0} if tail < 0 else {}
+    index = {0: 0} if tail <= 0 else {}
     queue: deque[tuple[int, float, int]] = deque([(0, 0.0, 0)])
     for n in range(1, len(where)):
         j = where[n]
