@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from flowlake.operators.encode import require_labels
 from flowlake.functions.numeric import finite
 from flowlake.operators.model import NODE_SCHEMA, BoostModel, Tree, leaf_sums, list_array, matrix_of, softmax_rows
 from flowlake.sources.durable import Slots, gathered, spread
@@ -90,6 +91,7 @@ def prepare(
 
     ``start`` is an existing model: its margins become the starting point of every track.
     """
+    df = require_labels(df, label, classes)
     edges = edges or bin_edges(df, features)
     x = F.array(*[finite(c).cast("double") for c in features])
     rows = df.select(

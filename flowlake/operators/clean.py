@@ -92,8 +92,10 @@ def fill_then_drop(df: DataFrame, columns: Sequence[str], order: Sequence[str |
 
 
 def label_flag_last(df: DataFrame, order: Sequence[str], n: int = 10, out: str = "label") -> DataFrame:
-    """0 everywhere, 1 on the last ``n`` rows by the (numeric) order columns."""
-    latest = [F.col(f"`{c}`").cast("double").desc() for c in order]
+    """0 everywhere, 1 on the last ``n`` rows by the order columns: other texts come after numbers."""
+    latest = []
+    for c in order:
+        latest += [F.expr(f"try_cast(`{c}` as decimal(38,9))").desc_nulls_first(), F.col(f"`{c}`").desc()]
     return label_last_n(df, order[-1], latest, n, out)
 
 

@@ -122,3 +122,18 @@ def class_weights_join(df: DataFrame, weights: DataFrame, label: str, out: str =
     """Attach the class weight to each row (weights hold one row per class)."""
     dim = weights.select(F.col(label).alias("_class"), F.col("weight").alias(out))
     return df.join(counted_broadcast(dim), F.col(label) == F.col("_class"), "inner").drop("_class")
+
+
+def require_labels(df: DataFrame, label: str, classes: int | None = None) -> DataFrame:
+    """``df`` itself, after one count has shown that every label lies in 0..classes-1 (or is not negative).
+
+    Training on an unseen label's -1 would silently train the last class.
+    """
+    value = F.col(label).cast("int")
+    outside = value.isNull() | (value < 0)
+    if classes is not None:
+        outside = outside | (value >= classes)
+    bad = df.where(outside).count()
+    if bad:
+        raise ValueError(f"{bad} rows have a label in {label} that is null or outside the classes; drop or map them first")
+    return df

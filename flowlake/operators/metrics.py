@@ -12,27 +12,32 @@ from flowlake.functions import scores as S
 
 
 def confusion(df: DataFrame, true: str, pred: str, classes: int, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of every (true, predicted) pair in 0..classes-1, zeros kept, per ``by`` group."""
-    counts = df.groupBy(*by, F.col(true).cast("int").alias("t"), F.col(pred).cast("int").alias("p")).agg(
-        F.count("*").alias("n")
-    )
+    """Counts of every (true, predicted) pair in 0..classes-1, zeros kept, per ``by`` group.
+
+    A null or other value counts as a class without number: such rows keep cells of their own,
+    with null for the side that lies outside, so they stay in every denominator and count as wrong.
+    """
+    sides = [F.when(F.col(c).cast("int").between(0, classes - 1), F.col(c).cast("int")) for c in (true, pred)]
+    counts = df.groupBy(*by, sides[0].alias("t"), sides[1].alias("p")).agg(F.count("*").alias("n"))
+    inside = F.col("t").isNotNull() & F.col("p").isNotNull()
     # spread the cells of a group over the full grid without a join
     cells = counts.groupBy(*by).agg(
         F.map_from_entries(
-            F.collect_list(
-                F.when(
-                    F.col("t").between(0, classes - 1) & F.col("p").between(0, classes - 1),
-                    F.struct(F.col("t") * classes + F.col("p"), F.col("n")),
-                )
-            )
-        ).alias("cells")
+            F.collect_list(F.when(inside, F.struct(F.col("t") * classes + F.col("p"), F.col("n"))))
+        ).alias("cells"),
+        F.collect_list(F.when(~inside, F.struct("t", "p", "n"))).alias("outside"),
     )
-    grid = F.explode(F.sequence(F.lit(0), F.lit(classes * classes - 1))).alias("cell")
-    return cells.select(*by, "cells", grid).select(
-        *by,
-        F.floor(F.col("cell") / classes).cast("int").alias("true_class"),
-        (F.col("cell") % classes).cast("int").alias("pred_class"),
-        F.coalesce(F.try_element_at("cells", F.col("cell")), F.lit(0)).alias("n"),
+    grid = F.transform(
+        F.sequence(F.lit(0), F.lit(classes * classes - 1)),
+        lambda c: F.struct(
+            F.floor(c / classes).cast("int").alias("t"),
+            (c % classes).cast("int").alias("p"),
+            F.coalesce(F.try_element_at("cells", c), F.lit(0)).cast("bigint").alias("n"),
+        ),
+    )
+    rows = cells.select(*by, F.explode(F.concat(grid, "outside")).alias("cell"))
+    return rows.select(
+        *by, F.col("cell.t").alias("true_class"), F.col("cell.p").alias("pred_class"), F.col("cell.n").alias("n")
     )
 
 
@@ -48,7 +53,7 @@ def per_class(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                 F.col("true_class").alias("class"),
                 F.col("n").alias("support"),
                 F.lit(0).cast("bigint").alias("predicted"),
-                F.when(F.col("true_class") == F.col("pred_class"), F.col("n")).otherwise(0).alias("hit"),
+                F.when(F.col("true_class") == F.col("pred_class"), F.col("n")).otherwise(F.lit(0)).alias("hit"),
             ),
             F.struct(
                 F.col("pred_class").alias("class"),
@@ -96,14 +101,14 @@ def summary(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def report(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Classification report: one row per class plus macro and weighted averages.
 
-    Classes that neither occur nor are predicted are left out.
+    Classes that neither occur nor are predicted are left out; rows outside the grid are the row ``other``.
     """
-    classes = per_class(cells, by)
-    used = cells.where("n > 0").select(
-        *by, F.explode(F.array("true_class", "pred_class")).alias("class")
-    ).distinct()
-    classes = classes.join(used, [*by, "class"], "left_semi")
-    rows = classes.select(*by, F.col("class").cast("string").alias("row"), "precision", "recall", "f1", "support")
+    number = F.coalesce(F.col("class"), F.lit(-1)).alias("class")
+    used = cells.where("n > 0").select(*by, F.explode(F.array("true_class", "pred_class")).alias("class"))
+    measured = per_class(cells, by).select(*by, number, "precision", "recall", "f1", "support")
+    classes = measured.join(used.select(*by, number).distinct(), [*by, "class"], "left_semi")
+    name = F.when(F.col("class") < 0, F.lit("other")).otherwise(F.col("class").cast("string"))
+    rows = classes.select(*by, name.alias("row"), "precision", "recall", "f1", "support")
     total = F.sum("support")
     macro = classes.groupBy(*by).agg(
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),

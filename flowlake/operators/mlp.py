@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlake.operators.encode import require_labels
 from flowlake.operators.federate import average_parameters
 from flowlake.operators.model import list_array, matrix_of, softmax_rows
 from flowlake.sources.durable import durable, gathered, spread
@@ -94,9 +95,9 @@ def loss_and_gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np
 
 
 def prepare_rows(df: DataFrame, features: str, label: str, client: str | None = None, weight: str | None = None) -> DataFrame:
-    """Written training rows (x, label, client, weight)."""
+    """Written training rows (x, label, client, weight); labels must be known classes."""
     return durable(
-        spread(df).select(
+        spread(require_labels(df, label)).select(
             F.col(features).cast("array<double>").alias("x"),
             F.col(label).cast("int").alias("label"),
             (F.col(client).cast("int") if client else F.lit(0)).alias("client"),

@@ -111,7 +111,7 @@ def latest_csv(spark, folder):
     events = table(spark, folder, "events")
     for column in ("user_id", "event_type"):
         report = events.groupBy(F.col(column).cast("string").alias("name")).agg(F.count("*").alias("n"))
-        report.coalesce(1).write.mode("append").option("header", True).csv(path)
+        report.repartition(4).write.mode("append").option("header", True).csv(path)
     got = readers.latest_csv(spark, path)
     return got.select("name", F.col("n").cast("bigint").alias("n"))
 
@@ -222,7 +222,7 @@ select cast(event_id as varchar) as event_id, cast(amount as varchar) as amount,
   cast(row_number() over (order by event_id desc) <= 10 as int) as label from kept""",
 )
 def capture_drain(spark, folder):
-    """Messages drained from a file stream, cleaned, labelled and written by batch."""
+    """Messages drained from a file stream, landed by batch, then cleaned and labelled as one table."""
     from flowlake.functions.numeric import finite
 
     inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "capture", "checkpoint"))
@@ -235,10 +235,10 @@ def capture_drain(spark, folder):
             F.lit("x").alias("user_agent"),
         )
     )
-    dirty_events(spark, folder).select(message.alias("value")).write.text(inbox)
-    stream = capture.message_stream(spark, "files", path=inbox)
-    capture.capture_once(stream, out, mark, ["event_id"]).awaitTermination()
-    return spark.read.option("basePath", out).parquet(out).drop("batch")
+    dirty_events(spark, folder).select(message.alias("value")).repartition(4).write.text(inbox)
+    stream = capture.message_stream(spark, "files", path=inbox, files="1")  # one batch for each of the files
+    capture.capture_once(stream, out, mark).awaitTermination()
+    return capture.captured(spark, out, ["event_id"])
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +44,22 @@ def read_parts(
 
 
 def latest_csv(spark: SparkSession, folder: str, header: bool = True) -> DataFrame:
-    """Only the newest CSV file of a folder; older files are listed but not read."""
+    """All parts of the newest CSV report of a folder; older reports are listed but not read.
+
+    A report is the run folder that the newest file lies in, or, where reports share one folder,
+    the part files of one write (their names carry its id); a file of any other name stands alone.
+    """
     files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-        .select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path")).limit(1)
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true")
+        .load(folder).select("path", "modificationTime")
     )
-    newest = files.first()
+    newest = files.agg(F.max(F.struct("modificationTime", "path")).alias("last")).first()["last"]
     if newest is None:
         raise FileNotFoundError(f"no CSV file in {folder}")
+    parent, _, name = newest["path"].rpartition("/")
+    part = re.fullmatch(r"part-[0-9]+-([0-9a-f-]{36})[-.].*", name)
+    if part:
+        return read_csv(spark, f"{parent}/part-*-{part[1]}*", header=header)
     return read_csv(spark, newest["path"], header=header)
 
 

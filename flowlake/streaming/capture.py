@@ -53,35 +53,46 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
     )
 
 
-def clean_batch(
-    batch: DataFrame, order: Sequence[str], fields: Sequence[str] | None = None, labelled: int = 10
+def clean_capture(
+    messages: DataFrame, order: Sequence[str], fields: Sequence[str] | None = None, labelled: int = 10
 ) -> DataFrame:
     """Captured messages to a labelled table: columns, both drop lists, fill in order, label.
 
-    ``order`` names message fields (the last one unique) that define the time order.
+    ``order`` names message fields (the last one unique) that define the time order: numbers by
+    value (exact whole numbers of up to 38 digits), other texts after them by code point.
     """
-    rows = json_table(batch, "value", fields=fields)
+    rows = json_table(messages, "value", fields=fields)
     kept = drop_columns(drop_columns(rows, CAPTURE_DROPS_FIRST), CAPTURE_DROPS_SECOND)
-    keys: list[Column] = [F.col(f"`{c}`").cast("double") for c in order]
+    keys: list[Column] = []
+    for c in order:
+        text = F.col(f"`{c}`")
+        keys += [F.expr(f"try_cast(`{c}` as decimal(38,9))").asc_nulls_last(), text.asc()]
     filled = fill_then_drop(kept, kept.columns, keys)
     return label_flag_last(filled, order, labelled)
 
 
-def capture_once(
-    stream: DataFrame, path: str, checkpoint: str, order: Sequence[str], fields: Sequence[str] | None = None
-) -> StreamingQuery:
-    """One bounded capture: every batch is cleaned and written under its own batch partition."""
+def capture_once(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """One bounded capture: every batch lands its raw messages under its own batch partition."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        table = clean_batch(batch, order, fields)
         # overwriting the batch's own folder makes a replayed batch harmless
-        table.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.select("value").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return drain(stream, handle, checkpoint)
 
 
+def captured(
+    spark: SparkSession, path: str, order: Sequence[str], fields: Sequence[str] | None = None, labelled: int = 10
+) -> DataFrame:
+    """The table of all messages landed under ``path`` so far, whatever the batches they came in.
+
+    Columns, fill and label come from the whole capture: one key set, values carried across
+    batches, the last ``labelled`` messages of all.
+    """
+    messages = spark.read.schema("value string").parquet(path)
+    return clean_capture(messages, order, fields, labelled)
+
+
 def receive(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Continuous receipt: records of good payloads to ``records``, ends of bad ones to ``quarantine``.
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flowlake.functions import scores as S
@@ -93,3 +94,23 @@ def test_explained_variance_matches_numpy(spark):
     got = [r["ratio"] for r in profile.explained_variance(df, "v", 4).orderBy("component").collect()]
     want = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     np.testing.assert_allclose(got, want / want.sum(), atol=1e-9)
+
+
+def test_rows_outside_the_grid_count_as_wrong(spark):
+    rows = [(0, 0), (1, 1), (1, 0), (-1, 1), (None, 0), (2, 7), (7, 7), (2, 2)]
+    df = spark.createDataFrame(rows, "t int, p int")
+    cells = metrics.confusion(df, "t", "p", 3)
+    got = metrics.summary(cells).first()
+    assert got["n"] == len(rows) and got["accuracy"] == 3 / 8
+    assert sum(r["n"] for r in cells.collect()) == len(rows)
+    report = {r["row"]: r["support"] for r in metrics.report(cells).collect()}
+    assert report["other"] == 3 and report["weighted avg"] == len(rows)
+
+
+def test_training_refuses_unseen_labels(spark):
+    from flowlake.operators.encode import require_labels
+
+    df = spark.createDataFrame([(0,), (-1,), (None,), (5,)], "label int")
+    with pytest.raises(ValueError, match="3 rows"):
+        require_labels(df, "label", 5)
+    assert require_labels(df.where("label >= 0"), "label").count() == 2
