@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,12 +26,12 @@ from flowlake.llm.rows import arrow_map, field, picked, texts
 from flowlake.sources.durable import durable
 
 SIZES = (4, 5)
-FEATURES = 1 << 14
+FEATURES = 1 << 12
 SURE = 5.0  # standard errors between the class shares of a feature, far beyond what chance gives among millions
 FEWEST = 100  # the surest stay even where the training rows are too few for that
 LEAST = 5  # documents an n-gram must occur in
-SAMPLE = 30_000  # labelled rows the linear model is fitted on, by hash order
-_STEPS = 250
+SAMPLE = 8_000  # labelled rows the linear model is fitted on, by hash order
+_STEPS = 150
 _RIDGE = 2e-5
 _CHUNK = 4_000_000
 _SIEVE = 20  # bits of the table that turns most n-grams away before the exact lookup
@@ -63,8 +64,30 @@ def grams(text: bytes, sizes=SIZES) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``(id, packed, mark)`` of ``rows(id, text)``: texts compressed for the one shuffle that they take."""
+
+    def kernel(batches):
+        for batch in batches:
+            raw = texts(batch, "text")
+            marks = np.fromiter((xxhash.xxh64_intdigest(t) for t in raw), np.uint64, len(raw)).view(np.int64)
+            small = [len(t).to_bytes(8, "little") + pa.compress(t, "zstd", asbytes=True) for t in raw]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(small, pa.binary()), pa.array(marks)], names=["id", "packed", "mark"]
+            )
+
+    return arrow_map(rows, kernel, [field(rows, "id"), T.StructField("packed", T.BinaryType()), T.StructField("mark", T.LongType())])
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    return [
+        pa.decompress(p[8:], decompressed_size=int.from_bytes(p[:8], "little"), codec="zstd", asbytes=True)
+        for p in batch.column(0).to_pylist()
+    ]
+
+
 def presence_counts(labelled: DataFrame) -> DataFrame:
-    """``(gram, toxic, clean)``: documents of each class that have the n-gram, over ``labelled(text, label)``."""
+    """``(gram, toxic, clean)``: documents of each class that have the n-gram, over ``labelled(packed, label)``."""
 
     def partial(parts: list[np.ndarray], labels: list[int]) -> pa.RecordBatch:
         flat = np.concatenate(parts)
@@ -81,7 +104,7 @@ def presence_counts(labelled: DataFrame) -> DataFrame:
     def kernel(batches):
         parts, labels, size = [], [], 0
         for batch in batches:
-            for text, label in zip(texts(batch, "text"), batch.column(1).to_pylist()):
+            for text, label in zip(_unpacked(batch), batch.column(1).to_pylist()):
                 parts.append(np.unique(grams(text)))
                 labels.append(int(label))
                 size += len(parts[-1])
@@ -172,16 +195,18 @@ def _fit_on_sample(labelled: DataFrame, scorer: Scorer, sample: int) -> Scorer:
 
     def present(batches):
         for batch in batches:
-            found = [shared.value.present(t).astype("<u4").tobytes() for t in texts(batch, "text")]
+            found = [shared.value.present(t).astype("<u4").tobytes() for t in _unpacked(batch)]
             fit = pa.array(np.zeros(len(found), np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary()), fit], names=["label", "has", "fit"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), batch.column(2), pa.array(found, pa.binary()), fit], names=["label", "mark", "has", "fit"]
+            )
 
-    # a hash threshold with head-room, then the exact bound
+    # a hash threshold with head-room, features in parallel, then the exact bound on small rows
     total = labelled.count()
     if total > sample:
-        bound = int(-(2**63) + min(1.0, 1.1 * sample / total) * 2**64)
-        labelled = labelled.where(F.col("mark") < bound).orderBy("mark").limit(sample)
-    rows = arrow_map(labelled.select("text", "label"), present, [labelled.schema["label"], T.StructField("has", T.BinaryType()), T.StructField("fit", T.LongType())])
+        labelled = labelled.where(F.col("mark") < int(-(2**63) + 1.1 * sample / total * 2**64) if 1.1 * sample < total else F.lit(True))
+    fields = [labelled.schema["label"], labelled.schema["mark"], T.StructField("has", T.BinaryType()), T.StructField("fit", T.LongType())]
+    rows = arrow_map(labelled.select("packed", "label", "mark"), present, fields).orderBy("mark", "has").limit(sample)
 
     def learn(table: pa.Table) -> pa.Table:
         has = [np.frombuffer(h, "<u4") for h in table.column("has").to_pylist()]
@@ -195,14 +220,14 @@ def _fit_on_sample(labelled: DataFrame, scorer: Scorer, sample: int) -> Scorer:
 
 
 def train(labelled: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> Scorer:
-    """Scorer from ``labelled(text, label, mark)``; counts cover all rows, the weights a bounded sample."""
+    """Scorer from ``labelled(packed, label, mark)``; counts cover all rows, the weights a bounded sample."""
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         empty = Scorer.of(np.empty(0, np.uint64), np.empty(0))
         empty.bias = 40.0 if toxic else -40.0
         return empty
-    scorer = Scorer.of(*choose(presence_counts(labelled.select("text", "label")), toxic, clean, features))
+    scorer = Scorer.of(*choose(presence_counts(labelled.select("packed", "label")), toxic, clean, features))
     return _fit_on_sample(labelled, scorer, sample)
 
 
@@ -219,9 +244,10 @@ def learn_and_score(
     rows = picked(df, id=id_col, text=text_col)
     known = picked(labels, label_id=label_id, label=label_col).where(F.col("label_id").isNotNull() & F.col("label").isNotNull())
     known = durable(known.where(usable(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label")), "toxic-labels")
-    labelled = rows.join(known, rows.id == known.label_id).select(
-        "text", (F.col("label") > 0).cast("int").alias("label"), F.xxhash64("id", "text").alias("mark")
-    )
+    # a sort-merge join at every size: labels are as many as the corpus has
+    labelled = _packed(rows.where(usable(F.col("id")))).join(known.hint("merge"), F.col("id") == F.col("label_id"))
+    mark = F.xxhash64("id", "mark").alias("mark")
+    labelled = labelled.select("packed", (F.col("label") > 0).cast("int").alias("label"), mark)
     labelled = durable(labelled, "toxic-training")
     shared = df.sparkSession.sparkContext.broadcast(train(labelled))
 
