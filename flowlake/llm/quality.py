@@ -191,7 +191,7 @@ def learn(
     shares = known.agg(F.avg("label")).first()[0]
     prior = float(shares) if shares is not None and 0 < shares < 1 else PRIOR
     positives = durable(
-        blocks.join(known.where("label = 1"), F.col("id") == F.col("label_id"), "left_semi").select("x"), "quality-positives"
+        blocks.join(known.where("label = 1").hint("merge"), F.col("id") == F.col("label_id"), "left_semi").select("x"), "quality-positives"
     )
     return fit(blocks, positives, prior), blocks
 
