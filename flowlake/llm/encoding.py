@@ -15,8 +15,9 @@ import numpy as np
 
 from flowlake.llm.rows import once_per_worker
 
-# Pieces and runs a worker remembers before it starts afresh (about 150 bytes each).
-_REMEMBERED = 1_200_000
+# Pieces and runs a worker remembers before it starts afresh (about 200 bytes each); pieces are soon put together from runs.
+_PIECES = 300_000
+_RUNS_KEPT = 400_000
 # Texts are encoded in groups of about so many bytes.
 _GROUP = 2_000_000
 # Printable ASCII and the composed Latin letters of one code page: normalising them is lower-casing.
@@ -62,7 +63,6 @@ class PieceCodec:
             self.sentence_end[number] = token.removesuffix("</w>").endswith((".", "!", "?"))
 
     def _forget(self) -> None:
-        self._known.clear()
         self._runs = _Runs(self._tokenizer.model.tokenize, self._spelled)
 
     def _learn(self, pieces: list[bytes]) -> None:
@@ -83,9 +83,11 @@ class PieceCodec:
         split = [t.split() for t in texts]
         pieces = set().union(*split)
         new = pieces.difference(self._known)
-        if len(self._known) + len(self._runs) + len(new) > _REMEMBERED:
-            self._forget()
+        if len(self._known) + len(new) > _PIECES:
+            self._known.clear()
             new = pieces
+        if len(self._runs) > _RUNS_KEPT:
+            self._forget()
         self._learn(list(new))
         find = self._known.__getitem__
         return [b"".join(map(find, s)) for s in split]
