@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlake.llm.rows import arrow_map, once_per_worker, picked, texts
+from flowlake.sources.durable import durable
 
 # The split pattern the vocabulary was built with (fixed value).
 GPT2_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -59,8 +60,9 @@ def context_table(counts: DataFrame) -> DataFrame:
     ``fitting_documents``/``fitting_tokens``: no longer than the limit. ``longer_documents``/
     ``longer_tokens``: suffix sums beyond it. ``truncated_tokens``: all documents cut at the
     limit. ``share``: part of the documents that fit. Sums run inside blocks of lengths, and
-    over the few block totals.
+    over the few block totals. The histogram is written first: it is read twice, its texts once.
     """
+    counts = durable(counts, "lengths")
     block = F.floor(F.col("tokens") / _BLOCK)
     rows = counts.withColumn("block", block).withColumn("held", F.col("tokens") * F.col("documents"))
     totals = rows.groupBy("block").agg(F.sum("documents").alias("d"), F.sum("held").alias("t"))
