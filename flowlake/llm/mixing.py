@@ -24,7 +24,7 @@ from flowlake.llm.rows import WORD
 from flowlake.sources.durable import durable
 
 SHARD_WORDS = 1 << 22
-_FINE = 12  # bits of the finest shard number
+_FINE = 20  # bits of the finest shard number
 
 
 def _div(a: Column, b: Column | int) -> Column:
@@ -107,7 +107,8 @@ def plan(
     Added: ``_size``, ``_source_size``, ``_target`` (of its source), ``_rounds`` (times the
     whole text is taken), ``_spans`` (word ranges taken once more: ``array<struct<from,to>>``)
     and ``_taken`` (words, repeats counted). The number of shards follows the word total, so
-    no window holds more than about ``SHARD_WORDS`` words however large a source is.
+    no window holds more than about ``SHARD_WORDS`` words, up to a total of ``SHARD_WORDS``
+    times 2**20 (some 30 TB of text); beyond it shards grow with the table.
     """
     named = _names(df, id_col, text_col, source_col, seed)
     fine = F.shiftrightunsigned("_order", 64 - _FINE).cast("int")
