@@ -119,6 +119,25 @@ def test_toxicity_held_out(spark):
     assert sum(clean) / len(clean) < 0.02
 
 
+def test_toxicity_learns_from_all_sure_features_and_a_large_sample(spark):
+    assert (toxicity.FEATURES, toxicity.SAMPLE, toxicity._STEPS) == (1 << 14, 30_000, 250)
+    counts = spark.range(20_000).select(F.col("id").alias("gram"), F.lit(90).alias("toxic"), F.lit(10).alias("clean"))
+    hashes, ratios = toxicity.choose(counts, 100, 100)
+    assert len(hashes) == len(ratios) == 1 << 14
+
+
+def test_stretch_sums_match_bincount(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 40, 300) * (rng.random(300) < 0.7)
+    places = rng.integers(0, 50, sizes.sum()).astype(np.uint32)
+    values = rng.normal(size=50)
+    want = np.bincount(np.repeat(np.arange(300), sizes), values[places], minlength=300)
+    for stretch in (1, 37, 1 << 20):
+        monkeypatch.setattr(toxicity, "_STRETCH", stretch)
+        assert np.allclose(toxicity._stretch_sums(values, places, sizes), want)
+    assert not toxicity._stretch_sums(values, places[:0], np.zeros(3, np.int64)).any()
+
+
 def test_risk_step_falls(spark):
     rng = np.random.default_rng(2)
 
