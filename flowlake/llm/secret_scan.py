@@ -11,7 +11,8 @@ Linked kinds, each with what it needs in scope:
     endpoint   a URL or host:port         an assigned secret or access identifier
     user       an assigned user name      an assigned secret
     part       a short access identifier  an assigned secret or hex run
-    key        a mixed 20+ letter token   an access identifier (of any length) or user name
+    key        a mixed 20+ letter token   an access identifier (of any length) or, in a text
+                                          with a base part, a user name
 
 Scopes never cross texts, so the join is a sorted sweep beside the text itself and nothing is
 shuffled. Edge cases: a null text is empty and has no spans; a text of any length is scanned
@@ -42,7 +43,9 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "endpoint", "user", "part", "key")
 
 SCOPE = 200
-_ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b", re.ASCII | re.IGNORECASE)
+_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.ASCII | re.IGNORECASE)
+_HOST = re.compile(r"\b[a-z0-9-]++(?:(?:\.[a-z0-9-]++)++(:[0-9]{2,5}\b)?)?", re.ASCII | re.IGNORECASE)
+_PORT = re.compile(r":[0-9]{2}")
 _USER = re.compile(r"\b(?:user(?:name)?|login|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{2,})", re.ASCII | re.IGNORECASE)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
 NEEDS = {
@@ -62,25 +65,48 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def weak_spans(text: str, near: list[Span], scope: int) -> list[Span]:
-    """Weak candidates inside the stretches around ``near``: elsewhere they could have no complement of base kind."""
-    windows: list[list[int]] = []
-    for _, start, end in sorted(near, key=lambda s: s[1]):
-        lo, hi = max(0, start - 2 * scope), end + 2 * scope
-        if windows and lo <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], hi)
-        else:
-            windows.append([lo, hi])
-    found: set[Span] = set()
-    for lo, hi in windows:
-        hi = min(hi, len(text))
-        for kind, pattern in (("endpoint", _ENDPOINT), ("user", _USER), ("part", ACCESS), ("key", _TOKEN)):
-            found.update((kind, *m.span()) for m in pattern.finditer(text, lo, hi))
-    taken = {(s, e) for _, s, e in near}
-    inside = sorted((s, e) for _, s, e in near)
+def weak_spans(text: str, base: list[Span]) -> list[Span]:
+    """Weak candidates of the whole text. A kind none of whose complements occurs in the text is not looked for.
+
+    Without base parts user names are no complement either.
+    """
+    have = {kind for kind, _, _ in base}
+    found: list[Span] = []
+    for kind, places in (("user", _users), ("part", _parts), ("key", _keys), ("endpoint", _endpoints)):
+        if kind == "part" or have.intersection(NEEDS[kind]) or kind == "user" and base:
+            spotted = [(kind, *place) for place in places(text)]
+            found += spotted
+            have.update([kind] if spotted else [])
+    taken = {(s, e) for _, s, e in base}
+    inside = sorted(taken)
     return [w for w in found if (w[1], w[2]) not in taken and not _covered(w, inside)]
 
 
+def _users(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _USER.finditer(text)]
+
+
+def _parts(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in ACCESS.finditer(text)]
+
+
+def _keys(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
+def _endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs and host:port, leftmost first and without overlaps; linear in the text, as a run of labels is read once."""
+    found = [(*m.span(), 0) for m in _URL.finditer(text)] if "://" in text else []
+    if _PORT.search(text):
+        found += [(*m.span(), 1) for m in _HOST.finditer(text) if m[1]]
+    kept, until = [], 0
+    for start, end, _ in sorted(found, key=lambda f: (f[0], f[2])):
+        if start >= until:
+            kept.append((start, end))
+            until = end
+    return kept
+
+
 def _covered(weak: Span, spans: list[tuple[int, int]]) -> bool:
     """Whether a base span that starts no later reaches the end of a weak one (base spans of a kind do not overlap)."""
     at = bisect_left(spans, (weak[1] + 1,))
@@ -111,7 +137,7 @@ def scan(text: str, scope: int = SCOPE) -> tuple[list[Span], list[Span]]:
     """(base spans, linked weak spans), each by start and kind; code points, end exclusive."""
     rank = KINDS.index
     base = sorted(base_spans(text), key=lambda s: (s[1], rank(s[0])))
-    weak = linked(base + weak_spans(text, base, scope), scope) if base else []
+    weak = linked(base + weak_spans(text, base), scope)
     return base, sorted(weak, key=lambda s: (s[1], rank(s[0]), s[2]))
 
 
@@ -163,7 +189,7 @@ def redacted(
             out = []
             for value in batch.column(at).to_pylist():
                 base, weak = scan(value or "", scope)
-                out.append(masked(value, base + weak, mark) if base else None)
+                out.append(masked(value, base + weak, mark) if base or weak else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "_new"])
 
     done = arrow_map(rows, kernel, [*rows.schema.fields, T.StructField("_new", T.StringType(), True)])
