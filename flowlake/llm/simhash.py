@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return arrow_map(rows, kernel, fields)
 
 
-def _text_mark(text: Column) -> Column:
+def text_mark(text: Column) -> Column:
     """The ``mark`` of ``fingerprints`` as a column: Spark hashes strings by the same function and seed."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -148,7 +148,12 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of repeated rows with that id the one with the smallest text hash stays. A component
     without any id keeps its row with the smallest text hash.
     """
-    found = durable(clusters(df, id_col, text_col, size, bits), "clusters")
+    return one_per_root(df, clusters(df, id_col, text_col, size, bits), id_col, text_col)
+
+
+def one_per_root(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that ``found(id, mark, root, component)`` names, one per root."""
+    found = durable(found, "clusters")
     best = (
         found.where(F.col("id").eqNullSafe(F.col("component")))
         .groupBy("root")
@@ -156,7 +161,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col("best.id").alias("_kept_id"), F.col("best.mark").alias("_kept_mark"))
     )
     columns = [df[c].alias(f"_column{i}") for i, c in enumerate(df.columns)]
-    ours = df.select(*columns, df[id_col].alias("_id"), _text_mark(df[text_col]).alias("_mark"))
+    ours = df.select(*columns, df[id_col].alias("_id"), text_mark(df[text_col]).alias("_mark"))
     kept = ours.join(best, ours["_id"].eqNullSafe(best["_kept_id"]) & (ours["_mark"] == best["_kept_mark"]))
     again = Window.partitionBy("_kept_id", "_kept_mark").orderBy("_id")
     once = kept.withColumn("_copy", F.row_number().over(again)).where("_copy = 1")
