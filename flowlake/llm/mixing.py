@@ -4,8 +4,8 @@ The word total of the table is shared among the sources by weight; no source's t
 ``ceiling`` times its own words, and what it leaves is shared again by weight. Targets are cut
 into blocks of ``block`` words. Blocks go to sources, then each source's blocks to its shards,
 by the highest quotients ``weight / (2k - 1)``. Inside a shard documents lie in seeded order
-on one line of words, the line is cut into equal blocks, and the quota picks blocks with a
-seeded start: whole rounds of the line first, then evenly spaced ones.
+on one line of words, and the quota takes the line from its head: whole rounds first, then its
+first blocks. So all texts are whole but one a shard, which ends where the quota does.
 
 Edge cases: a null or wordless text has size 0, takes nothing and is absent from the mix;
 null is a source of its own, last in order; repeated rows are separate documents; an empty
@@ -105,8 +105,7 @@ def plan(
     """Every row of ``df`` as ``_column0, _column1, ...`` with its part in the mix.
 
     Added: ``_size``, ``_source_size``, ``_target`` (of its source), ``_rounds`` (times the
-    whole text is taken), ``_spans`` (word ranges taken once more: ``array<struct<from,to>>``)
-    and ``_taken`` (words, repeats counted). The number of shards follows the word total, so
+    whole text is taken), ``_more`` (its first words, taken once more) and ``_taken`` (words, repeats counted). The number of shards follows the word total, so
     no window holds more than about ``SHARD_WORDS`` words, up to a total of ``SHARD_WORDS``
     times 2**20 (some 30 TB of text); beyond it shards grow with the table.
     """
@@ -142,8 +141,7 @@ def plan(
             "cell_words",
             "pieces",
             _div(F.col("quota"), F.col("pieces")).alias("_rounds"),
-            (F.col("quota") % F.col("pieces")).cast("bigint").alias("more"),
-            F.pmod(F.xxhash64(F.lit(seed), "key", "shard"), F.col("pieces")).alias("start_at"),
+            _div((F.col("quota") % F.col("pieces")).cast("bigint") * F.col("cell_words"), F.col("pieces")).alias("more_words"),
         ),
         "cells",
     )
@@ -152,59 +150,30 @@ def plan(
     laid = laid.withColumn(
         "_from", F.coalesce(F.sum("_size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    return _with_spans(laid.join(cells, ["_key", "_shard"]))
-
-
-def _with_spans(rows: DataFrame) -> DataFrame:
-    """Word ranges of the picked blocks on each document's stretch of its line.
-
-    Block k of n covers words floor(k c / n) up to floor((k + 1) c / n); it is picked when
-    (k m + start) / n passes a whole number at k + 1, which happens for exactly m blocks.
-    """
-    begin, end = F.col("_from"), F.col("_from") + F.col("_size")
-    c, n, m, u = F.col("cell_words"), F.col("pieces"), F.col("more"), F.col("start_at")
-    first = _div((begin + 1) * n - 1, c)
-    last = _div(end * n - 1, c)
-    picked = F.filter(F.sequence(first, last), lambda k: _div((k + 1) * m + u, n) > _div(k * m + u, n))
-    spans = F.transform(
-        picked,
-        lambda k: F.struct(
-            (F.greatest(_div(k * c, n), begin) - begin).alias("from"),
-            (F.least(_div((k + 1) * c, n), end) - begin).alias("to"),
-        ),
-    )
-    none = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    rows = rows.withColumn("_spans", F.when(F.col("_size") > 0, spans).otherwise(none))
-    extra = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
-    return rows.withColumn("_taken", F.col("_rounds") * F.col("_size") + extra)
+    rows = laid.join(cells, ["_key", "_shard"])
+    more = F.greatest(F.least(F.col("more_words") - F.col("_from"), "_size"), F.lit(0)).cast("bigint")
+    rows = rows.withColumn("_more", more)
+    return rows.withColumn("_taken", F.col("_rounds") * F.col("_size") + F.col("_more"))
 
 
 def mixed(
     df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options
 ) -> DataFrame:
-    """The mix itself, columns as in ``df``: whole copies, and one excerpt with the words taken once more.
+    """The mix itself, columns as in ``df``: whole copies, and in each shard of a source one text at most that is cut.
 
-    An excerpt keeps the blanks before each of its words but the first; ``chars_col``, when it
-    is a column, becomes its length.
+    A cut text keeps its first words and the blanks between them; ``chars_col``, when it is a
+    column, becomes its length.
     """
     planned = plan(df, text_col=text_col, **options).where("_taken > 0")
     at = df.columns.index(text_col)
     text = F.col(f"_column{at}")
+    is_cut = (F.col("_more") > 0) & (F.col("_more") < F.col("_size"))
     pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = planned.withColumn("_pieces", F.when(F.size("_spans") > 0, pieces))
-    joined = F.array_join(
-        F.flatten(
-            F.transform(
-                "_spans",
-                lambda s: F.slice(F.col("_pieces"), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")),
-            )
-        ),
-        "",
-    )
-    excerpt = F.when(F.size("_spans") > 0, F.regexp_replace(joined, r"^[\x20\x09-\x0D]+", ""))
-    whole = F.array_repeat(F.lit(None).cast("string"), F.col("_rounds").cast("int"))
-    copies = F.concat(whole, F.when(F.size("_spans") > 0, F.array(excerpt)).otherwise(F.array().cast("array<string>")))
-    rows = cut.withColumn("_excerpt", F.explode(copies))
+    head = F.regexp_replace(F.array_join(F.slice(pieces, 1, F.col("_more").cast("int")), ""), r"^[\x20\x09-\x0D]+", "")
+    times = F.col("_rounds") + F.when(F.col("_more") == F.col("_size"), 1).otherwise(0)
+    whole = F.array_repeat(F.lit(None).cast("string"), times.cast("int"))
+    copies = F.concat(whole, F.when(is_cut, F.array(head)).otherwise(F.array().cast("array<string>")))
+    rows = planned.withColumn("_excerpt", F.explode(copies))
     out = []
     for i, name in enumerate(df.columns):
         value = F.col(f"_column{i}")

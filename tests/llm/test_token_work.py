@@ -177,6 +177,20 @@ def test_mix_meets_targets_and_reruns_agree(spark, small):
     assert got == {s: n for s, n in taken.items() if n}
 
 
+def test_mixed_texts_are_whole_but_one_a_shard(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault((r["doc_id"], r["source"]), []).append(r["text"])
+    cut = []
+    for r in mixing.mixed(docs).collect():
+        whole = texts[r["doc_id"], r["source"]]
+        if r["text"] not in whole:
+            assert any(r["text"] in t for t in whole)
+            cut.append(r["source"])
+    assert len(cut) == len(set(cut)) and cut
+
+
 def test_mix_awkward_rows(spark):
     check_mix(awkward(spark), [(r[2], r[1]) for r in ROWS])
     assert mixing.mixed(awkward(spark)).columns == awkward(spark).columns
