@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import digest, ego, lm, mixing, packing, quality, secret_scan, simhash, token_counts, toxicity
+from flowlake.llm import alignment, digest, ego, lm, mixing, packing, quality, secret_scan, simhash, token_counts, toxicity, warc, whitening
 from flowlake.llm.rows import remainder
+from flowlake.sources.durable import fresh_path
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +155,26 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.learn_and_score(table(spark, folder, "documents"), table(spark, folder, "labels"), toxic_fold)
     return _judged(scored, toxic_fold)
+
+
+@query
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = fresh_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), archive)
+    return warc.read(spark, archive).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    # a sum of squares beyond 63 bits has no place in a bigint
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)")).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
