@@ -16,15 +16,14 @@ a row without id is a row like any other; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +37,6 @@ FREQUENT = 200_000
 # Texts are encoded in groups of about so many bytes; pairs are summed when so many are held.
 _GROUP = 1_000_000
 _HELD = 2_000_000
-# Pieces a worker remembers before it starts afresh.
-_PIECES = 400_000
 # Pair counts are ranked in this many steps per doubling.
 _STEPS = 4
 _LOW = (1 << 32) - 1
@@ -63,24 +60,27 @@ class Side:
         self.lengths = np.array([len(s) for s in self.spelled], np.int64)
 
 
-class _Pieces(dict):
-    """Piece of a split text -> its ids as bytes, asked of the model once."""
+def _ranked(coder, spelled: list[bytes]):
+    """The same vocabulary as a rank-based encoder, which is several times faster; None where ids do not follow the merges."""
+    import tiktoken
 
-    def __init__(self, tokens):
-        super().__init__()
-        letters = {b: c for c, b in byte_letters().items()}
-        self._tokens = lambda piece: tokens("".join(map(letters.__getitem__, piece.encode())))
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = array("I", [t.id for t in self._tokens(piece)]).tobytes()
-        return ids
+    model = json.loads(coder.to_str())
+    split = model["pre_tokenizer"] or {}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+    bytes_first = sorted(spelled[:256]) == [bytes([b]) for b in range(256)]
+    letters = byte_letters()
+    in_order = all(spelled[256 + i] == bytes(letters[c] for c in x + y) for i, (x, y) in enumerate(merges))
+    if split.get("type") != "ByteLevel" or not split.get("use_regex", True) or not bytes_first or not in_order:
+        return None
+    ranks = {s: i for i, s in enumerate(spelled[: 256 + len(merges)])}
+    return tiktoken.Encoding("aligned", pat_str=GPT2_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def byte_level(path: str) -> Side:
     """A byte-level BPE file of the ``tokenizers`` library; it is given a space before the text.
 
-    Texts of Latin letters and common signs only, on whose classes all regex engines agree, are split here
-    and their pieces remembered; all others are left to the library.
+    Texts of Latin letters and common signs only, on whose classes all regex engines agree, go to a faster
+    encoder with the same ranks; all others to the library.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -91,15 +91,12 @@ def byte_level(path: str) -> Side:
     spelled = [b""] * coder.get_vocab_size()
     for token, number in coder.get_vocab().items():
         spelled[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-    known = _Pieces(coder.model.tokenize)
-    split, common = regex.compile(GPT2_PATTERN).findall, re.compile(r"[\t-\r -~\u00A1-\u024F]*").fullmatch
+    fast, common = _ranked(coder, spelled), re.compile(r"[\t-\r -~\u00A1-\u024F]*").fullmatch
 
     def encode(group: list[str]) -> Iterator[Sequence[int]]:
-        if len(known) > _PIECES:
-            known.clear()
         for text in group:
-            if common(text):
-                yield array("I", b"".join(map(known.__getitem__, split(" " + text))))
+            if fast and common(text):
+                yield fast.encode_to_numpy(" " + text, disallowed_special=())
             else:
                 yield coder.encode(" " + text, add_special_tokens=False).ids
 
@@ -137,8 +134,10 @@ class Aligner:
     def align(self, text: bytes, ids_a: Sequence[int], ids_b: Sequence[int]) -> dict | None:
         """Groups and links of one text; nothing when a side does not spell it."""
         whole = b" " + text
-        if b"".join(map(self.a.spelled.__getitem__, ids_a)) != whole or b"".join(map(self.b.spelled.__getitem__, ids_b)) != whole:
-            return None
+        # a ranked encoder, which gives arrays, spells every text
+        for side, ids in ((self.a, ids_a), (self.b, ids_b)):
+            if not isinstance(ids, np.ndarray) and b"".join(map(side.spelled.__getitem__, ids)) != whole:
+                return None
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         ends_a, ends_b = self.a.lengths[a].cumsum(), self.b.lengths[b].cumsum()
         marks = np.zeros(len(whole) + 1, np.int8)
