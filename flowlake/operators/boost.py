@@ -1,17 +1,23 @@
 """Multiclass boosted trees grown by Spark jobs.
 
-Rows are binned once and written. One tree level is one job over all rows: every task adds
-up gradient histograms of its rows, Spark sums them per (track, client, class, node,
-feature, bin), and window functions pick the best split of each node. Only the chosen
-splits, a few numbers per node, reach the driver. A track is one parameter set and a client
-one owner of rows; both are plain keys of the same job, so all trials or all clients grow
-their trees of a round together. Nothing is ever grouped by client, so one client holding a
-third of all rows is spread over as many tasks as its rows fill.
+Rows are binned once and written, with the margins of the model so far. One tree level is one job over
+all rows: every task adds up gradient histograms of its rows, Spark sums them per (track, client,
+class, node, feature, bin), and window functions pick the best split of each node. Only the
+chosen splits, a few numbers per node, reach the driver. After each local round the margins are
+written anew with the round's trees added, so a tree is walked while it grows and once when it is
+finished, and a round costs the same however many went before. Where several clients train on their own for some
+rounds, rows carry their own client's margins beside the shared ones until the round is combined.
+
+A track is one parameter set and a client one owner of rows; both are plain keys of the same
+job, so all trials or all clients grow their trees of a round together. Margins of tracks that are out
+leave the rows at the next write. Nothing is ever grouped by client, so one client holding a third
+of all rows is spread over as many tasks as its rows fill.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import math
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -19,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.operators.encode import require_labels
 from flowlake.functions.numeric import finite
-from flowlake.operators.model import NODE_SCHEMA, BoostModel, Tree, leaf_sums, list_array, matrix_of, softmax_rows
+from flowlake.operators.convergence import Patience
+from flowlake.operators.encode import require_labels
+from flowlake.operators.model import NODE_SCHEMA, BoostModel, Tree, leaf_sums, matrix_of, packed, softmax_rows, unpacked
 from flowlake.sources.durable import Slots, gathered, spread
 
 MAX_BINS = 32
@@ -50,18 +57,68 @@ class BoostParams:
     max_leaves: int = 0
     seed: int = 42
 
+    def fault(self) -> str | None:
+        """What makes these parameters unusable, if anything."""
+        shares = ("subsample", "colsample_bytree", "colsample_bylevel", "colsample_bynode")
+        for name in shares:
+            if not 0 < getattr(self, name) <= 1:
+                return f"{name} must lie in (0, 1]"
+        for name in ("eta", "min_child_weight", "gamma", "reg_lambda", "reg_alpha", "max_delta_step"):
+            if not 0 <= getattr(self, name) < math.inf:
+                return f"{name} must be a number from 0 on"
+        if self.grow_policy not in ("depthwise", "lossguide"):
+            return f"unknown grow_policy {self.grow_policy}"
+        if self.grow_policy == "lossguide" and self.max_depth <= 0 and self.max_leaves <= 0:
+            return "lossguide needs max_depth or max_leaves"
+        return None if self.rounds >= 1 else "rounds must be at least 1"
+
 
 @dataclass
 class BoostData:
-    """Binned rows (written) with the cut points of each feature."""
+    """Binned rows (written) with the cut points of each feature and the tracks whose margins they carry.
+
+    Rows are ``row_id, client, label, weight, is_val, bins, margin`` and, while clients train on their
+    own, ``own``: the margins of the row's own client. Bins and margins are bytes, one number per
+    feature (0: missing) or per (track, class).
+    """
 
     rows: DataFrame
     features: list[str]
     edges: list[list[float]]
     classes: int
-    tracks: int
+    tracks: tuple[int, ...]
     slots: Slots = field(repr=False, default=None)
 
+    def layout(self) -> _Layout:
+        width = max(len(e) for e in self.edges) + 2
+        return _Layout(len(self.features), self.classes, self.tracks, width, "own" if "own" in self.rows.columns else "margin")
+
+
+@dataclass(frozen=True)
+class _Layout:
+    """How rows are packed: plain values, so that kernels do not drag the table into the task."""
+
+    features: int
+    classes: int
+    tracks: tuple[int, ...]
+    width: int
+    current: str
+
+    @property
+    def kind(self):
+        return np.uint8 if self.width <= 256 else np.uint16
+
+    def bins(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Bin of every feature, -1 where it is missing."""
+        return unpacked(batch.column("bins"), self.features, self.kind).astype(np.int64) - 1
+
+    def margins(self, batch: pa.RecordBatch, column: str) -> np.ndarray:
+        return unpacked(batch.column(column), len(self.tracks) * self.classes, np.float64)
+
+    def span(self, track: int) -> slice:
+        at = self.tracks.index(track) * self.classes
+        return slice(at, at + self.classes)
+
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int = MAX_BINS) -> list[list[float]]:
     """Ascending distinct cut points per feature from one approximate-percentile pass.
@@ -86,13 +143,13 @@ def prepare(
     tracks: int = 1,
     start: BoostModel | None = None,
     edges: list[list[float]] | None = None,
+    bins: int = MAX_BINS,
 ) -> BoostData:
     """Bin the feature columns and write the training rows.
 
     ``start`` is an existing model: its margins become the starting point of every track.
     """
-    df = require_labels(df, label, classes)
-    edges = edges or bin_edges(df, features)
+    edges = edges or bin_edges(df, features, bins)
     x = F.array(*[finite(c).cast("double") for c in features])
     rows = df.select(
         F.xxhash64(key).alias("row_id"),
@@ -102,14 +159,17 @@ def prepare(
         (validation if validation is not None else F.lit(False)).alias("is_val"),
         x.alias("x"),
     )
-    trees = start.trees if start else []
-    schema = "row_id bigint, client int, label int, weight double, is_val boolean, bins array<smallint>, margin array<double>"
-    binned = spread(rows).mapInArrow(_binner(edges, trees, classes, tracks), schema)
-    slots = Slots(df.sparkSession, "boost")
-    return BoostData(slots.put(binned), list(features), edges, classes, tracks, slots)
+    data = BoostData(rows, list(features), edges, classes, tuple(range(tracks)), Slots(df.sparkSession, "boost"))
+    schema = "row_id bigint, client int, label int, weight double, is_val boolean, bins binary, margin binary"
+    kernel = _binner(data.layout(), edges, start.trees if start else [])
+    data.rows = require_labels(data.slots.put(spread(rows).mapInArrow(kernel, schema)), "label", classes)
+    return data
+
 
+_KEPT = ["row_id", "client", "label", "weight", "is_val"]
 
-def _binner(edges, trees: list[Tree], classes: int, tracks: int):
+
+def _binner(layout: _Layout, edges, trees: list[Tree]):
     cuts = [np.asarray(e, dtype=float) for e in edges]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,14 +177,12 @@ def _binner(edges, trees: list[Tree], classes: int, tracks: int):
             if not batch.num_rows:
                 continue
             x = matrix_of(batch.column("x"), len(cuts), float)  # nulls arrive as NaN
-            bins = np.empty(x.shape, dtype=np.int16)
+            bins = np.empty(x.shape, dtype=layout.kind)
             for f, cut in enumerate(cuts):
-                bins[:, f] = np.where(np.isnan(x[:, f]), -1, np.searchsorted(cut, x[:, f], side="left"))
-            margin = np.tile(leaf_sums(trees, classes, x, raw=True), (1, tracks))
-            kept = [batch.column(c) for c in ("row_id", "client", "label", "weight", "is_val")]
+                bins[:, f] = np.where(np.isnan(x[:, f]), 0, np.searchsorted(cut, x[:, f], side="left") + 1)
+            margin = np.tile(leaf_sums(trees, layout.classes, x, raw=True), (1, len(layout.tracks)))
             yield pa.RecordBatch.from_arrays(
-                [*kept, list_array(bins), list_array(margin)],
-                names=["row_id", "client", "label", "weight", "is_val", "bins", "margin"],
+                [*[batch.column(c) for c in _KEPT], packed(bins), packed(margin)], names=[*_KEPT, "bins", "margin"]
             )
 
     return run
@@ -183,13 +241,9 @@ def _gradients(margin: np.ndarray, label: np.ndarray, weight: np.ndarray):
     return g * weight[:, None], h * weight[:, None]
 
 
-def _histograms(data: BoostData, params: dict[int, BoostParams], growing: list[_Growing], pending: list[Tree], turn: int):
+def _histograms(layout: _Layout, params: dict[int, BoostParams], growing: list[_Growing], turn: int):
     """Kernel: partial gradient sums of one task's rows, non-empty cells only."""
-    # plain values only: the kernel must not drag the table into the task
-    features, classes, tracks = len(data.features), data.classes, data.tracks
-    width = max(len(e) for e in data.edges) + 2
-    shared = [t for t in pending if not t.local]
-    private = [t for t in pending if t.local]
+    features, width = layout.features, layout.width
     owners: dict[tuple[int, int], list[_Growing]] = {}
     for item in growing:
         owners.setdefault((item.track, item.client), []).append(item)
@@ -199,8 +253,7 @@ def _histograms(data: BoostData, params: dict[int, BoostParams], growing: list[_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins = matrix_of(batch.column("bins"), features, np.int64)
-            margins = matrix_of(batch.column("margin"), tracks * classes, float)
+            bins, margins = layout.bins(batch), layout.margins(batch, layout.current)
             client = batch.column("client").to_numpy()
             label = batch.column("label").to_numpy()
             weight = batch.column("weight").to_numpy()
@@ -212,11 +265,7 @@ def _histograms(data: BoostData, params: dict[int, BoostParams], growing: list[_
                     continue
                 by_feature = np.ascontiguousarray(bins[rows].T)
                 b = by_feature.T
-                mine = [t for t in shared if t.track == track] + [
-                    t for t in private if t.track == track and t.client == owner
-                ]
-                m = margins[rows, track * classes : (track + 1) * classes] + leaf_sums(mine, classes, b)
-                g, h = _gradients(m, label[rows], weight[rows])
+                g, h = _gradients(margins[rows, layout.span(track)], label[rows], weight[rows])
                 for item in items:
                     nodes = len(item.measure)
                     slot = item.slots()[item.tree.place(b)]
@@ -323,45 +372,44 @@ def _leaf(p: BoostParams, g: float, h: float) -> float:
     shrunk = np.sign(g) * max(abs(g) - p.reg_alpha, 0.0)
     value = -shrunk / (h + p.reg_lambda)
     if p.max_delta_step > 0:
-        value = float(np.clip(value, -p.max_delta_step, p.max_delta_step))
-    return float(p.eta * value)
+        value = np.clip(value, -p.max_delta_step, p.max_delta_step)
+    return p.eta * float(value)
 
 
 def grow_round(
-    data: BoostData,
-    params: dict[int, BoostParams],
-    clients: Sequence[int],
-    pending: list[Tree],
-    turn: int,
-    local: bool = False,
-) -> list[Tree]:
-    """One tree per (track, client, class), level by level (or leaf by leaf)."""
-    growing = {
-        (t, c, k): _Growing(t, c, k, Tree(t, c, turn, k, local=local), [1])
-        for t in params
-        for c in clients
-        for k in range(data.classes)
-    }
-    train = gathered(data.rows.where(~F.col("is_val")).drop("is_val"))
+    data: BoostData, params: dict[int, BoostParams], owners: Collection[tuple[int, int]], turn: int
+) -> tuple[list[Tree], set[int]]:
+    """One tree per (track, client) of ``owners`` and class, level by level (or leaf by leaf).
+
+    Tracks whose gradients or leaves are no finite numbers come back as the second part; their trees end there.
+    """
+    growing = {(t, c, k): _Growing(t, c, k, Tree(t, c, turn, k), [1]) for t, c in owners for k in range(data.classes)}
+    layout = data.layout()
+    used = ["row_id", "client", "label", "weight", "bins", layout.current]
+    train = gathered(data.rows.where(~F.col("is_val")).select(*used))
     options: dict[tuple, dict[int, tuple]] = {key: {} for key in growing}
+    failed: set[int] = set()
     while True:
-        todo = [g for g in growing.values() if g.measure]
+        todo = [g for g in growing.values() if g.measure and g.track not in failed]
         if not todo:
             break
-        kernel = _histograms(data, params, todo, pending, turn)
-        found = best_splits(train.mapInArrow(kernel, _CELLS), params).collect()
+        found = best_splits(train.mapInArrow(_histograms(layout, params, todo, turn), _CELLS), params).collect()
         for item in todo:
             item.measure = []
         for r in found:
             key = (r["track"], r["client"], r["class"])
             item, p = growing[key], params[r["track"]]
+            if not (math.isfinite(r["g"]) and math.isfinite(r["h"]) and math.isfinite(_leaf(p, r["g"], r["h"]))):
+                failed.add(item.track)
+                continue
             if r["node"] == 1:
                 item.tree.set_leaf(1, _leaf(p, r["g"], r["h"]))
             if r["gain"] is not None and r["gain"] > 0 and _may_deepen(p, r["node"]):
                 options[key][r["node"]] = r
         for key, item in growing.items():
-            _expand(item, options[key], params[item.track], data.edges)
-    return [g.tree for g in growing.values()]
+            if item.track not in failed:
+                _expand(item, options[key], params[item.track], data.edges)
+    return [g.tree for g in growing.values()], failed
 
 
 def _may_deepen(p: BoostParams, node: int) -> bool:
@@ -393,49 +441,64 @@ def _expand(item: _Growing, options: dict, p: BoostParams, edges) -> None:
 # ---- rounds --------------------------------------------------------------------------------
 
 
-def _adder(data: BoostData, trees: list[Tree]):
-    """Kernel: add the leaf values of finished trees to the stored margins."""
-    features, classes, tracks = len(data.features), data.classes, data.tracks
+def _adder(layout: _Layout, trees: list[Tree], tracks: tuple[int, ...], own: bool):
+    """Kernel: rows with the leaf values of finished trees added to their margins, for ``tracks`` only.
+
+    ``own`` adds each client's trees to its own rows, in the column of that name; otherwise all trees are added to all
+    rows' shared margins, and own ones go.
+    """
+    base = layout.current if own else "margin"
+    columns = np.r_[tuple(layout.span(t) for t in tracks)]
+
+    def moved(matrix: np.ndarray) -> np.ndarray:
+        return matrix if tracks == layout.tracks else matrix[:, columns]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins = matrix_of(batch.column("bins"), features, np.int64)
-            margin = matrix_of(batch.column("margin"), tracks * classes, float)
-            for track in {t.track for t in trees}:
-                mine = [t for t in trees if t.track == track]
-                margin[:, track * classes : (track + 1) * classes] += leaf_sums(mine, classes, bins)
-            columns = [batch.column(c) if c != "margin" else list_array(margin) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            bins, margin = layout.bins(batch), np.array(layout.margins(batch, base))
+            if own:
+                client = batch.column("client").to_numpy()
+                for c in {t.client for t in trees}:
+                    rows = np.flatnonzero(client == c)
+                    for track in layout.tracks:
+                        mine = [t for t in trees if t.track == track and t.client == c]
+                        if mine and len(rows):
+                            margin[rows, layout.span(track)] += leaf_sums(mine, layout.classes, bins[rows])
+            else:
+                for track in layout.tracks:
+                    margin[:, layout.span(track)] += leaf_sums([t for t in trees if t.track == track], layout.classes, bins)
+            kept = [batch.column(c) for c in (*_KEPT, "bins")]
+            shared = packed(moved(layout.margins(batch, "margin") if own else margin))
+            added = [packed(moved(margin))] if own else []
+            yield pa.RecordBatch.from_arrays([*kept, shared, *added], names=[*_KEPT, "bins", "margin", *["own"] * own])
 
     return run
 
 
-def _judge(data: BoostData, judged: Sequence[int], pending: list[Tree]):
+def _judge(layout: _Layout, judged: Sequence[int]):
     """Kernel: confusion counts and log-loss sums of one task's validation rows."""
-    features, classes, tracks = len(data.features), data.classes, data.tracks
+    classes = layout.classes
+    cells = classes * classes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], list[np.ndarray]] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins = matrix_of(batch.column("bins"), features, np.int64)
-            margin = matrix_of(batch.column("margin"), tracks * classes, float)
+            margin = layout.margins(batch, layout.current)
             label = batch.column("label").to_numpy()
-            client = batch.column("client").to_numpy()
+            clients, own = np.unique(batch.column("client").to_numpy(), return_inverse=True)
             for t in judged:
-                mine = [x for x in pending if x.track == t]
-                m = margin[:, t * classes : (t + 1) * classes] + leaf_sums(mine, classes, bins)
+                m = margin[:, layout.span(t)]
                 m = m - m.max(axis=1, keepdims=True)
                 logp = m[np.arange(len(label)), label] - np.log(np.exp(m).sum(axis=1))
-                cell = label * classes + m.argmax(axis=1)
-                for c in np.unique(client):
-                    own = client == c
-                    sums = total.setdefault((t, int(c)), [np.zeros(classes * classes) for _ in range(2)])
-                    sums[0] += np.bincount(cell[own], minlength=classes * classes)
-                    sums[1] += np.bincount(cell[own], -logp[own], minlength=classes * classes)
+                cell = own * cells + label * classes + m.argmax(axis=1)
+                sums = [np.bincount(cell, w, minlength=len(clients) * cells) for w in (None, -logp)]
+                for i, c in enumerate(clients):
+                    part = np.array([s[i * cells : (i + 1) * cells] for s in sums])
+                    total[t, int(c)] = total.get((t, int(c)), 0.0) + part
         for (t, c), (n, loss) in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
@@ -453,10 +516,12 @@ def _judge(data: BoostData, judged: Sequence[int], pending: list[Tree]):
     return run
 
 
-def validate(data: BoostData, tracks: Sequence[int], pending: list[Tree]) -> DataFrame:
-    """Validation cells (track, client, true_class, pred_class, n, loss) of the model so far."""
-    cells = gathered(data.rows.where("is_val")).mapInArrow(
-        _judge(data, tracks, pending),
+def validate(data: BoostData, tracks: Sequence[int]) -> DataFrame:
+    """Validation cells (track, client, true_class, pred_class, n, loss) of the model so far, or of each client's own."""
+    layout = data.layout()
+    rows = data.rows.where("is_val").select("client", "label", layout.current)
+    cells = gathered(rows).mapInArrow(
+        _judge(layout, tracks),
         "track int, client int, true_class int, pred_class int, n bigint, loss double",
     )
     return cells.groupBy("track", "client", "true_class", "pred_class").agg(
@@ -464,6 +529,12 @@ def validate(data: BoostData, tracks: Sequence[int], pending: list[Tree]) -> Dat
     )
 
 
+def client_losses(cells: DataFrame) -> dict[tuple[int, int], float]:
+    """Mean validation loss per (track, client): one number each."""
+    rows = cells.groupBy("track", "client").agg((F.sum("loss") / F.sum("n")).alias("loss")).collect()
+    return {(r["track"], r["client"]): r["loss"] for r in rows}
+
+
 def track_scores(cells: DataFrame, by: Sequence[str] = ("track",)) -> DataFrame:
     """Weighted scores, mlogloss and the trial objective per group of validation cells.
 
@@ -499,43 +570,74 @@ def cell_scores(cells: Sequence[Row], classes: int) -> dict[str, float]:
 
 @dataclass
 class Trainer:
-    """Rounds over one prepared table. Margins are rewritten every ``keep_every`` rounds;
-    in between the newer trees are applied on the fly."""
+    """Rounds over one prepared table. ``failed`` holds the tracks that ran out of finite numbers."""
 
     data: BoostData
     params: dict[int, BoostParams]
-    keep_every: int = 5
     trees: list[Tree] = field(default_factory=list)
-    pending: list[Tree] = field(default_factory=list)
     turn: int = 0
-    _since: int = 0
+    failed: set[int] = field(default_factory=set)
+    local_losses: list[tuple[int, int, int, float]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        for track, p in self.params.items():
+            if fault := p.fault():
+                raise ValueError(f"track {track}: {fault}")
         # own margin tables: the prepared table stays as it is for the next trainer
         self.data = replace(self.data, slots=Slots(self.data.rows.sparkSession, "margins"))
 
-    def round(self, clients: Sequence[int] = (0,), local_rounds: int = 1, tracks: Sequence[int] | None = None) -> list[Tree]:
-        """Let the clients train ``local_rounds`` from the current model, then append all their trees."""
-        params = {t: self.params[t] for t in (tracks if tracks is not None else self.params)}
-        own: list[Tree] = []
-        for _ in range(local_rounds):
-            own += grow_round(self.data, params, clients, self.pending + own, self.turn, local=True)
+    def round(
+        self, clients: Sequence[int] = (0,), local_rounds: int = 1, tracks: Sequence[int] | None = None, patience: int | None = None
+    ) -> list[Tree]:
+        """Let the clients train ``local_rounds`` from the current model, then append all their trees.
+
+        With ``patience`` a client stops when its own validation loss has gone so many local rounds without
+        a new best; the others go on. ``local_losses`` gets (turn, track, client, loss) for each of them.
+        """
+        params = {t: self.params[t] for t in (tracks if tracks is not None else self.params) if t not in self.failed}
+        alone = len(clients) > 1 and local_rounds > 1
+        live = {(t, c) for t in params for c in clients}
+        stop = Patience(patience) if patience is not None else None
+        made: list[Tree] = []
+        for number in range(local_rounds):
+            grown, failed = grow_round(self.data, params, sorted(live), self.turn)
+            self.failed |= failed
+            grown = [t for t in grown if t.track not in self.failed]
+            made += grown
+            live = {o for o in live if o[0] not in self.failed}
+            last = number == local_rounds - 1
+            if not alone:
+                self._write(grown, own=False)
+            elif not last or stop:
+                self._write(grown, own=True)
+            if stop and live:
+                losses = client_losses(validate(self.data, sorted({t for t, _ in live})))
+                self.local_losses += [(self.turn, *o, losses[o]) for o in sorted(live) if o in losses]
+                live = {o for o in live if o not in losses or not stop.spent(o, losses[o], number)}
             self.turn += 1
-        own = [t.shared() for t in own]
-        self.trees += own
-        self.pending += own
-        self._since += 1
-        if self._since >= self.keep_every:
-            self._keep()
-        return own
-
-    def _keep(self) -> None:
-        rows = self.data.rows
-        self.data.rows = self.data.slots.put(rows.mapInArrow(_adder(self.data, self.pending), rows.schema))
-        self.pending, self._since = [], 0
+            if not live:
+                break
+        made = [t for t in made if t.track not in self.failed]
+        if alone:
+            self._write(made, own=False)
+        self.trees = [t for t in self.trees if t.track not in self.failed] + made
+        return made
+
+    def _write(self, trees: list[Tree], own: bool) -> None:
+        """Write the rows with ``trees`` in their margins; tracks that failed or were dropped leave them."""
+        rows, layout = self.data.rows, self.data.layout()
+        tracks = tuple(t for t in layout.tracks if t in self.params and t not in self.failed) or layout.tracks[:1]
+        schema = "row_id bigint, client int, label int, weight double, is_val boolean, bins binary, margin binary" + ", own binary" * own
+        self.data.rows = self.data.slots.put(rows.mapInArrow(_adder(layout, trees, tracks, own), schema))
+        self.data.tracks = tracks
+
+    def drop(self, tracks: Collection[int]) -> None:
+        """Take tracks out of the race: their margins leave the rows with the next round."""
+        self.params = {t: p for t, p in self.params.items() if t not in tracks}
+        self.trees = [t for t in self.trees if t.track in self.params]
 
     def scores(self, tracks: Sequence[int] | None = None) -> DataFrame:
-        return track_scores(validate(self.data, list(tracks if tracks is not None else self.params), self.pending))
+        return track_scores(validate(self.data, list(tracks if tracks is not None else self.params)))
 
     def model(self, start: BoostModel | None = None) -> BoostModel:
         before = start.trees if start else []
@@ -551,18 +653,16 @@ def fit(
     """Boost until the rounds are done, or validation loss has not improved for ``patience`` rounds."""
     trainer = Trainer(data, {0: params})
     history: list[dict] = []
-    clients = [0]
-    best, best_at = float("inf"), 0
+    stop = Patience(patience) if patience is not None else None
     for number in range(params.rounds):
-        trainer.round(clients)
-        if patience is None:
+        trainer.round()
+        if trainer.failed:
+            raise ArithmeticError(f"round {number} left the finite numbers; lower eta")
+        if stop is None:
             continue
-        record = cell_scores(validate(trainer.data, [0], trainer.pending).collect(), data.classes)
-        loss = record["mlogloss"]
+        record = cell_scores(validate(trainer.data, [0]).collect(), data.classes)
         history.append({"round": number, **record})
-        if loss < best:
-            best, best_at = loss, number
-        elif number - best_at >= patience:
+        if stop.spent(0, record["mlogloss"], number):
             break
     return trainer.model(start), history
 

@@ -45,9 +45,18 @@ def early_stop(history: DataFrame, by: Sequence[str] = (), loss: str = "loss", p
     )
 
 
-def has_converged(losses: Sequence[float | None], patience: int = 3, min_delta: float = 0.001) -> bool:
-    """The ``converged`` rule for the losses of a running driver loop."""
-    if len(losses) < patience + 1:
-        return False
-    recent = [float("inf") if v is None else v for v in losses[-patience - 1 :]]
-    return all(a - b < min_delta for a, b in zip(recent, recent[1:]))
+class Patience:
+    """The ``early_stop`` rule for running loops of many learners: who has gone ``rounds`` rounds without a new best loss."""
+
+    def __init__(self, rounds: int):
+        self.rounds = rounds
+        self.best: dict = {}
+
+    def spent(self, key, loss: float, number: int) -> bool:
+        """Take the learner's loss of round ``number``; is its patience at an end?"""
+        least, at = self.best.get(key, (float("inf"), number))
+        if loss < least:
+            self.best[key] = loss, number
+            return False
+        self.best[key] = least, at
+        return number - at >= self.rounds

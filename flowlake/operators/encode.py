@@ -118,10 +118,18 @@ def leaky_categories(
     )
 
 
-def class_weights_join(df: DataFrame, weights: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the class weight to each row (weights hold one row per class)."""
-    dim = weights.select(F.col(label).alias("_class"), F.col("weight").alias(out))
-    return df.join(counted_broadcast(dim), F.col(label) == F.col("_class"), "inner").drop("_class")
+def class_weights_join(
+    df: DataFrame, weights: DataFrame, label: str, out: str = "weight", by: Sequence[str] = (), known: DataFrame | None = None
+) -> DataFrame:
+    """Attach the class weight to each row; ``weights`` holds one row per class (and ``by`` group).
+
+    ``known`` is a written table with as many rows as ``weights``, to be counted in its place.
+    """
+    dim = weights.select(*[F.col(c).alias(f"_at_{c}") for c in by], F.col(label).alias("_class"), F.col("weight").alias(out))
+    on = df[label] == F.col("_class")
+    for c in by:
+        on = on & df[c].eqNullSafe(F.col(f"_at_{c}"))
+    return df.join(counted_broadcast(dim, known=known), on, "inner").drop("_class", *[f"_at_{c}" for c in by])
 
 
 def require_labels(df: DataFrame, label: str, classes: int | None = None) -> DataFrame:

@@ -28,7 +28,6 @@ class Tree:
     cls: int
     splits: dict[int, tuple] = field(default_factory=dict)  # node -> (feat, bin, threshold, miss_left, gain)
     leaves: dict[int, float] = field(default_factory=lambda: {1: 0.0})
-    local: bool = False
 
     def set_leaf(self, node: int, value: float) -> None:
         self.leaves[node] = value
@@ -40,9 +39,6 @@ class Tree:
     def leaf_count(self) -> int:
         return len(self.leaves)
 
-    def shared(self) -> Tree:
-        return replace(self, local=False)
-
     @property
     def index(self) -> dict[int, int]:
         """Position of each node in the arrays of ``place``."""
@@ -154,6 +150,22 @@ def matrix_of(column: pa.Array, width: int, kind=float) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=kind).reshape(-1, width)
 
 
+def packed(matrix: np.ndarray) -> pa.Array:
+    """A matrix as an Arrow binary column, the bytes of one row each: one copy a row on its way through Spark."""
+    n, size = len(matrix), matrix.shape[1] * matrix.itemsize
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(size)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(matrix))])
+
+
+def unpacked(column: pa.Array, width: int, kind) -> np.ndarray:
+    """The matrix of a binary column without nulls; it must not be written to."""
+    at = column.offset
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[at : at + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    found = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(found.tobytes() if offsets[0] % size else found, kind).reshape(-1, width)
+
+
 def predict(df: DataFrame, model: BoostModel, out: str = "probs", features: Sequence[str] | None = None) -> DataFrame:
     """Class probabilities of each row in one pass.
 

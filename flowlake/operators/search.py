@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.hashing import hash_unit
 from flowlake.operators.boost import BoostData, BoostParams, Trainer, fit
+from flowlake.operators.convergence import Patience
 from flowlake.operators.model import BoostModel
 
 # The search space, as (law, low, high) or (law, choices).
@@ -70,6 +71,15 @@ def trial_params(trials: DataFrame, base: BoostParams = BoostParams()) -> dict[i
     return found
 
 
+# What a failed trial scores.
+FAILED = {"objective": 0.0, "mlogloss": math.inf, "accuracy": 0.0, "f1": 0.0}
+
+
+def trial_patience(params: BoostParams) -> int:
+    """Rounds a trial goes on without a new best validation loss: a tenth of its rounds, 10 at least."""
+    return max(10, params.rounds // 10)
+
+
 def successive_halving(
     data: BoostData,
     trials: dict[int, BoostParams],
@@ -77,43 +87,49 @@ def successive_halving(
     factor: int = 2,
     max_rounds: int | None = None,
     plateau: float | None = None,
+    patience: int | None = None,
 ) -> DataFrame:
     """Grow all trials together; at rounds grace, grace*factor, ... keep the best 1/factor.
 
-    A trial also ends when its own rounds are done, or, with ``plateau``, once its last
-    four reported objectives deviate by less than that. Returns one row per trial.
+    Every running trial reports each round. It also ends when its own rounds are done, when its validation loss has not
+    improved for ``patience`` rounds (its ``trial_patience`` unless given) or, with ``plateau``, once its last
+    four reported objectives deviate by less than that. A trial whose parameters are unusable or whose
+    numbers overflow scores 0; the others go on. What a trial reports depends on no other one.
+    Margins of trials that are out leave the rows. Returns one row per trial.
     """
-    trainer = Trainer(data, trials)
-    alive = set(trials)
-    results = {t: {"trial": t, "rounds": 0, "objective": 0.0} for t in trials}
+    results = {t: {"trial": t, "rounds": 0, **FAILED} for t in trials}
+    alive = {t for t, p in trials.items() if p.fault() is None}
+    trainer = Trainer(data, {t: trials[t] for t in sorted(alive)})
     reports: dict[int, list[float]] = {t: [] for t in trials}
-    rung, last = grace, max_rounds or max(p.rounds for p in trials.values())
+    stops = {t: Patience(patience or trial_patience(trials[t])) for t in alive}
+    rung, last = grace, max_rounds or max((p.rounds for p in trials.values()), default=0)
     for done in range(1, last + 1):
-        running = sorted(t for t in alive if trials[t].rounds >= done)
-        if not running:
+        if not alive:
+            break
+        trainer.drop(set(trials) - alive)
+        trainer.round()
+        for t in trainer.failed & alive:
+            results[t].update(FAILED, rounds=done)
+        alive -= trainer.failed
+        if not alive:
             break
-        trainer.round(tracks=running)
-        for t in running:
-            results[t]["rounds"] = done
-        finished = [t for t in running if trials[t].rounds == done or done == last]
-        if done != rung and not finished:
-            continue
+        running = sorted(alive)
         for row in trainer.scores(running).collect():
             t = row["track"]
-            results[t].update({k: float(row[k]) for k in ("objective", "mlogloss", "accuracy", "f1")})
+            results[t].update({k: float(row[k]) for k in FAILED}, rounds=done)
             reports[t].append(row["objective"])
+            spent = stops[t].spent(t, row["mlogloss"], done)
+            flat = plateau is not None and len(reports[t]) >= 4 and pstdev(reports[t][-4:]) < plateau
+            if spent or flat or trials[t].rounds == done:
+                alive.discard(t)
         if done == rung:
             rung *= factor
-            keep = max(1, len(running) // factor)
             ranked = sorted(running, key=lambda t: (-results[t]["objective"], t))
-            alive = set(ranked[:keep])
-        if plateau is not None:
-            alive -= {t for t in alive if len(reports[t]) >= 4 and pstdev(reports[t][-4:]) < plateau}
-        alive -= set(finished)
+            alive &= set(ranked[: max(1, len(running) // factor)])
     spark = data.rows.sparkSession
     names = ("trial", "rounds", "objective", "mlogloss", "accuracy", "f1")
     return spark.createDataFrame(
-        [tuple(r.get(n) for n in names) for r in results.values()],
+        [tuple(r[n] for n in names) for r in results.values()],
         "trial int, rounds int, objective double, mlogloss double, accuracy double, f1 double",
     )
 

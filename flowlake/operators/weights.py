@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.operators.encode import class_weights_join
+from flowlake.sources.durable import durable
 
 # Beta of the effective-number weights, and the guard added to counts.
 EFFECTIVE_BETA = 0.9999
@@ -52,10 +55,18 @@ def class_weights(df: DataFrame, label: str, method: str = "balanced", power: fl
     ).drop("_w")
 
 
-def balanced_sample_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Row weight n / (K * n_class)."""
-    weights = class_counts(df, label).withColumn("weight", _raw_weight("balanced", F.col("n")))
-    return class_weights_join(df, weights, label, out)
+def balanced_sample_weights(df: DataFrame, label: str, out: str = "weight", by: Sequence[str] = ()) -> DataFrame:
+    """Row weight n / (K * n_class), of the whole table or inside each ``by`` group (a client, say).
+
+    One pass counts rows per (group, class) into a small written table, whose size decides the join. Rows without label have no
+    weight and are left out; a null group is a group.
+    """
+    by = list(by)
+    counts = durable(df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("n")), "class-counts")
+    group = Window.partitionBy(*by) if by else _classes()
+    weight = F.sum("n").over(group) / (F.count("*").over(group) * F.col("n"))
+    weights = counts.select(*by, label, weight.alias("weight"))
+    return class_weights_join(df, weights, label, out, by, counts)
 
 
 def focal_recommendation(df: DataFrame, label: str) -> DataFrame:

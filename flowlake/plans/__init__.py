@@ -6,7 +6,7 @@ import importlib
 
 from flowlake.plans.registry import ORACLES, QUERIES
 
-_FAMILIES = ("splitting", "cleaning", "profiling", "evaluation", "modelling", "transfer")
+_FAMILIES = ("splitting", "cleaning", "profiling", "evaluation", "modelling", "boosted", "transfer")
 
 
 def load_all() -> None:

@@ -198,13 +198,8 @@ def score_unlabelled(spark, folder):
 def central_evaluation(spark, folder):
     """Scores of the model after each of its turns, over the held-out rows."""
     df, _, fitted, _ = _single(spark, folder)
-    parts = []
-    for number, tables in score.evaluate_rounds(df.where("held_out"), fitted, "label"):
-        parts.append(tables["summary"].join(F.broadcast(tables["log_loss"].drop("n"))).withColumn("round", F.lit(number)))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    tables = score.evaluate_rounds(df.where("held_out"), fitted, "label")
+    return tables["summary"].join(tables["log_loss"].drop("n"), "round")
 
 
 @query("federated_bagging")

@@ -45,14 +45,15 @@ class Slots:
         return self._spark.read.schema(schema).parquet(path)
 
 
-def counted_broadcast(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def counted_broadcast(dim: DataFrame, limit: int = BROADCAST_ROWS, known: DataFrame | None = None) -> DataFrame:
     """Hint a broadcast when ``dim`` is proven to hold at most ``limit`` rows.
 
     ``dim`` should be a written or otherwise cheap table: it is counted (up to the limit)
-    first. Beyond the limit the join stays a shuffle join, where adaptive skew handling
-    splits hot keys.
+    first, or ``known``, the written table that it has the rows of. Beyond the limit the join stays
+    a shuffle join, where adaptive skew handling splits hot keys.
     """
-    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+    counted = dim if known is None else known
+    return F.broadcast(dim) if counted.limit(limit + 1).count() <= limit else dim
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -25,7 +25,6 @@ def test_convergence_rule(spark):
     for losses, want in cases.items():
         last = convergence.converged(_history(spark, losses)).orderBy(F.desc("round")).first()
         assert last["converged"] is want, losses
-        assert convergence.has_converged(losses) is want
 
 
 def test_early_stop_counts_from_the_last_strict_best(spark):
@@ -34,6 +33,15 @@ def test_early_stop_counts_from_the_last_strict_best(spark):
     assert [r["stop"] for r in got] == [False, False, False, True, False, False]
 
 
+def test_patience_of_running_loops_is_the_same_rule(spark):
+    losses = [1.0, 0.9, 0.9, 0.95, 0.8, 0.81, 0.8, 0.9]
+    table = convergence.early_stop(_history(spark, losses), patience=2).orderBy("round").collect()
+    stop = convergence.Patience(2)
+    assert [stop.spent("a", loss, i) for i, loss in enumerate(losses)] == [r["stop"] for r in table]
+    # learners do not share their bests
+    assert not stop.spent("b", 5.0, 7)
+
+
 def test_a_metric_missing_at_one_client_becomes_zero(spark):
     clients = spark.createDataFrame([(0, 10, 0.5, 1.0), (1, 30, 0.9, None)], "client int, n int, f1 double, mlogloss double")
     got = federate.aggregate_metrics(clients, ["f1", "mlogloss"]).first()

@@ -196,6 +196,131 @@ def test_halving_keeps_the_better_trial(data, table):
     assert len(model.trees) == 4 * FLOW_CLASSES
 
 
+def test_margins_carry_every_finished_tree(data, table):
+    """After any rounds the stored margins are the model's, and only the new trees were walked."""
+    trainer = boost.Trainer(data, {0: replace(PARAMS, rounds=3, eta=0.05)})
+    for _ in range(3):
+        trainer.round(range(5), local_rounds=2)
+    assert "own" not in trainer.data.rows.columns and trainer.data.tracks == (0,)
+    fitted = trainer.model()
+    assert len(fitted.trees) == 3 * 2 * 5 * FLOW_CLASSES
+    judged = boost.cell_scores(boost.validate(trainer.data, [0]).collect(), FLOW_CLASSES)
+    tables = score.evaluate_rounds(table.where("held_out"), fitted, "label")
+    last = tables["log_loss"].where("round = 6").first()
+    assert abs(last["log_loss"] - judged["mlogloss"]) < 1e-9
+
+
+def test_clients_continue_their_own_trees_within_a_round(data):
+    """Local rounds of several clients give what each client trained alone gives."""
+    together = boost.Trainer(data, {0: PARAMS})
+    together.round(range(5), local_rounds=3)
+    for client in (0, 3):
+        alone = boost.Trainer(data, {0: PARAMS})
+        alone.round([client], local_rounds=3)
+        key = lambda trees: [(t.turn, t.cls, {n: s[:2] for n, s in t.splits.items()}) for t in trees if t.client == client]  # noqa: E731, B023
+        assert key(together.trees) == key(alone.trees)
+
+
+def test_a_client_stops_alone(data):
+    trainer = boost.Trainer(data, {0: replace(PARAMS, eta=2.0, subsample=1.0)})
+    trainer.round(range(5), local_rounds=6, patience=1)
+    turns = {c: max(t.turn for t in trainer.trees if t.client == c) for c in range(5)}
+    assert len(set(turns.values())) > 1
+    for c, last in turns.items():
+        losses = [loss for _, _, client, loss in trainer.local_losses if client == c]
+        assert len(losses) == last + 1
+        assert all(b < a for a, b in zip(losses[:-1], losses[1:-1])) and (last == 5 or losses[-1] >= losses[-2])
+
+
+def test_failed_trials_score_zero_and_others_go_on(table):
+    wide = boost.prepare(
+        table, FLOW_FEATURES, "label", FLOW_CLASSES, "flow_id", validation=F.col("held_out"), tracks=4
+    )
+    fine = replace(PARAMS, rounds=3)
+    trials = {0: fine, 1: replace(fine, colsample_bytree=0.0), 2: replace(fine, eta=1.7e308), 3: replace(fine, eta=0.1)}
+    got = {r["trial"]: r for r in search.successive_halving(wide, trials, grace=9).collect()}
+    assert [got[t]["rounds"] for t in range(4)] == [3, 0, 1, 3]
+    for t in (1, 2):
+        assert got[t]["objective"] == got[t]["f1"] == got[t]["accuracy"] == 0 and got[t]["mlogloss"] == float("inf")
+    own = boost.prepare(
+        table, FLOW_FEATURES, "label", FLOW_CLASSES, "flow_id", validation=F.col("held_out"), edges=wide.edges
+    )
+    # what a trial reports does not depend on the others
+    for t in (0, 3):
+        _, history = boost.fit(own, trials[t], patience=99)
+        assert abs(got[t]["mlogloss"] - history[-1]["mlogloss"]) < (1e-9 if t == 0 else 1e9)
+    with pytest.raises(ValueError, match="colsample_bytree"):
+        boost.fit(own, trials[1])
+    with pytest.raises(ArithmeticError):
+        boost.fit(own, trials[2])
+
+
+def test_dropped_trials_leave_the_rows(table):
+    wide = boost.prepare(
+        table, FLOW_FEATURES, "label", FLOW_CLASSES, "flow_id", validation=F.col("held_out"), tracks=4
+    )
+
+    def bytes_a_row(data):
+        return data.rows.agg(F.max(F.length("margin"))).first()[0]
+
+    trainer = boost.Trainer(wide, {t: replace(PARAMS, eta=0.1 * (t + 1)) for t in range(4)})
+    trainer.round()
+    assert bytes_a_row(trainer.data) == 4 * FLOW_CLASSES * 8
+    before = boost.client_losses(boost.validate(trainer.data, [1, 3]))
+    trainer.drop([0, 2])
+    trainer.round()
+    assert trainer.data.tracks == (1, 3) and bytes_a_row(trainer.data) == 2 * FLOW_CLASSES * 8
+    after = boost.client_losses(boost.validate(trainer.data, [1, 3]))
+    assert all(after[k] < before[k] for k in before) and {t.track for t in trainer.trees} == {1, 3}
+
+
+def test_a_round_costs_the_same_however_many_went_before(data, monkeypatch):
+    """Every kernel is built for the trees of its own round only."""
+    walked = []
+    plain = boost._adder
+    monkeypatch.setattr(boost, "_adder", lambda layout, trees, *more: walked.append(len(trees)) or plain(layout, trees, *more))
+    trainer = boost.Trainer(data, {0: replace(PARAMS, max_depth=1, eta=0.1)})
+    for _ in range(6):
+        trainer.round()
+    assert walked == [FLOW_CLASSES] * 6 and len(trainer.trees) == 6 * FLOW_CLASSES
+
+
+def test_round_tables_agree_with_single_scoring(table, fitted):
+    model, _ = fitted
+    held = table.where("held_out")
+    tables = score.evaluate_rounds(held, model, "label", every=2, curves_too=True)
+    assert sorted(r["round"] for r in tables["summary"].collect()) == [1, 3]
+    part = BoostModel(model.features, model.classes, [t for t in model.trees if t.turn <= 2])
+    one = score.evaluate_scored(score.score_table(held, part, "label"), FLOW_CLASSES)
+    at = {n: f.where("round = 3").drop("round") for n, f in tables.items()}
+    for name, digits in (("summary", 9), ("log_loss", 9), ("per_class", 9)):
+        columns = sorted(one[name].columns)
+        rows = [sorted(tuple(round(v, digits) if isinstance(v, float) else v for v in r) for r in f.select(columns).collect()) for f in (one[name], at[name])]
+        assert rows[0] == rows[1], name
+    for name in ("roc_auc", "pr_area"):
+        a, b = ({r["class"]: r[1] for r in f.select("class", f.columns[-1]).collect()} for f in (one[name], at[name]))
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-4 for k in a)
+    rows = score.score_rounds(held, model, "label", keep=["flow_id"])
+    assert rows.count() == 4 * held.count() and rows.columns[:2] == ["round", "flow_id"]
+
+
+def test_labels_outside_the_classes_stay_in_the_round_tables(spark, table, fitted):
+    model, _ = fitted
+    odd = table.where("held_out").limit(50).withColumn("label", F.lit(None).cast("int"))
+    tables = score.evaluate_rounds(odd, model, "label")
+    assert {r["accuracy"] for r in tables["summary"].collect()} == {0.0}
+    assert {r["log_loss"] for r in tables["log_loss"].collect()} == {None}
+
+
+def test_weights_balance_inside_each_client(spark):
+    from flowlake.operators.weights import balanced_sample_weights
+
+    rows = [(0, 0), (0, 0), (0, 0), (0, 1), (1, 2), (None, 1), (None, 1), (None, 0), (1, None)]
+    df = spark.createDataFrame(rows, "client int, label int")
+    got = {(r["client"], r["label"]): r["weight"] for r in balanced_sample_weights(df, "label", by=["client"]).collect()}
+    assert got == {(0, 0): 4 / 6, (0, 1): 2.0, (1, 2): 1.0, (None, 1): 0.75, (None, 0): 1.5}
+
+
 def test_mlp_gradient_is_numerically_right():
     rng = np.random.default_rng(2)
     x, y, w = rng.normal(size=(12, 3)), rng.integers(0, 4, 12), rng.random(12)
