@@ -91,11 +91,20 @@ def fill_then_drop(df: DataFrame, columns: Sequence[str], order: Sequence[str |
     return forward_fill(df, columns, order).dropna(subset=list(columns))
 
 
+def numeric_order(text: Column) -> list[Column]:
+    """What orders texts by the numbers they spell; all null for a text that spells none.
+
+    Whole numbers of up to 38 digits and fractions of up to nine places compare exactly, others as doubles.
+    """
+    return [text.try_cast("double"), text.try_cast("decimal(38,0)"), text.try_cast("decimal(38,9)")]
+
+
 def label_flag_last(df: DataFrame, order: Sequence[str], n: int = 10, out: str = "label") -> DataFrame:
     """0 everywhere, 1 on the last ``n`` rows by the order columns: other texts come after numbers."""
     latest = []
     for c in order:
-        latest += [F.expr(f"try_cast(`{c}` as decimal(38,9))").desc_nulls_first(), F.col(f"`{c}`").desc()]
+        text = F.col(f"`{c}`")
+        latest += [*[n.desc_nulls_first() for n in numeric_order(text)], text.desc()]
     return label_last_n(df, order[-1], latest, n, out)
 
 

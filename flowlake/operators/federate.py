@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.functions.hashing import hash_key
+from flowlake.operators.splits import cut_segments
+from flowlake.sources.durable import durable
 
 
 def _weighted(value: str, weight: str) -> Column:
@@ -66,16 +67,18 @@ def select_clients(clients: DataFrame, rounds: Sequence[int], fraction: float, m
     """Clients drawn per round: ``max(minimum, floor(fraction * available))`` in md5 order.
 
     With fewer clients than the minimum a round selects nobody. ``clients`` holds a
-    ``client`` column; a round's window sees one row per client, not per data row.
+    ``client`` column. The hash a round ends at is found from counts of leading hash digits, so clients are
+    placed by comparing their own hash and a round is never gathered.
     """
     each = F.explode(F.array(*[F.lit(r) for r in rounds])).alias("round")
-    pairs = clients.select("client").distinct().select("client", each)
-    in_round = Window.partitionBy("round")
-    ranked = pairs.withColumn("_available", F.count("*").over(in_round)).withColumn(
-        "_pos", F.row_number().over(in_round.orderBy(hash_key("round", "client"), "client"))
-    )
-    wanted = F.greatest(F.lit(minimum), F.floor(F.lit(fraction) * F.col("_available")))
-    return ranked.where((F.col("_available") >= minimum) & (F.col("_pos") <= wanted)).select("round", "client")
+    pairs = durable(clients.select("client").distinct(), "clients").select("client", each)
+
+    def ends(n: Column) -> Column:
+        wanted = F.greatest(F.lit(minimum), F.floor(F.lit(fraction) * n))
+        return F.array(F.when(n >= minimum, wanted).otherwise(F.lit(0)).cast("bigint"))
+
+    drawn = cut_segments(pairs, "client", ends, ["round"], "_segment", salt=F.col("round"))
+    return drawn.where("_segment = 0").select("round", "client")
 
 
 def client_of_round(clients: int, round_number: int) -> int:

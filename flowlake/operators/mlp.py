@@ -1,8 +1,11 @@
-"""Multilayer perceptron trained by summed gradients, for one owner or many clients at once.
-
-Each step is one job: tasks add up the gradients of their rows per client, Spark sums the
-parts, and the driver, which holds only the weight vectors, applies the update. Rows of a
-client are spread over all tasks, so a client with a third of the rows is no hot spot.
+"""Multilayer perceptron trained by local mini-batch steps, for one owner or many clients at once.
+
+An epoch is one pass and one job: every task starts from the common weights, takes its rows in shuffled
+mini-batches, each an update, and sends the weights it arrives at, times its rows; Spark adds them up, position by
+position, and the driver divides once. It holds one weight vector, whatever the number of tasks and clients. Rows of
+a client are spread over all tasks, so a client with a third of the rows is no hot spot; a client's piece in a task has
+weights of its own, and as their mean weighted by rows is linear, averaging the pieces is averaging the clients.
+Every pass also counts predictions, from which epochs and clients get loss, accuracy, precision, recall and f1.
 """
 
 from __future__ import annotations
@@ -12,18 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlake.operators.convergence import Patience
 from flowlake.operators.encode import require_labels
-from flowlake.operators.federate import average_parameters
 from flowlake.operators.model import list_array, matrix_of, softmax_rows
 from flowlake.sources.durable import durable, gathered, spread
 
 
 @dataclass(frozen=True)
 class MlpSpec:
-    """Network and loss. ``loss`` is cross_entropy, focal or smoothing."""
+    """Network, loss (cross_entropy, focal or smoothing) and optimizer (adam or sgd)."""
 
     inputs: int
     classes: int
@@ -34,6 +38,7 @@ class MlpSpec:
     rate: float = 0.01
     decay: float = 0.0
     seed: int = 42
+    optimizer: str = "adam"
 
     @property
     def shapes(self) -> list[tuple[int, int]]:
@@ -94,10 +99,12 @@ def loss_and_gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np
     return loss, np.concatenate(parts[::-1])
 
 
-def prepare_rows(df: DataFrame, features: str, label: str, client: str | None = None, weight: str | None = None) -> DataFrame:
-    """Written training rows (x, label, client, weight); labels must be known classes."""
-    return durable(
-        spread(require_labels(df, label)).select(
+def prepare_rows(
+    df: DataFrame, features: str, label: str, client: str | None = None, weight: str | None = None, classes: int | None = None
+) -> DataFrame:
+    """Written training rows (x, label, client, weight); labels must be known classes, of ``classes`` if given."""
+    rows = durable(
+        spread(df).select(
             F.col(features).cast("array<double>").alias("x"),
             F.col(label).cast("int").alias("label"),
             (F.col(client).cast("int") if client else F.lit(0)).alias("client"),
@@ -105,6 +112,7 @@ def prepare_rows(df: DataFrame, features: str, label: str, client: str | None =
         ),
         "mlp",
     )
+    return require_labels(rows, "label", classes)
 
 
 def _kernel(current: dict[int, np.ndarray], spec: MlpSpec):
@@ -145,64 +153,267 @@ def gradient_step(rows: DataFrame, current: dict[int, np.ndarray], spec: MlpSpec
     return {c: (v[:-3] / v[-2], v[-3] / v[-2], int(round(v[-1]))) for c, v in table.items()}
 
 
-class _Adam:
-    def __init__(self, size: int, rate: float):
-        self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
+# Adam's decay rates and the guard of its division.
+_KEEP, _KEEP_SQUARES, _GUARD = 0.9, 0.999, 1e-8
+
+
+@dataclass
+class State:
+    """Weights and the optimiser's running means, as one vector each; what a pass starts from and ends with."""
+
+    flat: np.ndarray
+    mean: np.ndarray
+    square: np.ndarray
+    steps: float = 0.0
+
+    @staticmethod
+    def fresh(flat: np.ndarray) -> State:
+        return State(flat, np.zeros(len(flat)), np.zeros(len(flat)))
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([self.flat, self.mean, self.square, [self.steps]])
+
+    @staticmethod
+    def of(vector: np.ndarray) -> State:
+        flat, mean, square = np.split(vector[:-1], 3)
+        return State(flat, mean, square, float(vector[-1]))
+
+    def step(self, gradient: np.ndarray, spec: MlpSpec) -> State:
+        g = gradient + spec.decay * self.flat
+        if spec.optimizer == "sgd":
+            return State(self.flat - spec.rate * g, self.mean, self.square, self.steps + 1)
+        t = self.steps + 1
+        mean = _KEEP * self.mean + (1 - _KEEP) * g
+        square = _KEEP_SQUARES * self.square + (1 - _KEEP_SQUARES) * g * g
+        m, v = mean / (1 - _KEEP**t), square / (1 - _KEEP_SQUARES**t)
+        return State(self.flat - spec.rate * m / (np.sqrt(v) + _GUARD), mean, square, t)
+
+
+# What the parts of a pass's sums are: weights times rows, prediction cells, and loss with weight and rows.
+_WEIGHTS, _CELLS, _TOTALS = 0, 1, 2
+_SUMS = "kind int, client int, pos int, value double"
+
+
+def _part(kind: int, client: int, values: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(values)
+    heads = [pa.array(np.full(len(at), v, np.int32)) for v in (kind, client)]
+    return pa.RecordBatch.from_arrays([*heads, pa.array(at.astype(np.int32)), pa.array(values[at])], names=["kind", "client", "pos", "value"])
+
+
+class _Tally:
+    """Prediction cells, loss, weight and rows per client."""
+
+    def __init__(self, classes: int):
+        self._classes = classes
+        self._cells: dict[int, np.ndarray] = {}
+        self._totals: dict[int, np.ndarray] = {}
+
+    def add(self, client: int, z: np.ndarray, y: np.ndarray, weight: np.ndarray, spec: MlpSpec) -> None:
+        loss, _ = _loss_gradient(z, y, weight, spec)
+        cells = np.bincount(y * self._classes + z.argmax(axis=1), minlength=self._classes**2)
+        self._cells[client] = self._cells.get(client, 0.0) + cells
+        self._totals[client] = self._totals.get(client, 0.0) + np.array([loss, weight.sum(), len(y)])
+
+    def parts(self) -> Iterator[pa.RecordBatch]:
+        for client, cells in self._cells.items():
+            yield _part(_CELLS, client, cells.astype(float))
+            yield _part(_TOTALS, client, self._totals[client])
+
+
+def _rows_of(batch: pa.RecordBatch, spec: MlpSpec) -> tuple[np.ndarray, ...]:
+    x = matrix_of(batch.column("x"), spec.inputs)
+    return x, *(batch.column(c).to_numpy() for c in ("label", "weight", "client"))
+
+
+def _local(start: State, spec: MlpSpec, number: int, batch_rows: int | None, passes: int, clients: tuple[int, ...] | None):
+    """Kernel: train each client's piece of a task from ``start``, by stretches as they arrive.
+
+    Without ``batch_rows`` a piece takes a single step, by the mean gradient of all its rows.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, State] = {}
+        rows: dict[int, int] = {}
+        whole: dict[int, list] = {}
+        tally = _Tally(spec.classes)
+        rng = np.random.default_rng([spec.seed, number, TaskContext.get().partitionId()])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, weight, client = _rows_of(batch, spec)
+            for c in np.unique(client).tolist():
+                if clients is not None and c not in clients:
+                    continue
+                mine = np.flatnonzero(client == c)
+                state = own.setdefault(c, start)
+                rows[c] = rows.get(c, 0) + len(mine)
+                tally.add(c, _forward(x[mine], _layers(state.flat, spec))[-1], y[mine], weight[mine], spec)
+                if batch_rows is None:
+                    _, g = loss_and_gradient(state.flat, x[mine], y[mine], weight[mine], spec)
+                    so_far = whole.setdefault(c, [0.0, 0.0])
+                    whole[c] = [so_far[0] + g, so_far[1] + weight[mine].sum()]
+                    continue
+                for _ in range(passes):
+                    order = rng.permutation(mine)
+                    for at in range(0, len(order), batch_rows):
+                        some = order[at : at + batch_rows]
+                        _, g = loss_and_gradient(state.flat, x[some], y[some], weight[some], spec)
+                        state = state.step(g / max(weight[some].sum(), 1e-300), spec)
+                own[c] = state
+        for c, (g, total) in whole.items():
+            own[c] = own[c].step(g / max(total, 1e-300), spec)
+        for c, state in own.items():
+            yield _part(_WEIGHTS, c, state.vector() * rows[c])
+        yield from tally.parts()
+
+    return run
 
-    def step(self, flat: np.ndarray, g: np.ndarray) -> np.ndarray:
-        self.t += 1
-        self.m = 0.9 * self.m + 0.1 * g
-        self.v = 0.999 * self.v + 0.001 * g * g
-        m, v = self.m / (1 - 0.9**self.t), self.v / (1 - 0.999**self.t)
-        return flat - self.rate * m / (np.sqrt(v) + 1e-8)
+
+def _judged(flat: np.ndarray, spec: MlpSpec):
+    """Kernel: prediction cells and loss of the rows, by client."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(spec.classes)
+        for batch in batches:
+            if batch.num_rows:
+                x, y, weight, client = _rows_of(batch, spec)
+                for c in np.unique(client).tolist():
+                    mine = client == c
+                    tally.add(c, _forward(x[mine], _layers(flat, spec))[-1], y[mine], weight[mine], spec)
+        yield from tally.parts()
+
+    return run
+
+
+METRICS = ("loss", "accuracy", "precision", "recall", "f1")
+
+
+def _scores(cells: np.ndarray, totals: np.ndarray) -> dict[str, float]:
+    """Mean loss and support-weighted scores of one confusion matrix."""
+    support, predicted, hits = cells.sum(axis=1), cells.sum(axis=0), cells.diagonal()
+    n = max(cells.sum(), 1.0)
+
+    def share(a: np.ndarray, b: np.ndarray) -> float:
+        return float((np.divide(a, b, out=np.zeros(len(a)), where=b > 0) * support).sum() / n)
+
+    right = float(hits.sum() / n)
+    return {
+        "loss": float(totals[0] / totals[1]) if totals[1] else 0.0,
+        "accuracy": right,
+        "precision": share(hits, predicted),
+        "recall": right,
+        "f1": share(2 * hits, support + predicted),
+    }
+
+
+def _pass(parts: DataFrame, spec: MlpSpec, size: int = 0) -> tuple[np.ndarray | None, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Mean state over all pieces, and (cells, totals) per client, of one job.
+
+    Weights are added over tasks and clients in Spark: the driver gets one number per position of the
+    state, and classes^2 cells a client.
+    """
+    key = F.when(F.col("kind") == _WEIGHTS, F.lit(-1)).otherwise(F.col("client"))
+    summed = parts.groupBy("kind", key.alias("client"), "pos").agg(F.sum("value").alias("value")).collect()
+    k = spec.classes
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    state = np.zeros(size)
+    for r in summed:
+        if r["kind"] == _WEIGHTS:
+            state[r["pos"]] = r["value"]
+        else:
+            cells, totals = found.setdefault(r["client"], (np.zeros(k * k), np.zeros(3)))
+            (cells if r["kind"] == _CELLS else totals)[r["pos"]] = r["value"]
+    rows = sum(t[2] for _, t in found.values())
+    return (state / rows if rows else None), found
+
+
+def _together(found: dict[int, tuple[np.ndarray, np.ndarray]], spec: MlpSpec) -> tuple[np.ndarray, np.ndarray]:
+    k = spec.classes
+    cells = sum((c for c, _ in found.values()), np.zeros(k * k)).reshape(k, k)
+    return cells, sum((t for _, t in found.values()), np.zeros(3))
+
+
+def evaluate_mlp(rows: DataFrame, flat: np.ndarray, spec: MlpSpec) -> dict[str, dict[str, float]]:
+    """Loss, accuracy, precision, recall, f1 and rows of each client (``client_0``, ...) and of all (``all``), from one pass."""
+    _, found = _pass(gathered(rows).mapInArrow(_judged(flat, spec), _SUMS), spec)
+    k = spec.classes
+    each = {f"client_{c}": (cells.reshape(k, k), totals) for c, (cells, totals) in sorted(found.items())}
+    each["all"] = _together(found, spec)
+    return {name: {**_scores(cells, totals), "n": int(totals[2])} for name, (cells, totals) in each.items()}
+
+
+# Rows of a mini-batch.
+BATCH_ROWS = 64
 
 
 def fit_mlp(
-    rows: DataFrame, spec: MlpSpec, epochs: int = 20, validation: DataFrame | None = None, patience: int | None = None
+    rows: DataFrame,
+    spec: MlpSpec,
+    epochs: int = 20,
+    validation: DataFrame | None = None,
+    patience: int | None = None,
+    batch_rows: int | None = BATCH_ROWS,
 ) -> tuple[np.ndarray, list[dict]]:
-    """Full-batch training; with validation rows, stops after ``patience`` epochs without a new best."""
-    flat, adam = start_weights(spec), _Adam(len(start_weights(spec)), spec.rate)
-    history, best, best_at, best_flat = [], float("inf"), 0, flat
+    """Mini-batch training, one pass an epoch; with validation rows, stops after ``patience`` epochs without a new best.
+
+    The history has loss, accuracy, precision, recall and f1 of every epoch, ``train_`` as met during the
+    pass and ``val_`` after it.
+    """
+    state = State.fresh(start_weights(spec))
+    history: list[dict] = []
+    best, best_flat = float("inf"), state.flat
+    stop = Patience(patience) if patience is not None else None
     for epoch in range(epochs):
-        gradient, loss, _ = gradient_step(rows, {0: flat}, spec)[0]
-        flat = adam.step(flat, gradient + spec.decay * flat)
-        record = {"epoch": epoch, "train_loss": loss}
-        if validation is not None:
-            _, held, _ = gradient_step(validation, {0: flat}, spec)[0]
-            record["val_loss"] = held
-            if held < best:
-                best, best_at, best_flat = held, epoch, flat
-            elif patience is not None and epoch - best_at >= patience:
-                history.append(record)
-                break
+        parts = gathered(rows).mapInArrow(_local(state, spec, epoch, batch_rows, 1, None), _SUMS)
+        mean, found = _pass(parts, spec, 3 * len(state.flat) + 1)
+        if mean is None:
+            break
+        state = State.of(mean)
+        record = {"epoch": epoch, **{f"train_{m}": v for m, v in _scores(*_together(found, spec)).items()}}
         history.append(record)
-    return (best_flat if validation is not None else flat), history
+        if validation is None:
+            continue
+        held = evaluate_mlp(validation, state.flat, spec)["all"]
+        record |= {f"val_{m}": held[m] for m in METRICS}
+        if held["loss"] < best:
+            best, best_flat = held["loss"], state.flat
+        if stop and stop.spent(0, held["loss"], epoch):
+            break
+    return (best_flat if validation is not None else state.flat), history
 
 
 def federated_average(
-    rows: DataFrame, spec: MlpSpec, clients: Sequence[int], rounds: int, local_steps: int = 1
+    rows: DataFrame,
+    spec: MlpSpec,
+    clients: Sequence[int],
+    rounds: int,
+    local_steps: int = 1,
+    validation: DataFrame | None = None,
+    batch_rows: int | None = BATCH_ROWS,
+    start: np.ndarray | None = None,
 ) -> tuple[np.ndarray, list[dict]]:
-    """FedAvg: clients take local steps from the global weights, which become their row-weighted mean."""
-    spark = rows.sparkSession
-    flat = start_weights(spec)
-    history = []
+    """FedAvg: clients train from the global weights, which become their row-weighted mean.
+
+    Each round is one pass; ``local_steps`` is how often a client goes over each stretch of its rows. A client's optimiser
+    starts afresh every round. The history has a record per round with loss and rows, and with ``clients``: each
+    client's training scores; with validation rows also ``validation``: the averaged network's scores on each client's
+    rows, and on all of them.
+    """
+    flat = start_weights(spec) if start is None else start
+    history: list[dict] = []
     for number in range(1, rounds + 1):
-        current = {c: flat for c in clients}
-        adams = {c: _Adam(len(flat), spec.rate) for c in clients}
-        first: dict[int, tuple] = {}
-        for _ in range(local_steps):
-            steps = gradient_step(rows, current, spec)
-            first = first or steps
-            for c, (gradient, _, _) in steps.items():
-                current[c] = adams[c].step(current[c], gradient)
-        sizes = {c: n for c, (_, _, n) in first.items()}
-        local = spark.createDataFrame(
-            [(c, n, current[c].tolist()) for c, n in sizes.items()], "client int, n bigint, weights array<double>"
-        )
-        mean = average_parameters(local).orderBy("pos").collect()
-        flat = np.array([r["value"] for r in mean])
-        loss = sum(l * n for _, l, n in first.values()) / sum(sizes.values())
-        history.append({"round": number, "loss": float(loss), "n": sum(sizes.values())})
+        kernel = _local(State.fresh(flat), spec, number, batch_rows, local_steps, tuple(clients))
+        mean, found = _pass(gathered(rows).mapInArrow(kernel, _SUMS), spec, 3 * len(flat) + 1)
+        if mean is None:
+            break
+        flat = State.of(mean).flat
+        k = spec.classes
+        cells, totals = _together(found, spec)
+        record = {"round": number, **_scores(cells, totals), "n": int(totals[2])}
+        record["clients"] = {c: {**_scores(own.reshape(k, k), t), "n": int(t[2])} for c, (own, t) in sorted(found.items())}
+        if validation is not None:
+            record["validation"] = evaluate_mlp(validation, flat, spec)
+        history.append(record)
     return flat, history
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions.numeric import bin_index, finite
 from flowlake.operators.quantiles import quantile_columns
-from flowlake.sources.durable import durable
+from flowlake.sources.durable import durable, gathered
 
 
 def _long(df: DataFrame, columns: Sequence[str], fields) -> DataFrame:
@@ -146,13 +148,35 @@ def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every column pair a < b (by position), all in one aggregation."""
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(finite(a), finite(b)).alias("r"))
-        for i, a in enumerate(columns)
-        for b in columns[i + 1 :]
-    ]
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    """Pearson r of every column pair a < b (by position) over the rows that have both; null where a side does not vary.
+
+    Tasks multiply their rows as matrices, presence masks among them, and send one row of sums per pair; columns are
+    shifted by their means first, so that sums stay small. However many columns, there are two passes.
+    """
+    width = len(columns)
+    x = [finite(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    means = df.select(*x).agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(width)]).first()
+    shift = np.array([m if m is not None else 0.0 for m in means])
+    upper = np.triu_indices(width, 1)
+
+    def kernel(batches):
+        total = np.zeros((6, width, width))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - shift
+            seen = ~np.isnan(values)
+            values, mask = np.where(seen, values, 0.0), seen.astype(float)
+            squares = values * values
+            total += np.stack([mask.T @ mask, values.T @ mask, mask.T @ values, squares.T @ mask, mask.T @ squares, values.T @ values])
+        cells = [pa.array(i.astype(np.int32)) for i in upper] + [pa.array(np.ascontiguousarray(t[upper])) for t in total]
+        yield pa.RecordBatch.from_arrays(cells, names=["i", "j", "n", "sa", "sb", "qa", "qb", "ab"])
+
+    parts = gathered(df.select(*x)).mapInArrow(kernel, "i int, j int, n double, sa double, sb double, qa double, qb double, ab double")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "ab")])
+    n = F.col("n")
+    spread = [F.greatest(n * F.col(q) - F.col(s) * F.col(s), F.lit(0.0)) for q, s in (("qa", "sa"), ("qb", "sb"))]
+    r = F.try_divide(n * F.col("ab") - F.col("sa") * F.col("sb"), F.sqrt(spread[0]) * F.sqrt(spread[1]))
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), r.alias("r"))
 
 
 def correlated_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.75) -> DataFrame:

@@ -41,7 +41,9 @@ def federated_rounds(
     spark = data.rows.sparkSession
     trainer = Trainer(data, {0: params})
     drawn: dict[int, list[int]] = {}
-    if mode == "bagging":
+    if mode == "bagging" and fraction >= 1:
+        drawn = {number: list(range(clients)) for number in range(1, rounds + 1)}
+    elif mode == "bagging":
         ids = spark.range(clients).select(F.col("id").cast("int").alias("client"))
         for row in select_clients(ids, range(1, rounds + 1), fraction).collect():
             drawn.setdefault(row["round"], []).append(row["client"])

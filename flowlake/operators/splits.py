@@ -2,10 +2,10 @@
 
 Rows of a stratum are taken in md5 order of their key, so every split is random-looking,
 reproducible and independent of row placement. Exact quotas need no sort of the table: a
-count per (stratum, leading hash digits) locates each cut, only the rows inside a cut cell
-(about 1/4096 of a stratum) are ranked to find the hash at the cut, and every row is then
-placed by comparing its own hash. A stratum holding a third of all rows never meets in one
-task, and the result is a projection of the input with one small join.
+count per (stratum, leading hash digits) locates each cut; a cell that still holds too many rows is
+counted by its next digits, and so on; only the rows inside the last, small cell are ranked to
+find the hash at the cut, and every row is then placed by comparing its own hash. A stratum holding a
+third of all rows never meets in one task, and the result is a projection of the input with one small join.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.functions.hashing import hash_int, hash_key
+from flowlake.functions.hashing import hash_key
 from flowlake.operators.ordering import positional_windows
 from flowlake.sources.durable import counted_broadcast, durable
 
 _DIGITS = 3
+# Rows of a cell that one task may rank, and the digits a hash has.
+_RANKED = 100_000
+_HASH_DIGITS = 32
 
 
 def cut_segments(
@@ -29,24 +32,26 @@ def cut_segments(
     ends: Callable[[Column], Column],
     strata: Sequence[str] = (),
     out: str = "segment",
-    salt: str | None = None,
+    salt: str | Column | None = None,
     digits: int = _DIGITS,
+    ranked: int = _RANKED,
 ) -> DataFrame:
     """Number each row with the segment its md5 position falls in.
 
     ``ends(n)`` gives the ascending, exclusive end positions of all segments but the last
-    for a stratum of ``n`` rows. Null strata form a stratum of their own.
+    for a stratum of ``n`` rows. Null strata form a stratum of their own. ``key`` should be unique in its
+    stratum: rows with one key stay together. ``salt``, a text or a column, is hashed before the key.
     """
-    digest = hash_key(F.lit(salt), key) if salt else hash_key(key)
-    hashed = df.withColumn("_hash", digest)
-    cuts = durable(_cut_points(hashed, ends, strata, digits), "cuts")
-    marks = durable(_cut_marks(hashed, cuts, key, strata, digits), "marks")
+    before = [F.lit(salt) if isinstance(salt, str) else salt] if salt is not None else []
+    hashed = df.withColumn("_hash", hash_key(*before, key))
+    cuts = _cuts(hashed, ends, strata, digits, ranked)
+    marks = durable(_cut_marks(hashed, cuts, key, strata), "marks")
 
     def passed(mark: Column) -> Column:
         return (F.col("_hash") > mark["hash"]) | ((F.col("_hash") == mark["hash"]) & (F.col(key) >= mark["key"]))
 
     if strata:
-        placed = _join_strata(hashed, marks, strata, "left")
+        placed = _join_cells(hashed, marks, strata, "left")
         number = F.coalesce(F.size(F.filter("_marks", passed)), F.lit(0))
     else:
         # one row of marks at most: plain literals, no join
@@ -60,73 +65,89 @@ def cut_segments(
     return placed.withColumn(out, number.cast("int")).drop("_hash", "_marks")
 
 
-def _join_strata(rows: DataFrame, dim: DataFrame, strata: Sequence[str], how: str) -> DataFrame:
-    """Join a one-row-per-stratum table, null strata included."""
+def _cuts(hashed: DataFrame, ends, strata: Sequence[str], digits: int, ranked: int) -> DataFrame:
+    """Per cut the hash cell ``prefix`` it lies in, its ``size``, and the rows of it still below (``rest``)."""
+    cuts = durable(_cut_points(hashed, ends, strata, digits), "cuts")
+    depth = digits
+    while depth + digits <= _HASH_DIGITS:
+        largest = cuts.where(f"rest > 0 and length(prefix) = {depth}").agg(F.max("size")).first()[0]
+        if (largest or 0) <= ranked:
+            break
+        cuts = durable(_refined(hashed, cuts, strata, depth, digits, ranked), "cuts")
+        depth += digits
+    return cuts
+
+
+def _join_cells(rows: DataFrame, dim: DataFrame, strata: Sequence[str], how: str, extra: Sequence[str] = ()) -> DataFrame:
+    """Join a small table by stratum, null strata included, and by the ``extra`` columns both sides have."""
     on = F.lit(True)
-    for s in strata:
-        dim = dim.withColumnRenamed(s, f"_at_{s}")
-        on = on & rows[s].eqNullSafe(F.col(f"_at_{s}"))
-    return rows.join(counted_broadcast(dim), on, how).drop(*[f"_at_{s}" for s in strata])
+    for c in [*strata, *extra]:
+        dim = dim.withColumnRenamed(c, f"_at_{c}")
+        on = on & (rows[c].eqNullSafe(F.col(f"_at_{c}")) if c in strata else (rows[c] == F.col(f"_at_{c}")))
+    return rows.join(counted_broadcast(dim), on, how).drop(*[f"_at_{c}" for c in [*strata, *extra]])
+
+
+def _near(hashed: DataFrame, cuts: DataFrame, strata: Sequence[str], depth: int) -> DataFrame:
+    """Rows inside the cells of cuts whose prefix has ``depth`` digits, with that ``prefix``."""
+    cells = durable(cuts.select(*strata, "prefix").distinct(), "cells")
+    return _join_cells(hashed.withColumn("prefix", F.substring("_hash", 1, depth)), cells, strata, "inner", ["prefix"])
+
+
+def _refined(hashed: DataFrame, cuts: DataFrame, strata: Sequence[str], depth: int, digits: int, ranked: int) -> DataFrame:
+    """``cuts`` with those in cells of over ``ranked`` rows placed in cells of ``digits`` more digits."""
+    wide = (F.col("rest") > 0) & (F.length("prefix") == depth) & (F.col("size") > ranked)
+    inside = Window.partitionBy(*strata, "prefix").orderBy("_deeper").rowsBetween(Window.unboundedPreceding, 0)
+    deeper = (
+        _near(hashed, cuts.where(wide), strata, depth)
+        .groupBy(*strata, "prefix", F.substring("_hash", 1, depth + digits).alias("_deeper"))
+        .agg(F.count("*").alias("_c"))
+        .withColumn("_hi", F.sum("_c").over(inside))
+    )
+    found = (
+        _join_cells(deeper, cuts.where(wide).drop("size"), strata, "inner", ["prefix"])
+        .where((F.col("rest") >= F.col("_hi") - F.col("_c")) & (F.col("rest") < F.col("_hi")))
+        .select(*strata, F.col("_deeper").alias("prefix"), (F.col("rest") - F.col("_hi") + F.col("_c")).alias("rest"), F.col("_c").alias("size"))
+    )
+    return cuts.where(~wide).unionByName(found)
 
 
-def _cut_marks(hashed: DataFrame, cuts: DataFrame, key: str, strata: Sequence[str], digits: int) -> DataFrame:
+def _cut_marks(hashed: DataFrame, cuts: DataFrame, key: str, strata: Sequence[str]) -> DataFrame:
     """Per stratum the (hash, key) every segment but the first starts at.
 
     A cut at the start of a cell needs no row: the cell's digits sort before all its hashes.
     """
-    prefix = F.lower(F.lpad(F.hex(F.col("c.cell").cast("bigint")), digits, "0"))
-    edges = (
-        cuts.select(*strata, F.explode("_cuts").alias("c"))
-        .where("c.rest = 0")
-        .select(*strata, F.struct(prefix.alias("hash"), F.lit(None).cast(hashed.schema[key].dataType).alias("key")).alias("m"))
+    kind = hashed.schema[key].dataType
+    marks = cuts.where("rest = 0").select(
+        *strata, F.struct(F.col("prefix").alias("hash"), F.lit(None).cast(kind).alias("key")).alias("m")
     )
-    inner = cuts.withColumn("_cuts", F.filter("_cuts", lambda c: c["rest"] > 0)).where(F.size("_cuts") > 0)
-    cells = inner.select(*strata, "_cuts")
-    if strata:
-        near = _join_strata(hashed, cells, strata, "inner")
-    else:
-        row = cells.first()  # a single row with one entry per cut
-        points = [F.struct(F.lit(c["cell"]).alias("cell"), F.lit(c["rest"]).cast("bigint").alias("rest")) for c in (row["_cuts"] if row else [])]
-        empty = F.array().cast("array<struct<cell:int,rest:bigint>>")
-        near = hashed.withColumn("_cuts", F.array(*points) if points else empty)
-    near = near.withColumn("_cell", hash_int(F.col("_hash"), digits).cast("int")).withColumn(
-        "_here", F.filter("_cuts", lambda c: c["cell"] == F.col("_cell"))
-    )
-    position = F.row_number().over(Window.partitionBy(*strata, "_cell").orderBy("_hash", key)) - 1
-    rows = (
-        near.where(F.size("_here") > 0)
-        .select(*strata, "_hash", key, "_here", "_cell", position.alias("_pos"))
-        .where(F.exists("_here", lambda c: c["rest"] == F.col("_pos")))
-        .select(
-            *strata,
-            # equal cut positions each need their own mark
-            F.explode(F.filter("_here", lambda c: c["rest"] == F.col("_pos"))),
-            F.struct(F.col("_hash").alias("hash"), F.col(key).alias("key")).alias("m"),
+    inner = cuts.where("rest > 0")
+    # cells of one depth as a rule, of two or three where some were refined
+    for depth in sorted(r["d"] for r in inner.select(F.length("prefix").alias("d")).distinct().collect()):
+        here = inner.where(F.length("prefix") == depth)
+        position = F.row_number().over(Window.partitionBy(*strata, "prefix").orderBy("_hash", key)) - 1
+        rows = _near(hashed, here, strata, depth).select(
+            *strata, "prefix", position.cast("bigint").alias("rest"), F.struct(F.col("_hash").alias("hash"), F.col(key).alias("key")).alias("m")
         )
-        .select(*strata, "m")
-    )
-    return edges.unionByName(rows).groupBy(*strata).agg(F.collect_list("m").alias("_marks"))
+        # equal cut positions each need their own mark
+        marks = marks.unionByName(_join_cells(rows, here.drop("size"), strata, "inner", ["prefix", "rest"]).select(*strata, "m"))
+    return marks.groupBy(*strata).agg(F.collect_list("m").alias("_marks"))
 
 
 def _cut_points(hashed: DataFrame, ends, strata: Sequence[str], digits: int) -> DataFrame:
-    """Per stratum, for every segment end: the hash cell it lies in and the rows of it still below."""
-    cell = hash_int(F.col("_hash"), digits).cast("int").alias("_cell")
-    cells = hashed.groupBy(*strata, cell).agg(F.count("*").alias("_c"))
+    """For every segment end the hash cell it lies in, the cell's rows and those of them still below."""
+    cells = hashed.groupBy(*strata, F.substring("_hash", 1, digits).alias("prefix")).agg(F.count("*").alias("size"))
     whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    upto = whole.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
     cells = (
-        cells.withColumn("_hi", F.sum("_c").over(upto))
-        .withColumn("_lo", F.col("_hi") - F.col("_c"))
-        .withColumn("_n", F.sum("_c").over(whole))
-        .withColumn("_ends", ends(F.col("_n")))
+        cells.withColumn("_hi", F.sum("size").over(upto))
+        .withColumn("_lo", F.col("_hi") - F.col("size"))
+        .withColumn("_ends", ends(F.sum("size").over(whole)))
     )
     # an end e belongs to the first cell whose upper count exceeds it; ends at n cut nothing
-    local = F.transform(
-        F.filter("_ends", lambda e: (e >= F.col("_lo")) & (e < F.col("_hi"))),
-        lambda e: F.struct(F.col("_cell").alias("cell"), (e - F.col("_lo")).cast("bigint").alias("rest")),
+    inside = F.filter("_ends", lambda e: (e >= F.col("_lo")) & (e < F.col("_hi")))
+    return cells.withColumn("_end", F.explode(inside)).select(
+        *strata, "prefix", (F.col("_end") - F.col("_lo")).cast("bigint").alias("rest"), "size"
     )
-    found = cells.groupBy(*strata).agg(F.flatten(F.collect_list(local)).alias("_cuts"))
-    return found
 
 
 def _test_first(ratio: float, rounding: Callable[[Column], Column]) -> Callable[[Column], Column]:

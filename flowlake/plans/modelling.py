@@ -283,6 +283,65 @@ def mlp_gradient(spark, folder):
     )
 
 
+def _fixed_weights() -> tuple[str, list[float]]:
+    """Weights of a network without hidden layers: SQL in j and k, and the same numbers."""
+    values = [((j * 7 + k * 3) % 11 - 5) * 0.4 for j in range(64) for k in range(10)] + [((k * 5) % 7 - 3) * 0.1 for k in range(10)]
+    return "case when j < 64 then ((j * 7 + k * 3) % 11 - 5) * 0.4 else ((k * 5) % 7 - 3) * 0.1 end", values
+
+
+_FIXED = f"""with cell as (select vec_id, label, unnest(range(64)) as j, unnest(embedding)::double as v from embeddings
+  union all select vec_id, label, 64, 1.0 from embeddings),
+k as (select cast(i as int) as k from range(10) t(i)),
+z as (select vec_id, label, k, sum(v * ({_fixed_weights()[0]})) as z from cell, k group by all),
+d as (select *, z - max(z) over (partition by vec_id) as d from z),
+p as (select *, exp(d) / sum(exp(d)) over (partition by vec_id) as p from d),
+row_ as (select vec_id, label, vec_id % 3 as client, arg_max(k, d) as pred, ln(sum(exp(d))) - max(d) filter (k = label) as loss from d group by all)
+"""
+_SCORES_OF = """select {client} as client, sum(n) as n, round(sum(loss) / sum(n), 6) as loss, round(sum(hit) / sum(n), 6) as accuracy,
+  round(sum(n * case when predicted > 0 then hit / predicted else 0 end) / sum(n), 6) as precision, round(sum(hit) / sum(n), 6) as recall,
+  round(sum(n * case when n + predicted > 0 then 2 * hit / (n + predicted) else 0 end) / sum(n), 6) as f1
+from (select {client} as client, k, count(*) filter (label = k) as n, count(*) filter (pred = k) as predicted,
+        count(*) filter (label = k and pred = k) as hit, coalesce(sum(loss) filter (label = k), 0) as loss from row_, k group by 1, 2) group by 1"""
+
+
+def _vectors(spark, folder):
+    vectors = table(spark, folder, "embeddings").withColumn("client", (F.col("vec_id") % 3).cast("int"))
+    return mlp.prepare_rows(vectors, "embedding", "label", client="client", classes=10)
+
+
+@query(
+    "mlp_evaluation",
+    _FIXED + _SCORES_OF.format(client="'client_' || client").replace("select 'client_' || client as client, sum", "select client, sum", 1)
+    + " union all " + _SCORES_OF.format(client="'all'").replace("select 'all' as client, sum", "select client, sum", 1),
+)
+def mlp_evaluation(spark, folder):
+    """Loss and scores of a network with given weights, per client and together."""
+    import numpy as np
+
+    found = mlp.evaluate_mlp(_vectors(spark, folder), np.array(_fixed_weights()[1]), mlp.MlpSpec(64, 10, hidden=()))
+    rows = [(name, s["n"], *[float(s[m]) for m in mlp.METRICS]) for name, s in found.items()]
+    scored = spark.createDataFrame(rows, "client string, n bigint, " + ", ".join(f"{m} double" for m in mlp.METRICS))
+    return scored.select("client", "n", *[r6(m).alias(m) for m in mlp.METRICS])
+
+
+@query(
+    "mlp_federated_step",
+    """with cell as (select label, unnest(range(64)) as j, unnest(embedding)::double as v from embeddings
+  union all select label, 64, 1.0 from embeddings),
+k as (select cast(i as int) as k from range(10) t(i)),
+total as (select count(*) as n from embeddings)
+select cast(j * 10 + k as int) as pos, round(w0 - 0.5 * g, 6) as value
+from (select j, k, sum(v * (0.1 - case when label = k then 1.0 else 0.0 end)) / max(n) as g, 0.0 as w0 from cell, k, total group by j, k)""",
+)
+def mlp_federated_step(spark, folder):
+    """One round of three clients with one gradient step each: the mean of their weights."""
+    import numpy as np
+
+    spec = mlp.MlpSpec(64, 10, hidden=(), rate=0.5, optimizer="sgd")
+    flat, _ = mlp.federated_average(_vectors(spark, folder), spec, range(3), rounds=1, batch_rows=None, start=np.zeros(650))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(flat)], "pos int, value double").select("pos", r6("value").alias("value"))
+
+
 def _network_rows(spark, folder):
     from flowlake.operators.features import fit_scale, scale
 
@@ -296,11 +355,12 @@ def mlp_fit_history(spark, folder):
     """Focal-loss training with validation and patience."""
     rows = _network_rows(spark, folder)
     spec = mlp.MlpSpec(len(FLOW_FEATURES), FLOW_CLASSES, (16,), loss="focal", rate=0.05)
-    train = mlp.prepare_rows(rows.where("not held_out"), "x", "label")
-    held = mlp.prepare_rows(rows.where("held_out"), "x", "label")
-    _, history = mlp.fit_mlp(train, spec, epochs=5, validation=held, patience=3)
+    train = mlp.prepare_rows(rows.where("not held_out"), "x", "label", classes=FLOW_CLASSES)
+    held = mlp.prepare_rows(rows.where("held_out"), "x", "label", classes=FLOW_CLASSES)
+    _, history = mlp.fit_mlp(train, spec, epochs=20, validation=held, patience=3)
+    names = [f"{side}_{m}" for side in ("train", "val") for m in mlp.METRICS]
     return spark.createDataFrame(
-        [(h["epoch"], float(h["train_loss"]), float(h["val_loss"])) for h in history], "epoch int, train_loss double, val_loss double"
+        [(h["epoch"], *[float(h[n]) for n in names]) for h in history], "epoch int, " + ", ".join(f"{n} double" for n in names)
     )
 
 
@@ -309,7 +369,7 @@ def mlp_federated(spark, folder):
     """FedAvg over five clients; the averaged network's scores on the held-out rows."""
     rows = _network_rows(spark, folder)
     spec = mlp.MlpSpec(len(FLOW_FEATURES), FLOW_CLASSES, (16,), rate=0.05)
-    train = mlp.prepare_rows(rows.where("not held_out"), "x", "label", client="client")
+    train = mlp.prepare_rows(rows.where("not held_out"), "x", "label", client="client", classes=FLOW_CLASSES)
     flat, _ = mlp.federated_average(train, spec, range(5), rounds=3, local_steps=2)
     scored = score.decide(mlp.predict_mlp(rows.where("held_out"), "x", flat, spec), "probs")
     return metrics.summary(metrics.confusion(scored, "label", "predicted_label", FLOW_CLASSES))

@@ -34,7 +34,7 @@ def numeric_stats(spark, folder):
 def numeric_stats_narrowed(spark, folder):
     """The same quantiles by narrowing, the way taken for tables too large for one task."""
     df = lines(spark, folder, *NUMERIC)
-    q = quantiles.quantile_columns(df, NUMERIC, [0.5, 0.99], in_task=0)
+    q = quantiles.quantile_columns(df, NUMERIC, [0.5, 0.99])
     got = df.agg(
         F.array(*[F.struct(F.lit(c).alias("column"), q[c][0].alias("median"), q[c][1].alias("q99")) for c in NUMERIC]).alias("e")
     )

@@ -349,6 +349,63 @@ def test_mlp_learns_and_averages(spark):
     assert right > 0.8
 
 
+def _ring(spark, n=3000, parts=4):
+    """Two rings inside each other: no plane divides them."""
+    rng = np.random.default_rng(3)
+    label = rng.integers(0, 2, n)
+    angle, radius = rng.uniform(0, 2 * np.pi, n), 1 + label + rng.normal(scale=0.1, size=n)
+    x = np.column_stack([radius * np.cos(angle), radius * np.sin(angle)])
+    rows = [(i % 3, x[i].tolist(), int(label[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "client int, x array<double>, label int").repartition(parts)
+
+
+def test_mini_batches_learn_in_one_pass_an_epoch(spark, monkeypatch):
+    passes = []
+    plain = mlp._local
+    monkeypatch.setattr(mlp, "_local", lambda *args: passes.append(args[2]) or plain(*args))
+    df = _ring(spark)
+    train, held = (mlp.prepare_rows(df.where(f"{sign} client = 2"), "x", "label", classes=2) for sign in ("not", ""))
+    flat, history = mlp.fit_mlp(train, mlp.MlpSpec(2, 2, (16,), rate=0.02), epochs=20, validation=held, batch_rows=32)
+    assert passes == list(range(20)) and len(history) == 20
+    assert set(history[0]) == {"epoch", *[f"{s}_{m}" for s in ("train", "val") for m in mlp.METRICS]}
+    assert history[-1]["val_accuracy"] > 0.97 > history[0]["train_accuracy"]
+    one = mlp.fit_mlp(train, mlp.MlpSpec(2, 2, (16,), rate=0.02), epochs=1, batch_rows=None)[1]
+    assert history[1]["train_loss"] < one[0]["train_loss"]
+    scored = score.decide(mlp.predict_mlp(held, "x", flat, mlp.MlpSpec(2, 2, (16,))), "probs").withColumn("true_label", F.col("label"))
+    want = metrics.summary(metrics.confusion(scored, "true_label", "predicted_label", 2)).first()
+    got = mlp.evaluate_mlp(held, flat, mlp.MlpSpec(2, 2, (16,)))
+    for m in ("accuracy", "precision", "recall", "f1"):
+        assert abs(got["all"][m] - want[m]) < 1e-12
+    assert got["client_0"]["n"] == got["all"]["n"] == held.count()
+
+
+def test_training_stops_after_epochs_without_a_better_loss(spark):
+    rng = np.random.default_rng(8)
+    rows = [(rng.normal(size=4).tolist(), int(rng.integers(0, 3))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "x array<double>, label int")
+    train, held = mlp.prepare_rows(df.limit(200), "x", "label"), mlp.prepare_rows(df.subtract(df.limit(200)), "x", "label")
+    _, history = mlp.fit_mlp(train, mlp.MlpSpec(4, 3, (16,), rate=0.05), epochs=40, validation=held, patience=2, batch_rows=16)
+    best = min(range(len(history)), key=lambda e: history[e]["val_loss"])
+    assert len(history) < 40 and len(history) - 1 - best == 2
+
+
+def test_averaged_clients_are_judged_each(spark):
+    df = _ring(spark)
+    rows = mlp.prepare_rows(df, "x", "label", client="client", classes=2)
+    spec = mlp.MlpSpec(2, 2, (16,), rate=0.02)
+    _, history = mlp.federated_average(rows, spec, [0, 1], rounds=6, local_steps=2, validation=rows, batch_rows=32)
+    last = history[-1]
+    assert set(last["clients"]) == {0, 1} and set(last["validation"]) == {"client_0", "client_1", "client_2", "all"}
+    assert last["n"] == sum(c["n"] for c in last["clients"].values()) == 2000
+    assert last["validation"]["client_2"]["accuracy"] > 0.9 and last["loss"] < history[0]["loss"]
+
+
+def test_labels_beyond_the_classes_are_refused(spark):
+    df = spark.createDataFrame([([1.0], 0), ([2.0], 3)], "x array<double>, label int")
+    with pytest.raises(ValueError, match="1 rows"):
+        mlp.prepare_rows(df, "x", "label", classes=3)
+
+
 def test_neighbours_over_many_blocks_are_exact(spark):
     rng = np.random.default_rng(6)
     x, label = rng.normal(size=(120, 3)), rng.integers(0, 2, 120)
@@ -361,6 +418,45 @@ def test_neighbours_over_many_blocks_are_exact(spark):
         assert [got[(i, r)] for r in range(1, 5)] == near
 
 
+def _plain_neighbours(ids, x, label, k):
+    out = {}
+    for i in range(len(ids)):
+        same = [j for j in range(len(ids)) if label[j] == label[i] and j != i]
+        gap = np.sqrt(((x[same] - x[i]) ** 2).sum(axis=1)) if same else []
+        near = sorted(zip(gap, (ids[j] for j in same)))[:k]
+        out.update({(ids[i], r): n for r, (_, n) in enumerate(near, 1)})
+    return out
+
+
+@pytest.mark.parametrize("ids", ["int", "text"])
+def test_neighbours_with_pivots_are_exact(spark, ids):
+    """Clusters, noise, a hot group of equal vectors, a lone row and rows without label."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(scale=20, size=(9, 4))
+    x = np.vstack([centres[rng.integers(0, 9, 300)] + rng.normal(size=(300, 4)), rng.normal(size=(60, 4)), np.full((90, 4), 3.0), [[50.0] * 4]])
+    label = [*rng.integers(0, 2, 300).tolist(), *[None] * 60, *[0] * 90, 7]
+    names = [i if ids == "int" else f"row {i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([(n, v.tolist(), c) for n, v, c in zip(names, x, label)], f"id {'int' if ids == 'int' else 'string'}, v array<double>, y int")
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.same_class_neighbours(df, "id", "y", "v", 4, block_rows=25).collect()}
+    assert got == _plain_neighbours(names, x, label, 4)
+
+
+def test_clustered_rows_visit_few_units(spark, monkeypatch):
+    """What is sent to other units stays a small multiple of the table."""
+    rng = np.random.default_rng(13)
+    centres = rng.normal(scale=30, size=(40, 8))
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id bigint, v array<double>, y int")
+    sent = []
+    plain = neighbours._visits
+    monkeypatch.setattr(neighbours, "_visits", lambda *args: (lambda f: sent.append(f.count()) or f)(plain(*args)))
+    got = neighbours.same_class_neighbours(df, "id", "y", "v", 5, block_rows=100)
+    assert got.count() == 5 * 4000
+    assert sent[0] < 8 * 4000
+    first = {r["id"]: r["neighbour"] for r in got.where("rank = 1 and id < 200").collect()}
+    assert all(first[i] == np.argsort(((x - x[i]) ** 2).sum(axis=1))[1] for i in range(200))
+
+
 def test_rebalance_reaches_the_target(spark):
     rng = np.random.default_rng(7)
     label = [0] * 60 + [1] * 9 + [2] * 1

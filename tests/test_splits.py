@@ -55,6 +55,32 @@ def test_quota_is_exact_for_any_cell_width(flows):
     assert picked[0] == picked[1] == picked[2]
 
 
+@pytest.mark.parametrize("ranked", [1, 7, 200])
+def test_wide_cells_are_refined_until_few_rows_are_ranked(flows, ranked, monkeypatch):
+    """Any bound on ranked rows gives the same cut, and no ranked cell is larger than it."""
+    want = {r["id"] for r in splits.undersample(flows, "id", "label", 250).select("id").collect()}
+    sizes = []
+    plain = splits._cut_marks
+    monkeypatch.setattr(splits, "_cut_marks", lambda h, cuts, *more: sizes.append(cuts.where("rest > 0").agg(F.max("size")).first()[0]) or plain(h, cuts, *more))
+    ends = lambda n: F.array(F.lit(250).cast("bigint"))
+    cut = splits.cut_segments(flows, "id", ends, ["label"], digits=1, ranked=ranked)
+    assert {r["id"] for r in cut.where("segment = 0").select("id").collect()} == want
+    assert (sizes[0] or 0) <= ranked
+    whole = splits.cut_segments(flows, "id", lambda n: F.array(F.lit(100).cast("bigint"), F.lit(100).cast("bigint"), n - 3), digits=1, ranked=ranked)
+    assert {r["segment"]: r["count"] for r in whole.groupBy("segment").count().collect()} == {0: 100, 2: 11000 - 103, 3: 3}
+
+
+def test_drawn_clients_are_the_first_by_hash(spark):
+    from flowlake.operators.federate import select_clients
+
+    clients = spark.range(5000).select(F.col("id").alias("client"))
+    got = select_clients(clients.union(clients), [1, 2, 3], 0.1)
+    assert {r["round"]: r["count"] for r in got.groupBy("round").count().collect()} == {1: 500, 2: 500, 3: 500}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert select_clients(clients.limit(2), [1], 0.1, minimum=3).count() == 0
+    assert select_clients(clients.limit(4), [1], 0.1, minimum=3).count() == 3
+
+
 def test_a_split_is_a_projection_with_one_small_join(flows):
     plan = splits.stratified_split(flows, "id", "label")._jdf.queryExecution().sparkPlan().toString()
     assert "Window" not in plan and "Exchange" not in plan and "Union" not in plan

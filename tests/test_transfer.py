@@ -93,6 +93,48 @@ def test_drain_resumes_where_it_stopped(spark):
     assert second.where("label = 1").count() == 10
 
 
+def test_a_drain_without_messages_is_an_empty_table(spark):
+    inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
+    spark.createDataFrame([], "value string").write.text(inbox)
+    stream = capture.message_stream(spark, "files", path=inbox)
+    capture.capture_once(stream, out, mark).awaitTermination()
+    got = capture.captured(spark, out, ["event_id"], ["event_id", "v"])
+    assert got.columns == ["event_id", "v", "label"] and got.count() == 0
+    assert capture.captured(spark, out, ["event_id"]).count() == 0
+    assert capture.captured(spark, fresh_path(spark, "nothing"), ["event_id"]).columns == ["event_id", "label"]
+
+
+def test_a_drain_stops_by_itself_when_nothing_comes(spark):
+    inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
+    rows = [(json.dumps({"event_id": i, "v": i}),) for i in range(40)]
+    spark.createDataFrame(rows, "value string").repartition(4).write.text(inbox)
+    stream = capture.message_stream(spark, "files", path=inbox, files="1")
+    assert capture.capture_until_idle(stream, out, mark, idle_seconds=4) == 40
+    assert not spark.streams.active
+    assert capture.captured(spark, out, ["event_id"]).count() == 40
+    # nothing new: it ends again, and the table stays as it is
+    assert capture.capture_until_idle(stream, out, mark, idle_seconds=2) == 0
+    assert capture.captured(spark, out, ["event_id"]).count() == 40
+
+
+def test_a_drain_stops_at_its_limit(spark):
+    inbox, out, mark = (fresh_path(spark, n) for n in ("inbox", "out", "mark"))
+    spark.createDataFrame([(json.dumps({"event_id": i}),) for i in range(60)], "value string").repartition(6).write.text(inbox)
+    stream = capture.message_stream(spark, "files", path=inbox, files="1")
+    taken = capture.capture_until_idle(stream, out, mark, idle_seconds=20, limit=15)
+    assert 15 <= taken <= 60
+
+
+def test_long_ids_are_ordered_by_their_digits(spark):
+    ids = ["9" * 30, "1" + "0" * 30, "1" + "0" * 29 + "1", "12.5", "12.25", "x", None, "7"]
+    df = spark.createDataFrame([(i, "a") for i in ids], "event_id string, v string")
+    keys = [n.asc_nulls_last() for n in clean.numeric_order(F.col("event_id"))]
+    got = [r["event_id"] for r in df.where("event_id is not null").orderBy(*keys, "event_id").collect()]
+    assert got == ["7", "12.25", "12.5", "9" * 30, "1" + "0" * 30, "1" + "0" * 29 + "1", "x"]
+    last = {r["event_id"] for r in clean.label_flag_last(df.where("event_id <> 'x'"), ["event_id"], 2).where("label = 1").collect()}
+    assert last == {"1" + "0" * 30, "1" + "0" * 29 + "1"}
+
+
 def test_latest_report_is_read_whole(spark):
     from flowlake.sources import sinks
 
