@@ -4,13 +4,13 @@ Words and word pairs are counted over the training rows. A count c is held as it
 ``1 + floor(log_b c)``: the filter contains the n-gram with every level up to its own, so a
 lookup probes level after level until one is missing. The filter is broadcast, its size fixed
 by a parameter: pairs need at least ``LEAST`` occurrences, and if what is left does not fit, the
-lowest levels stay out until it does; such n-grams get their probability from the smoothing.
+lowest levels stay out until it does; such pairs get their probability from the words alone.
 
     p(w | h) = max(c(hw) - D, 0) / c(h) + (1 - k) p0(w),   p0(w) = (c(w) + 1/2) / (N + (V + 1) / 2)
 
 k is the share of probability that pairs hold after contexts of h's level, measured over all
-training tokens. The base score uses exact counts: those of frequent words are broadcast (a
-bounded table), those of all others joined.
+training tokens. p0 and the base score use exact counts of words at any size: those of frequent words are
+broadcast (a bounded table), those of all others joined, whatever the filter holds.
 
 Edge cases: a null or empty text is one end token; a null id counts as the empty text in the
 fold; repeated rows count and are scored each; very long texts are handled in stretches; with
@@ -230,26 +230,41 @@ class Model:
     frequent: np.ndarray  # hashes of frequent words, sorted
     frequent_n: np.ndarray
     held: np.ndarray  # k by level of the context
+    pairs: int = 0  # pairs with at least LEAST occurrences, and those of them in the filter
+    pairs_held: int = 0
 
     def uniform(self) -> float:
         return max(self.tokens + 0.5 * (self.distinct + 1), 0.5)
 
-    def lookups(self, tokens: np.ndarray, ends: np.ndarray):
-        """(distinct tokens, index of each token, stand-in counts of token, context and pair, level of the context)."""
+    def lookups(self, tokens: np.ndarray, ends: np.ndarray) -> Lookup:
         table = LogFrequencyFilter(self.bits)
         distinct, where = np.unique(tokens, return_inverse=True)
-        word_levels = self._kept(table.levels(distinct))
+        at = np.minimum(np.searchsorted(self.frequent, distinct), max(len(self.frequent) - 1, 0))
+        known = self.frequent[at] == distinct if len(self.frequent) else np.zeros(len(distinct), bool)
+        counts = np.where(known, self.frequent_n[at] if len(self.frequent) else 0, 0)
+        levels = np.where(known, level_of(counts), self._kept(table.levels(distinct)))
         before = _contexts(tokens, ends)
         context = np.zeros(len(tokens), np.int64)
-        context[1:] = word_levels[where[:-1]]
+        context[1:] = levels[where[:-1]]
         context[before == START] = level_of(np.array([self.documents]))[0]
         pairs = self._kept(table.levels(pair_hashes(before, tokens)))
-        return distinct, where, _STANDS[word_levels][where], _STANDS[context], _STANDS[pairs], context
+        return Lookup(known[where], counts[where], _STANDS[context], _STANDS[pairs], context)
 
     def _kept(self, levels: np.ndarray) -> np.ndarray:
         return np.where(levels >= self.lowest, levels, 0)
 
 
+@dataclass
+class Lookup:
+    """What a model knows of tokens: exact counts of those in its table, stand-in counts of contexts and pairs."""
+
+    known: np.ndarray
+    count: np.ndarray
+    context: np.ndarray
+    pair: np.ndarray
+    level: np.ndarray  # of the context
+
+
 def _pair_weight(context: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Discounted count of each pair, zero if it is too rare to have been kept; never above its context's."""
     return np.where(pair >= LEAST, np.minimum(pair, context) - DISCOUNT, 0.0).clip(0.0)
@@ -264,10 +279,10 @@ def _held_share(train: DataFrame, model: Model) -> np.ndarray:
         seen, kept = np.zeros(_MAX_LEVEL + 1), np.zeros(_MAX_LEVEL + 1)
         for batch in batches:
             for _, tokens, ends in _grouped(batch):
-                _, _, _, context, pair, level = of.lookups(tokens, ends)
-                share = _pair_weight(context, pair) / np.maximum(np.minimum(pair, np.maximum(context, 1)), 1)
-                seen += np.bincount(level, minlength=_MAX_LEVEL + 1)
-                kept += np.bincount(level, share, minlength=_MAX_LEVEL + 1)
+                found = of.lookups(tokens, ends)
+                share = _pair_weight(found.context, found.pair) / np.maximum(np.minimum(found.pair, np.maximum(found.context, 1)), 1)
+                seen += np.bincount(found.level, minlength=_MAX_LEVEL + 1)
+                kept += np.bincount(found.level, share, minlength=_MAX_LEVEL + 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(_MAX_LEVEL + 1)), pa.array(seen), pa.array(kept)], names=["level", "seen", "kept"]
         )
@@ -307,6 +322,8 @@ def train_model(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: in
         frequent=hashes[order],
         frequent_n=top.column(1).to_numpy().astype(np.int64)[order],
         held=np.zeros(_MAX_LEVEL + 1),
+        pairs=sum(r[2] for r in table if r[0]),
+        pairs_held=sum(r[2] for r in table if r[0] and r[1] >= lowest),
     )
     model.held = _held_share(train, model)
     return model, words_only
@@ -315,8 +332,8 @@ def train_model(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: in
 def score(df: DataFrame, model: Model, word_counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, n_known, base_score, score)`` for every row of ``df``.
 
-    One pass scores the texts; words outside the broadcast table leave it as hashes and get
-    their exact counts by a join.
+    One pass scores the texts; words outside the broadcast table leave it as hashes, with what their pair and
+    context give to the probability, and get their exact counts by a join.
     """
     rows = picked(df, id=id_col, text=text_col)
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -328,41 +345,49 @@ def score(df: DataFrame, model: Model, word_counts: DataFrame, id_col: str = "do
         for batch in batches:
             ids = batch.column(0)
             for some, tokens, ends in _grouped(batch):
-                distinct, where, count, context, pair, level = of.lookups(tokens, ends)
-                low = (count + 0.5) / scale
-                p = _pair_weight(context, pair) / np.maximum(context, 1) + (1 - of.held[level]) * low
-                at = np.searchsorted(of.frequent, distinct)
-                found = np.zeros(len(distinct), bool)
-                inside = at < len(of.frequent)
-                found[inside] = of.frequent[at[inside]] == distinct[inside]
-                exact = np.zeros(len(distinct))
-                exact[found] = of.frequent_n[at[found]]
+                found = of.lookups(tokens, ends)
+                low = (found.count + 0.5) / scale
+                own = _pair_weight(found.context, found.pair) / np.maximum(found.context, 1)
+                rest = 1 - of.held[found.level]
                 begins = np.append(0, ends[:-1])
-                known = found[where]
-                base = np.where(known, np.log10((exact + 0.5) / scale)[where], 0.0)
-                totals = [np.add.reduceat(x, begins) for x in (base, np.log10(np.minimum(p, 1.0)), known.astype(np.int64))]
-                rare = np.flatnonzero(~known)
-                offsets = np.append(0, np.searchsorted(rare, ends)).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[rare].view(np.int64)))
+                base = np.where(found.known, np.log10(low), 0.0)
+                full = np.where(found.known, np.log10(np.minimum(own + rest * low, 1.0)), 0.0)
+                totals = [np.add.reduceat(x, begins) for x in (base, full, found.known.astype(np.int64))]
+                rare = np.flatnonzero(~found.known)
+                offsets = pa.array(np.append(0, np.searchsorted(rare, ends)).astype(np.int32))
+                parts = (tokens[rare].view(np.int64), own[rare], rest[rare])
                 keys = number + np.arange(len(some))
                 number += len(some)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(some[0], len(some)), pa.array(keys), pa.array(ends - begins), *map(pa.array, totals), listed],
-                    names=["id", "key", "n_tokens", "base", "score", "known", "rare"],
+                    [
+                        ids.slice(some[0], len(some)),
+                        pa.array(keys),
+                        pa.array(ends - begins),
+                        *map(pa.array, totals),
+                        *[pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(p))) for p in parts],
+                    ],
+                    names=["id", "key", "n_tokens", "base", "full", "known", "rare", "own", "rest"],
                 )
 
     long, double = T.LongType(), T.DoubleType()
     fields = [field(rows, "id"), T.StructField("key", long), T.StructField("n_tokens", long), T.StructField("base", double)]
-    fields += [T.StructField("score", double), T.StructField("known", long), T.StructField("rare", T.ArrayType(long))]
+    fields += [T.StructField("full", double), T.StructField("known", long), T.StructField("rare", T.ArrayType(long))]
+    fields += [T.StructField(c, T.ArrayType(double)) for c in ("own", "rest")]
     scored = durable(arrow_map(rows, kernel, fields), "lm-scores")
-    rare = scored.select("key", F.explode("rare").alias("gram")).join(word_counts, "gram", "left")
-    term = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.uniform()))
-    sums = rare.groupBy("key").agg(F.sum(term).alias("more"), F.count("n").alias("more_known"))
-    joined = scored.drop("rare").join(sums, "key", "left")
+    each = scored.select("key", F.explode(F.arrays_zip("rare", "own", "rest")).alias("t"))
+    rare = each.select("key", F.col("t.rare").alias("gram"), F.col("t.own").alias("own"), F.col("t.rest").alias("rest"))
+    met = rare.join(word_counts, "gram", "left")
+    low = (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.uniform())
+    sums = met.groupBy("key").agg(
+        F.sum(F.log10(low)).alias("more"),
+        F.sum(F.log10(F.least(F.col("own") + F.col("rest") * low, F.lit(1.0)))).alias("more_full"),
+        F.count("n").alias("more_known"),
+    )
+    joined = scored.drop("rare", "own", "rest").join(sums, "key", "left")
     return joined.select(
         "id",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("full") + F.coalesce("more_full", F.lit(0.0))).alias("score"),
     )

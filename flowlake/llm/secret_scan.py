@@ -4,15 +4,15 @@ Base parts are found everywhere: assigned secrets, access identifiers, long hex
 candidates are things that are harmless alone: short access identifiers, user names, long
 mixed tokens and service endpoints. Parts of one text are sorted by place and joined by interval: a
 weak candidate is reported only if a complementary part lies within the scope, a stretch of
-``SCOPE`` code points inside the same text.
+``SCOPE`` code points inside the same text. The complement is another part: what overlaps the
+candidate is none.
 
 Linked kinds, each with what it needs in scope:
 
     endpoint   a URL or host:port         an assigned secret or access identifier
     user       an assigned user name      an assigned secret
     part       a short access identifier  an assigned secret or hex run
-    key        a mixed 20+ letter token   an access identifier (of any length) or, in a text
-                                          with a base part, a user name
+    key        a mixed 20+ letter token   an access identifier (of any length) or a user name
 
 Scopes never cross texts, so the join is a sorted sweep beside the text itself and nothing is
 shuffled. Edge cases: a null text is empty and has no spans; a text of any length is scanned
@@ -23,7 +23,7 @@ never repeats the span of a base part; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,14 +66,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 def weak_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak candidates of the whole text. A kind none of whose complements occurs in the text is not looked for.
-
-    Without base parts user names are no complement either.
-    """
+    """Weak candidates of the whole text. A kind none of whose complements occurs in the text is not looked for."""
     have = {kind for kind, _, _ in base}
     found: list[Span] = []
+    # user names and short identifiers are complements of keys
     for kind, places in (("user", _users), ("part", _parts), ("key", _keys), ("endpoint", _endpoints)):
-        if kind == "part" or have.intersection(NEEDS[kind]) or kind == "user" and base:
+        if kind in NEEDS["key"] or have.intersection(NEEDS[kind]):
             spotted = [(kind, *place) for place in places(text)]
             found += spotted
             have.update([kind] if spotted else [])
@@ -114,20 +112,21 @@ def _covered(weak: Span, spans: list[tuple[int, int]]) -> bool:
 
 
 def linked(parts: list[Span], scope: int) -> list[Span]:
-    """Weak parts with a complement of a needed kind at most ``scope`` code points away: an interval join per kind."""
-    places: dict[str, list[tuple[int, int]]] = {}
-    for kind, start, end in parts:
-        places.setdefault(kind, []).append((start, end))
-    for spans in places.values():
-        spans.sort()
+    """Weak parts with another part of a needed kind at most ``scope`` code points before or after: an interval join per kind.
+
+    Spans of a kind do not overlap, so the nearest on either side are found by their starts and ends.
+    """
+    places: dict[str, tuple[list[int], list[int]]] = {}
+    for kind, start, end in sorted(parts, key=lambda p: p[1]):
+        starts, ends = places.setdefault(kind, ([], []))
+        starts.append(start)
+        ends.append(end)
     kept = []
     for kind, start, end in parts:
         for other in NEEDS.get(kind, ()):
-            spans = places.get(other, [])
-            at = bisect_left(spans, (start,))
-            after = at < len(spans) and spans[at][0] - end <= scope
-            before = any(start - e <= scope for _, e in spans[max(0, at - 1) : at])
-            if after or before:
+            starts, ends = places.get(other, ([], []))
+            after, before = bisect_left(starts, end), bisect_right(ends, start) - 1
+            if after < len(starts) and starts[after] - end <= scope or before >= 0 and start - ends[before] <= scope:
                 kept.append((kind, start, end))
                 break
     return kept

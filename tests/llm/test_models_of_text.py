@@ -87,6 +87,63 @@ def test_language_model_scores(spark, small):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def _plain_scores(docs, held_out):
+    """The smoothed model with exact counts in plain dictionaries; pairs and contexts stand as their level's middle."""
+    tokens = {k: [*(t or "").encode().lower().split(), None] for k, t in docs.items()}
+    train = [t for k, t in tokens.items() if not held_out(k)]
+    c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([True, *t], t))
+    scale, level = sum(c.values()) + 0.5 * (len(c) + 1), lambda n: int(lm.level_of(np.array([n]))[0]) if n else 0
+    stands = lm._STANDS
+
+    def looked(before, word):
+        at = level(len(train) if before is True else c[before])
+        n = pairs[before, word]
+        pair = stands[level(n)] if n >= lm.LEAST else 0.0
+        weight = max(min(pair, stands[at]) - lm.DISCOUNT, 0.0) if pair >= lm.LEAST else 0.0
+        return at, weight, pair
+
+    seen, kept = Counter(), Counter()
+    for t in train:
+        for before, word in zip([True, *t], t):
+            at, weight, pair = looked(before, word)
+            seen[at] += 1
+            kept[at] += weight / max(min(pair, max(stands[at], 1)), 1)
+    out = {}
+    for k, t in tokens.items():
+        total = 0.0
+        for before, word in zip([True, *t], t):
+            at, weight, _ = looked(before, word)
+            share = kept[at] / seen[at] if seen[at] else 0.0
+            total += math.log10(min(weight / max(stands[at], 1) + (1 - share) * (c[word] + 0.5) / scale, 1.0))
+        out[k] = total
+    return out
+
+
+def test_scores_match_exact_counts(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = _plain_scores({r["doc_id"]: r["text"] for r in docs.collect()}, lambda k: zlib.crc32(str(k).encode()) % 5 == 1)
+    train = docs.where(queries.remainder(F.col("doc_id"), 5) != 1).select("text")
+    for table in (lm.FREQUENT, 500):
+        model, counts = lm.train_model(train, frequent=table)
+        assert model.lowest == 1 and model.pairs == model.pairs_held
+        got = {r["id"]: r["score"] for r in lm.score(docs, model, counts).collect()}
+        # the filter can only err towards pairs that were not seen often
+        assert got.keys() == want.keys()
+        apart = sorted(abs(got[k] - want[k]) / abs(want[k]) for k in want)
+        # a false pair shows in texts of a few words only
+        assert apart[len(apart) // 2] < 1e-3 and apart[len(apart) * 98 // 100] < 0.01 and apart[-1] < 0.1
+        assert abs(sum(got.values()) - sum(want.values())) < 1e-3 * abs(sum(want.values()))
+
+
+def test_a_filter_too_small_for_its_pairs_stays_at_or_above_the_words(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    train = docs.where(queries.remainder(F.col("doc_id"), 5) != 1).select("text")
+    model, counts = lm.train_model(train, filter_bytes=1 << 17, frequent=2000)
+    assert model.lowest > 1 and model.pairs_held < model.pairs
+    held = [r for r in lm.score(docs, model, counts).collect() if zlib.crc32(str(r["id"]).encode()) % 5 == 1]
+    assert sum(r["score"] for r in held) >= sum(r["base_score"] for r in held)
+
+
 def test_language_model_awkward_rows(spark):
     docs = awkward(spark)
     model, counts = lm.train_model(docs.select("text"))
