@@ -136,7 +136,7 @@ def test_scores_match_exact_counts(spark, small):
 
 
 def test_a_filter_too_small_for_its_pairs_stays_at_or_above_the_words(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet")
     train = docs.where(queries.remainder(F.col("doc_id"), 5) != 1).select("text")
     model, counts = lm.train_model(train, filter_bytes=1 << 17, frequent=2000)
     assert model.lowest > 1 and model.pairs_held < model.pairs
