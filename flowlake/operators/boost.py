@@ -587,10 +587,17 @@ class Trainer:
         self.data = replace(self.data, slots=Slots(self.data.rows.sparkSession, "margins"))
 
     def round(
-        self, clients: Sequence[int] = (0,), local_rounds: int = 1, tracks: Sequence[int] | None = None, patience: int | None = None
+        self,
+        clients: Sequence[int] = (0,),
+        local_rounds: int = 1,
+        tracks: Sequence[int] | None = None,
+        patience: int | None = None,
+        last: bool = False,
     ) -> list[Tree]:
         """Let the clients train ``local_rounds`` from the current model, then append all their trees.
 
+        After the ``last`` round nobody reads the margins: they are left as they are.
+
         With ``patience`` a client stops when its own validation loss has gone so many local rounds without
         a new best; the others go on. ``local_losses`` gets (turn, track, client, loss) for each of them.
         """
@@ -605,10 +612,10 @@ class Trainer:
             grown = [t for t in grown if t.track not in self.failed]
             made += grown
             live = {o for o in live if o[0] not in self.failed}
-            last = number == local_rounds - 1
-            if not alone:
+            final = number == local_rounds - 1
+            if not alone and not (last and final):
                 self._write(grown, own=False)
-            elif not last or stop:
+            elif alone and (stop or not final):
                 self._write(grown, own=True)
             if stop and live:
                 losses = client_losses(validate(self.data, sorted({t for t, _ in live})))
@@ -618,7 +625,7 @@ class Trainer:
             if not live:
                 break
         made = [t for t in made if t.track not in self.failed]
-        if alone:
+        if alone and not last:
             self._write(made, own=False)
         self.trees = [t for t in self.trees if t.track not in self.failed] + made
         return made
@@ -655,7 +662,7 @@ def fit(
     history: list[dict] = []
     stop = Patience(patience) if patience is not None else None
     for number in range(params.rounds):
-        trainer.round()
+        trainer.round(last=stop is None and number == params.rounds - 1)
         if trainer.failed:
             raise ArithmeticError(f"round {number} left the finite numbers; lower eta")
         if stop is None:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from flowlake.functions.numeric import finite
 from flowlake.sources.durable import durable
 
 # A sketch's ranks are off by at most one part in so many; brackets reach twice that far to either side.
-_ACCURACY = 10_000
+_ACCURACY = 2_000
 # Values of a bracket that one task may rank, and sub-brackets counted at a time beyond that.
 _CANDIDATES = 500_000
 _PARTS = 1_024
@@ -111,13 +113,11 @@ def _values(clean: DataFrame, proved: dict[_Key, tuple[float, float, int, int]],
     for key, (low, high, below, inside) in proved.items():
         shared.setdefault((key[0], low, high, below, inside), []).append(key)
     spans = list(shared)
-    entries = [
-        F.struct(F.lit(j).alias("j"), F.when(F.col(f"c{i}").between(low, high), F.col(f"c{i}")).alias("v"))
-        for j, (i, low, high, _, _) in enumerate(spans)
-    ]
-    # only values inside a bracket are spread out; copies of a value are combined before the shuffle
-    held = F.explode(F.filter(F.array(*entries), lambda e: e["v"].isNotNull())).alias("e")
-    counted = durable(clean.select(held).select("e.j", "e.v").groupBy("j", "v").agg(F.count("*").alias("n")), "brackets")
+    inside = [F.col(f"c{i}").between(low, high) for i, low, high, _, _ in spans]
+    cells = [c for j, (i, *_) in enumerate(spans) for c in (F.lit(j), F.when(inside[j], F.col(f"c{i}")))]
+    # only rows with a value inside some bracket are spread out; copies of a value are combined before the shuffle
+    held = clean.where(reduce(or_, inside)).select(F.stack(F.lit(len(spans)), *cells).alias("j", "v"))
+    counted = durable(held.where(F.col("v").isNotNull()).groupBy("j", "v").agg(F.count("*").alias("n")), "brackets")
     wanted = [(j, key[1] - spans[j][3], key) for j, span in enumerate(spans) for key in shared[span]]
     found: dict[_Key, float] = {}
     large = [w for w in wanted if spans[w[0]][4] > candidates]
