@@ -1,16 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Words and word pairs are counted over the training rows. A count c is held as its level
-``1 + floor(log_b c)``: the filter contains the n-gram with every level up to its own, so a
-lookup probes level after level until one is missing. The filter is broadcast, its size fixed
-by a parameter: pairs need at least ``LEAST`` occurrences, and if what is left does not fit, the
-lowest levels stay out until it does; such pairs get their probability from the words alone.
+Words and word pairs are counted over the training rows. A pair's count c is held as its level
+``1 + floor(log_b c)``: the filter contains the pair with every level up to its own, so a lookup
+probes level after level until one is missing. The filter holds every pair of at least ``LEAST``
+occurrences and grows with the corpus. Its upper levels, as many as fit ``FILTER_BYTES``, are
+broadcast; the levels below lie in a written table of parts of ``PART_BLOCKS`` blocks each, and
+the probes that the broadcast part cannot answer are shuffled to them. Frequent pairs are thus
+settled where the text is read, and no part is hot.
 
     p(w | h) = max(c(hw) - D, 0) / c(h) + (1 - k) p0(w),   p0(w) = (c(w) + 1/2) / (N + (V + 1) / 2)
 
-k is the share of probability that pairs hold after contexts of h's level, measured over all
-training tokens. p0 and the base score use exact counts of words at any size: those of frequent words are
-broadcast (a bounded table), those of all others joined, whatever the filter holds.
+k is the share of probability that pairs hold after contexts of h's level, summed over all
+training tokens from the tables of counts. p0, the level of a context and the base score use exact
+counts of words: those of frequent words are broadcast (a bounded table), all others joined.
 
 Edge cases: a null or empty text is one end token; a null id counts as the empty text in the
 fold; repeated rows count and are scored each; very long texts are handled in stretches; with
@@ -20,29 +22,36 @@ no training rows all counts are 0 and every token has probability 1; an empty ta
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from flowlake.llm.rows import arrow_map, field, mixed, picked, texts, words
+from flowlake.llm.rows import arrow_map, mixed, picked, texts, words
+from flowlake.llm.rows import field as rows_field
+from flowlake.session import shuffle_width
 from flowlake.sources.durable import durable
 
 BASE = 1.5  # of the logarithm that makes levels
 LEAST = 2  # occurrences of a pair worth keeping
 DISCOUNT = 0.6
-FILTER_BYTES = 1 << 25  # bound of the broadcast filter
+FILTER_BYTES = 1 << 25  # bound of the broadcast levels of the filter
+PART_BLOCKS = 32  # blocks of a part of the written levels: 4 MB, what a probing task holds
 FREQUENT = 1 << 20  # bound of the broadcast table of exact counts, in words
 _BITS_PER_KEY = 16
 _BLOCK_WORDS = 1 << 14
 _GROUP = 400_000  # tokens handled at once
 _CHUNK = 4_000_000  # tokens counted before partial counts leave the task
 _MAX_LEVEL = 80
+_ROW_PROBES = 500  # probes a row, so that a batch of rows stays small
+_ROWS_AT_ONCE = 400  # rows of probes answered together
 
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _PAIR = np.uint64(0xA24BAED4963EE407)
@@ -96,40 +105,65 @@ def _grouped(batch: pa.RecordBatch):
         yield rows, np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
-def gram_counts(train: DataFrame) -> DataFrame:
-    """``(gram, pair, n)`` of ``train(text)``: every word, and every pair with at least LEAST occurrences.
+def _counted(train: DataFrame, kernel, fields: list[T.StructField], *facts: Column) -> DataFrame:
+    """Partial counts of tasks added up. Tasks send one row for each distinct n-gram of some millions of tokens."""
+    parts = arrow_map(train, kernel, [T.StructField("gram", T.LongType()), T.StructField("n", T.LongType()), *fields])
+    return parts.repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"), *facts)
 
-    Tasks send one row for each distinct n-gram of some millions of tokens; a word in every
-    text is one row per chunk.
+
+def word_counts(train: DataFrame) -> DataFrame:
+    """The written ``(gram, n)`` of all words of ``train(text)`` and the end token."""
+
+    def partial(held: list[np.ndarray]) -> pa.RecordBatch:
+        grams, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    def kernel(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, tokens, _ in _grouped(batch):
+                held.append(tokens)
+                size += len(tokens)
+                if size >= _CHUNK:
+                    yield partial(held)
+                    held, size = [], 0
+        if size:
+            yield partial(held)
+
+    return durable(_counted(train, kernel, []), "words")
+
+
+def pair_counts(train: DataFrame, model: Model) -> DataFrame:
+    """The written ``(gram, n, at, context)`` of pairs with at least LEAST occurrences.
+
+    ``at`` is the level of a context in the broadcast table; of others the hash stands in ``context``.
     """
+    shared = train.sparkSession.sparkContext.broadcast(model)
 
-    def partial(parts: list[np.ndarray], pair: bool) -> pa.RecordBatch:
-        grams, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), pair)), pa.array(n.astype(np.int64))],
-            names=["gram", "pair", "n"],
-        )
+    def partial(held: list[tuple]) -> pa.RecordBatch:
+        grams, at, context = (np.concatenate(c) for c in zip(*held))
+        grams, first, n = np.unique(grams, return_index=True, return_counts=True)
+        at = at[first]
+        columns = [pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(at, mask=at < 0)]
+        columns.append(pa.array(context[first].view(np.int64), mask=at >= 0))
+        return pa.RecordBatch.from_arrays(columns, names=["gram", "n", "at", "context"])
 
     def kernel(batches):
-        held: tuple[list, list] = ([], [])
-        size = 0
+        held, size = [], 0
         for batch in batches:
             for _, tokens, ends in _grouped(batch):
-                held[0].append(tokens)
-                held[1].append(pair_hashes(_contexts(tokens, ends), tokens))
+                found = shared.value.lookups(tokens, ends)
+                held.append((found.grams, found.at, found.before))
                 size += len(tokens)
                 if size >= _CHUNK:
-                    yield partial(held[0], False)
-                    yield partial(held[1], True)
-                    held, size = ([], []), 0
+                    yield partial(held)
+                    held, size = [], 0
         if size:
-            yield partial(held[0], False)
-            yield partial(held[1], True)
+            yield partial(held)
 
-    fields = [T.StructField("gram", T.LongType()), T.StructField("pair", T.BooleanType()), T.StructField("n", T.LongType())]
-    parts = arrow_map(train, kernel, fields).repartition("gram")
-    whole = parts.groupBy("gram", "pair").agg(F.sum("n").alias("n"))
-    return durable(whole.where(~F.col("pair") | (F.col("n") >= LEAST)), "grams")
+    fields = [T.StructField("at", T.IntegerType()), T.StructField("context", T.LongType())]
+    counted = _counted(train, kernel, fields, F.max("at").alias("at"), F.max("context").alias("context"))
+    return durable(counted.where(F.col("n") >= LEAST), "pairs")
 
 
 def _level(n: Column) -> Column:
@@ -146,7 +180,7 @@ class LogFrequencyFilter:
 
     @staticmethod
     def block_of(grams: np.ndarray, blocks: int) -> np.ndarray:
-        return ((grams >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24)
+        return (((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
 
     @staticmethod
     def probe(grams: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
@@ -158,13 +192,16 @@ class LogFrequencyFilter:
         mask = (one << (h & six)) | (one << ((h >> np.uint64(6)) & six)) | (one << ((h >> np.uint64(12)) & six))
         return (h >> np.uint64(18)) % np.uint64(_BLOCK_WORDS), mask
 
-    def levels(self, grams: np.ndarray) -> np.ndarray:
-        """The highest level reached by probing 1, 2, ... until one is missing."""
+    def levels(self, grams: np.ndarray, first: int = 0, blocks: int | None = None) -> np.ndarray:
+        """The highest level reached by probing 1, 2, ... until one is missing.
+
+        A filter of ``blocks`` blocks in all may be given by some of them in a row, from the block ``first``.
+        """
         out = np.zeros(len(grams), np.int64)
         if not self.blocks:
             return out
         alive = np.arange(len(grams))
-        base = (self.block_of(grams, self.blocks) * np.uint64(_BLOCK_WORDS)).astype(np.int64)
+        base = (self.block_of(grams, blocks or self.blocks) - first) * _BLOCK_WORDS
         for level in range(1, _MAX_LEVEL):
             word, mask = self.probe(grams[alive], level)
             held = (self.bits[base[alive] + word.astype(np.int64)] & mask) == mask
@@ -175,43 +212,60 @@ class LogFrequencyFilter:
         return out
 
 
-def build_filter(grams: DataFrame, levels: list[tuple[int, int]], filter_bytes: int) -> tuple[LogFrequencyFilter, int]:
-    """The filter of ``grams(gram, n)`` and the lowest level in it; ``levels`` lists (level, n-grams).
+def _blocks_for(keys: int) -> int:
+    return -(-keys * _BITS_PER_KEY // (64 * _BLOCK_WORDS))
 
-    Blocks are filled by tasks and reach the driver finished: at most ``filter_bytes`` in all.
-    """
-    room = filter_bytes * 8 // _BITS_PER_KEY
-    lowest = 1
-    while sum(q * n for q, n in levels if q >= lowest) > room:
-        lowest += 1
-    keys = sum(q * n for q, n in levels if q >= lowest)
-    blocks = min(filter_bytes // (8 * _BLOCK_WORDS), -(-keys * _BITS_PER_KEY // (64 * _BLOCK_WORDS)))
-    if not blocks:
-        return LogFrequencyFilter(np.empty(0, np.uint64)), lowest
+
+def _filled(grams: DataFrame, which: Column, blocks: int) -> DataFrame:
+    """``(block, bits)`` of the n-grams of ``grams(gram, n)`` whose ``level`` meets ``which``; a task holds one block at a time."""
     place = F.call_function(
-        "div", F.shiftrightunsigned("gram", 40) * F.lit(blocks).cast("bigint"), F.lit(1 << 24).cast("bigint")
+        "div", F.shiftrightunsigned("gram", 32) * F.lit(blocks).cast("bigint"), F.lit(1 << 32).cast("bigint")
     )
 
+    def done(number: int, bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([bits.tobytes()])], names=["block", "bits"])
+
     def kernel(batches):
-        filled: dict[int, np.ndarray] = {}
+        number, bits = -1, np.zeros(0, np.uint64)
         for batch in batches:
             gram, level, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            gram = gram.view(np.uint64)
             times = level.astype(np.int64)
-            each = np.repeat(gram, times)
+            each = np.repeat(gram.view(np.uint64), times)
             step = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + 1
             word, mask = LogFrequencyFilter.probe(each, step)
-            owner = np.repeat(block, times)
-            for number in np.unique(owner):
-                bits = filled.setdefault(int(number), np.zeros(_BLOCK_WORDS, np.uint64))
-                mine = owner == number
-                np.bitwise_or.at(bits, word[mine].astype(np.int64), mask[mine])
-        for number, bits in filled.items():
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([bits.tobytes()])], names=["block", "bits"])
-
-    rows = grams.select("gram", _level(F.col("n")).alias("level"), place.alias("block")).where(F.col("level") >= lowest)
+            cuts = np.append(np.flatnonzero(np.diff(block)) + 1, len(block))
+            until = np.cumsum(times)
+            lo = 0
+            for cut in cuts[cuts > 0]:
+                if block[cut - 1] != number:
+                    if number >= 0:
+                        yield done(number, bits)
+                    number, bits = int(block[cut - 1]), np.zeros(_BLOCK_WORDS, np.uint64)
+                hi = until[cut - 1]
+                np.bitwise_or.at(bits, word[lo:hi].astype(np.int64), mask[lo:hi])
+                lo = hi
+        if number >= 0:
+            yield done(number, bits)
+
+    rows = grams.select("gram", _level(F.col("n")).alias("level"), place.alias("block")).where(which)
     fields = [T.StructField("block", T.LongType()), T.StructField("bits", T.BinaryType())]
-    done = arrow_map(rows.repartition("block"), kernel, fields).toArrow()
+    return arrow_map(rows.repartition("block").sortWithinPartitions("block"), kernel, fields)
+
+
+def build_filter(grams: DataFrame, levels: list[tuple[int, int]], filter_bytes: int) -> tuple[LogFrequencyFilter, int]:
+    """The upper levels of the filter of ``grams(gram, n)`` and the lowest in them; ``levels`` lists (level, n-grams).
+
+    Blocks are filled by tasks and reach the driver finished: at most ``filter_bytes`` in all.
+    """
+    room = filter_bytes * 8 // _BITS_PER_KEY
+    lowest = 1
+    while sum(q * n for q, n in levels if q >= lowest) > room:
+        lowest += 1
+    keys = sum(q * n for q, n in levels if q >= lowest)
+    blocks = min(filter_bytes // (8 * _BLOCK_WORDS), _blocks_for(keys))
+    if not blocks:
+        return LogFrequencyFilter(np.empty(0, np.uint64)), lowest
+    done = _filled(grams, F.col("level") >= lowest, blocks).toArrow()
     bits = np.zeros((blocks, _BLOCK_WORDS), np.uint64)
     for number, data in zip(done.column(0).to_pylist(), done.column(1).to_pylist()):
         bits[number] = np.frombuffer(data, np.uint64)
@@ -222,172 +276,338 @@ def build_filter(grams: DataFrame, levels: list[tuple[int, int]], filter_bytes:
 class Model:
     """What scoring tasks need: bounded, whatever the corpus."""
 
-    bits: np.ndarray
-    lowest: int
     tokens: int  # N
     distinct: int  # V
     documents: int
     frequent: np.ndarray  # hashes of frequent words, sorted
     frequent_n: np.ndarray
-    held: np.ndarray  # k by level of the context
-    pairs: int = 0  # pairs with at least LEAST occurrences, and those of them in the filter
+    bits: np.ndarray  # the broadcast levels of the filter, from ``lowest`` up
+    lowest: int = 1
+    blocks: int = 0  # of the written levels below
+    held: np.ndarray = field(default_factory=lambda: np.zeros(_MAX_LEVEL + 1))  # k by level of the context
+    pairs: int = 0  # pairs with at least LEAST occurrences, and those of them in the broadcast levels
     pairs_held: int = 0
 
     def uniform(self) -> float:
         return max(self.tokens + 0.5 * (self.distinct + 1), 0.5)
 
     def lookups(self, tokens: np.ndarray, ends: np.ndarray) -> Lookup:
-        table = LogFrequencyFilter(self.bits)
         distinct, where = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.frequent, distinct), max(len(self.frequent) - 1, 0))
-        known = self.frequent[at] == distinct if len(self.frequent) else np.zeros(len(distinct), bool)
-        counts = np.where(known, self.frequent_n[at] if len(self.frequent) else 0, 0)
-        levels = np.where(known, level_of(counts), self._kept(table.levels(distinct)))
+        place = np.full(len(distinct), -1, np.int32)
+        levels = np.full(len(distinct), -1, np.int32)
+        if len(self.frequent):
+            near = np.minimum(np.searchsorted(self.frequent, distinct), len(self.frequent) - 1)
+            known = self.frequent[near] == distinct
+            place[known] = near[known]
+            levels[known] = level_of(self.frequent_n[near[known]])
         before = _contexts(tokens, ends)
-        context = np.zeros(len(tokens), np.int64)
-        context[1:] = levels[where[:-1]]
-        context[before == START] = level_of(np.array([self.documents]))[0]
-        pairs = self._kept(table.levels(pair_hashes(before, tokens)))
-        return Lookup(known[where], counts[where], _STANDS[context], _STANDS[pairs], context)
-
-    def _kept(self, levels: np.ndarray) -> np.ndarray:
+        at = np.empty(len(tokens), np.int32)
+        at[1:] = levels[where[:-1]]
+        at[before == START] = level_of(np.array([self.documents]))[0]
+        return Lookup(place[where], at, before, pair_hashes(before, tokens))
+
+    def upper(self, grams: np.ndarray) -> np.ndarray:
+        """Levels of pairs in the broadcast levels; 0 for those that are not."""
+        levels = LogFrequencyFilter(self.bits).levels(grams)
         return np.where(levels >= self.lowest, levels, 0)
 
+    def low(self, place: np.ndarray) -> np.ndarray:
+        """p0 of words in the broadcast table."""
+        return (self.frequent_n[place] + 0.5) / self.uniform()
+
+    def full(self, place: np.ndarray, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log10 of the probability of tokens whose word and context are in the broadcast table."""
+        context = _STANDS[at]
+        own = _pair_weight(context, _STANDS[pair]) / np.maximum(context, 1)
+        return np.log10(np.minimum(own + (1 - self.held[at]) * self.low(place), 1.0))
+
 
 @dataclass
 class Lookup:
-    """What a model knows of tokens: exact counts of those in its table, stand-in counts of contexts and pairs."""
+    """Tokens as the broadcast tables know them: places and levels are -1 outside."""
 
-    known: np.ndarray
-    count: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
-    level: np.ndarray  # of the context
+    place: np.ndarray  # of the word in the table of frequent words
+    at: np.ndarray  # level of the context
+    before: np.ndarray
+    grams: np.ndarray
 
+    def words(self, tokens: np.ndarray) -> np.ndarray:
+        """Join keys of words: of a word that needs no join the pair's hash, which is no word and never hot."""
+        return np.where(self.place < 0, tokens, self.grams).view(np.int64)
 
-def _pair_weight(context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Discounted count of each pair, zero if it is too rare to have been kept; never above its context's."""
-    return np.where(pair >= LEAST, np.minimum(pair, context) - DISCOUNT, 0.0).clip(0.0)
+    def contexts(self) -> np.ndarray:
+        return np.where(self.at < 0, self.before, self.grams).view(np.int64)
 
 
-def _held_share(train: DataFrame, model: Model) -> np.ndarray:
-    """k for each context level: what pairs hold of the probability, over all training tokens."""
-    shared = train.sparkSession.sparkContext.broadcast(model)
+@dataclass
+class Tables:
+    """What scoring joins: written tables that grow with the corpus."""
 
-    def kernel(batches):
-        of = shared.value
-        seen, kept = np.zeros(_MAX_LEVEL + 1), np.zeros(_MAX_LEVEL + 1)
-        for batch in batches:
-            for _, tokens, ends in _grouped(batch):
-                found = of.lookups(tokens, ends)
-                share = _pair_weight(found.context, found.pair) / np.maximum(np.minimum(found.pair, np.maximum(found.context, 1)), 1)
-                seen += np.bincount(found.level, minlength=_MAX_LEVEL + 1)
-                kept += np.bincount(found.level, share, minlength=_MAX_LEVEL + 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(_MAX_LEVEL + 1)), pa.array(seen), pa.array(kept)], names=["level", "seen", "kept"]
-        )
+    words: DataFrame  # (gram, n)
+    filter: DataFrame | None  # (block, bits) of the levels below the broadcast ones
+
+
+def _pair_weight(context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Discounted count of each pair, zero if it is too rare to have been kept; never above its context's."""
+    return np.where(pair >= LEAST, np.minimum(pair, context) - DISCOUNT, 0.0).clip(0.0)
 
-    fields = [T.StructField("level", T.LongType()), T.StructField("seen", T.DoubleType()), T.StructField("kept", T.DoubleType())]
-    rows = arrow_map(train, kernel, fields).groupBy("level").agg(F.sum("seen").alias("seen"), F.sum("kept").alias("kept"))
-    out = np.zeros(_MAX_LEVEL + 1)
-    for row in rows.collect():
-        out[row["level"]] = row["kept"] / row["seen"] if row["seen"] else 0.0
-    shared.unpersist()
-    return out
 
+def _held_share(pairs: DataFrame, known_words: DataFrame, singles: list[tuple[int, int]]) -> np.ndarray:
+    """k for each context level: what pairs hold of the probability, over all training tokens.
 
-def train_model(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model of ``train(text)`` and the written exact word counts ``(gram, n)``."""
-    grams = gram_counts(train)
-    counted = grams.groupBy("pair", _level(F.col("n")).alias("level")).agg(F.count("*").alias("grams"), F.sum("n").alias("n"))
-    table = [(r["pair"], r["level"], r["grams"], r["n"]) for r in counted.collect()]
-    singles = [r for r in table if not r[0]]
-    levels = [(q, sum(r[2] for r in table if r[1] == q)) for q in sorted({r[1] for r in table})]
-    built, lowest = build_filter(grams, levels, filter_bytes)
-    words_only = grams.where(~F.col("pair")).select("gram", "n")
+    ``singles`` lists (level, tokens) of words: a word is a context as often as it occurs, and the
+    start of a document as often as its end.
+    """
+    near = pairs.where("context is null").select("at", "n")
+    far = pairs.where("context is not null").select("n", F.col("context").alias("word"))
+    names = known_words.select(F.col("gram").alias("word"), _level(F.col("n")).alias("at"))
+    rows = near.unionByName(far.join(names, "word").select("at", "n"))
+    cells = rows.groupBy("at", _level(F.col("n")).alias("level")).agg(F.sum("n").alias("n")).collect()
+    seen, kept = np.zeros(_MAX_LEVEL + 1), np.zeros(_MAX_LEVEL + 1)
+    for level, n in singles:
+        seen[level] += n
+    for row in cells:
+        context, pair = _STANDS[[row["at"]]], _STANDS[[row["level"]]]
+        share = _pair_weight(context, pair) / np.maximum(np.minimum(pair, np.maximum(context, 1)), 1)
+        kept[row["at"]] += float(share[0]) * row["n"]
+    return np.divide(kept, seen, out=np.zeros_like(kept), where=seen > 0)
+
+
+def _by_level(grams: DataFrame) -> list[tuple[int, int, int]]:
+    """(level, n-grams, occurrences) of ``grams(gram, n)``."""
+    rows = grams.groupBy(_level(F.col("n")).alias("level")).agg(F.count("*").alias("grams"), F.sum("n").alias("n")).collect()
+    return sorted((r["level"], r["grams"], r["n"]) for r in rows)
+
+
+def train_model(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT) -> tuple[Model, Tables]:
+    """The model of ``train(text)`` and the tables that its scoring joins."""
+    known_words = word_counts(train)
+    singles = _by_level(known_words)
     cut = 1
-    while sum(r[2] for r in singles if r[1] >= cut) > frequent:
+    while sum(grams for q, grams, _ in singles if q >= cut) > frequent:
         cut += 1
-    top = words_only.where(_level(F.col("n")) >= cut).toArrow()
+    top = known_words.where(_level(F.col("n")) >= cut).toArrow()
     hashes = top.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    end_hash = int(END.view(np.int64))
-    ends = words_only.where(F.col("gram") == F.lit(end_hash)).first()
+    ends = known_words.where(F.col("gram") == F.lit(int(END.view(np.int64)))).first()
     model = Model(
-        bits=built.bits,
-        lowest=lowest,
-        tokens=sum(r[3] for r in singles),
-        distinct=sum(r[2] for r in singles),
+        tokens=sum(n for _, _, n in singles),
+        distinct=sum(grams for _, grams, _ in singles),
         documents=ends["n"] if ends else 0,
         frequent=hashes[order],
         frequent_n=top.column(1).to_numpy().astype(np.int64)[order],
-        held=np.zeros(_MAX_LEVEL + 1),
-        pairs=sum(r[2] for r in table if r[0]),
-        pairs_held=sum(r[2] for r in table if r[0] and r[1] >= lowest),
+        bits=np.empty(0, np.uint64),
     )
-    model.held = _held_share(train, model)
-    return model, words_only
+    pairs = pair_counts(train, model)
+    levels = _by_level(pairs)
+    built, model.lowest = build_filter(pairs, [(q, grams) for q, grams, _ in levels], filter_bytes)
+    model.bits = built.bits
+    model.pairs = sum(grams for _, grams, _ in levels)
+    model.pairs_held = sum(grams for q, grams, _ in levels if q >= model.lowest)
+    model.blocks = _blocks_for(sum(q * grams for q, grams, _ in levels if q < model.lowest))
+    below = durable(_filled(pairs, F.col("level") < model.lowest, model.blocks), "filter") if model.blocks else None
+    model.held = _held_share(pairs, known_words, [(q, n) for q, _, n in singles])
+    return model, Tables(known_words, below)
 
 
-def score(df: DataFrame, model: Model, word_counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, n_known, base_score, score)`` for every row of ``df``.
+def _per_row(numbers: np.ndarray, rows: np.ndarray) -> pa.ListArray:
+    """Lists of ``numbers``, ``rows`` of them each."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rows)).astype(np.int32)), pa.array(numbers))
 
-    One pass scores the texts; words outside the broadcast table leave it as hashes, with what their pair and
-    context give to the probability, and get their exact counts by a join.
-    """
-    rows = picked(df, id=id_col, text=text_col)
+
+_LOOSE = ("word", "place", "context", "at", "pair")  # of tokens whose word or context needs a join
+_PROBE = ("doc", "gram", "places", "ats", "words", "contexts")  # of tokens whose pair is looked for in a part
+
+
+def _settle(model: Model, place, at, pair, word, context, size: np.ndarray) -> list[pa.Array]:
+    """Sums over the tokens that need no join, and lists of those that do, for runs of ``size`` tokens."""
+    loose = (place < 0) | (at < 0)
+    full = np.zeros(len(place))
+    full[~loose] = model.full(place[~loose], at[~loose], pair[~loose])
+    run = np.repeat(np.arange(len(size)), size)
+    each = np.bincount(run[loose], minlength=len(size))
+    counts = np.full(len(place), -1, np.int64)
+    counts[place >= 0] = model.frequent_n[place[place >= 0]]
+    lists = (word, counts, context, at.astype(np.int32), pair.astype(np.int32))
+    return [pa.array(np.bincount(run, full, minlength=len(size))), *[_per_row(x[loose], each) for x in lists]]
+
+
+def _scoring_fields(rows: DataFrame) -> list[T.StructField]:
+    long, double, whole = T.LongType(), T.DoubleType(), T.IntegerType()
+    fields = [rows_field(rows, "id"), T.StructField("key", long), T.StructField("n_tokens", long)]
+    fields += [T.StructField("base", double), T.StructField("known", long), T.StructField("full", double)]
+    kinds = (long, long, long, whole, whole)
+    return fields + [T.StructField(c, T.ArrayType(k)) for c, k in zip(_LOOSE, kinds)]
+
+
+def _probe_fields() -> list[T.StructField]:
+    long, whole = T.LongType(), T.IntegerType()
+    fields = [T.StructField("part", whole), T.StructField("turn", whole), T.StructField("block", long), T.StructField("bits", T.BinaryType())]
+    return fields + [T.StructField(c, T.ArrayType(k)) for c, k in zip(_PROBE, (whole, long, whole, whole, long, long))]
+
+
+def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
+    """A row for each document (``turn`` 2) with all that broadcast tables settle, and rows of probes (``turn`` 1) for the parts."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    scoring, probing = _scoring_fields(rows), _probe_fields()
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in [*scoring, *probing]])
+
+    def batch_of(rows_in: int, **columns) -> pa.RecordBatch:
+        arrays = [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows_in, f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    def probes(keys: np.ndarray, doc, found: Lookup, tokens, asked: np.ndarray, blocks: int):
+        part = LogFrequencyFilter.block_of(found.grams[asked], blocks) // PART_BLOCKS
+        order = np.argsort(part, kind="stable")
+        asked, part = asked[order], part[order]
+        new = np.append(True, part[1:] != part[:-1])
+        begin = np.flatnonzero(new)
+        inside = np.arange(len(part)) - np.repeat(begin, np.diff(np.append(begin, len(part))))
+        heads = np.flatnonzero(inside % _ROW_PROBES == 0)
+        size = np.diff(np.append(heads, len(part)))
+        row = np.repeat(np.arange(len(heads)), size)
+        place, at = found.place[asked], found.at[asked]
+        far_word, far_context = place < 0, at < 0
+        return batch_of(
+            len(heads),
+            key=pa.array(np.full(len(heads), keys[0])),
+            part=pa.array(part[heads]),
+            turn=pa.array(np.ones(len(heads), np.int32)),
+            doc=_per_row(doc[asked].astype(np.int32), size),
+            gram=_per_row(found.grams[asked].view(np.int64), size),
+            places=_per_row(place, size),
+            ats=_per_row(at, size),
+            words=_per_row(tokens[asked][far_word].view(np.int64), np.bincount(row[far_word], minlength=len(heads))),
+            contexts=_per_row(found.before[asked][far_context].view(np.int64), np.bincount(row[far_context], minlength=len(heads))),
+        )
 
     def kernel(batches):
         of = shared.value
+        parts = -(-of.blocks // PART_BLOCKS)
         number = TaskContext.get().partitionId() << 33
-        scale = of.uniform()
         for batch in batches:
             ids = batch.column(0)
             for some, tokens, ends in _grouped(batch):
                 found = of.lookups(tokens, ends)
-                low = (found.count + 0.5) / scale
-                own = _pair_weight(found.context, found.pair) / np.maximum(found.context, 1)
-                rest = 1 - of.held[found.level]
-                begins = np.append(0, ends[:-1])
-                base = np.where(found.known, np.log10(low), 0.0)
-                full = np.where(found.known, np.log10(np.minimum(own + rest * low, 1.0)), 0.0)
-                totals = [np.add.reduceat(x, begins) for x in (base, full, found.known.astype(np.int64))]
-                rare = np.flatnonzero(~found.known)
-                offsets = pa.array(np.append(0, np.searchsorted(rare, ends)).astype(np.int32))
-                parts = (tokens[rare].view(np.int64), own[rare], rest[rare])
+                pair = of.upper(found.grams)
+                sizes = np.diff(np.append(0, ends))
+                doc = np.repeat(np.arange(len(some)), sizes)
+                here = found.place >= 0
+                base = np.zeros(len(tokens))
+                base[here] = np.log10(of.low(found.place[here]))
                 keys = number + np.arange(len(some))
                 number += len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(some[0], len(some)),
-                        pa.array(keys),
-                        pa.array(ends - begins),
-                        *map(pa.array, totals),
-                        *[pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(p))) for p in parts],
-                    ],
-                    names=["id", "key", "n_tokens", "base", "full", "known", "rare", "own", "rest"],
+                kept = np.flatnonzero((pair > 0) | (parts == 0))
+                settled = _settle(
+                    of, found.place[kept], found.at[kept], pair[kept], found.words(tokens)[kept], found.contexts()[kept],
+                    np.bincount(doc[kept], minlength=len(some)),
+                )
+                yield batch_of(
+                    len(some),
+                    id=ids.slice(some[0], len(some)),
+                    key=pa.array(keys),
+                    n_tokens=pa.array(sizes),
+                    base=pa.array(np.bincount(doc, base, minlength=len(some))),
+                    known=pa.array(np.bincount(doc[here], minlength=len(some))),
+                    part=pa.array((keys % max(parts, 1)).astype(np.int32)),
+                    turn=pa.array(np.full(len(some), 2, np.int32)),
+                    **dict(zip(("full", *_LOOSE), settled)),
                 )
+                asked = np.flatnonzero((pair == 0) & (parts > 0))
+                if len(asked):
+                    yield probes(keys, doc, found, tokens, asked, of.blocks)
+
+    return arrow_map(rows, kernel, [*scoring, *probing])
+
+
+def _probe_parts(read: DataFrame, model: Model, below: DataFrame) -> DataFrame:
+    """The rows of ``read`` with probes answered. A task meets a part's blocks first, then streams what asks for them."""
+    spark = read.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    scoring = [read.schema[i] for i in range(6 + len(_LOOSE))]
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in scoring])
+    parts = -(-model.blocks // PART_BLOCKS)
+    number = F.call_function("div", F.col("block"), F.lit(PART_BLOCKS).cast("bigint")).cast("int")
+    blocks = below.select(number.alias("part"), F.lit(0).alias("turn"), "block", "bits")
+    rows = read.unionByName(blocks, allowMissingColumns=True)
+    tasks = min(parts, max(shuffle_width(spark), 64))
+    dealt = rows.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", "turn")
+
+    def answered(of: Model, bits: np.ndarray, first: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+        # probes of a row are in the order of their documents
+        doc, gram, place, at, words_in, contexts_in = (
+            rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in _PROBE
+        )
+        size = pc.list_value_length(rows.column("doc")).to_numpy(zero_copy_only=False)
+        keys = np.repeat(rows.column("key").to_numpy(), size) + doc
+        pair = LogFrequencyFilter(bits).levels(gram.view(np.uint64), first, of.blocks)
+        word, context = gram.copy(), gram.copy()
+        word[place < 0], context[at < 0] = words_in, contexts_in
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        settled = _settle(of, place, at, pair, word, context, np.diff(np.append(begin, len(keys))))
+        nothing = pa.array(np.zeros(len(begin), np.int64))
+        columns = {"key": pa.array(keys[begin]), "n_tokens": nothing, "base": nothing, "known": nothing}
+        columns |= dict(zip(("full", *_LOOSE), settled))
+        arrays = [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(len(begin), f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    def kernel(batches):
+        of = shared.value
+        part, bits = -1, np.zeros(0, np.uint64)
+        for batch in batches:
+            turn, owner = (batch.column(c).to_numpy() for c in ("turn", "part"))
+            edges = np.flatnonzero((np.diff(turn) != 0) | (np.diff(owner) != 0)) + 1
+            for lo, hi in zip(np.append(0, edges), np.append(edges, len(turn))):
+                if owner[lo] != part:
+                    part, bits = owner[lo], np.zeros(PART_BLOCKS * _BLOCK_WORDS, np.uint64)
+                if turn[lo] == 2:
+                    yield batch.slice(lo, hi - lo).select(schema.names)
+                for at in range(lo, hi if turn[lo] < 2 else lo, _ROWS_AT_ONCE):
+                    rows = batch.slice(at, min(_ROWS_AT_ONCE, hi - at))
+                    if turn[lo] == 1:
+                        yield answered(of, bits, int(part) * PART_BLOCKS, rows)
+                        continue
+                    for number, data in zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()):
+                        place = (number - int(part) * PART_BLOCKS) * _BLOCK_WORDS
+                        bits[place : place + _BLOCK_WORDS] = np.frombuffer(data, np.uint64)
+
+    return arrow_map(dealt, kernel, scoring)
+
+
+def score(df: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_tokens, n_known, base_score, score)`` for every row of ``df``.
 
-    long, double = T.LongType(), T.DoubleType()
-    fields = [field(rows, "id"), T.StructField("key", long), T.StructField("n_tokens", long), T.StructField("base", double)]
-    fields += [T.StructField("full", double), T.StructField("known", long), T.StructField("rare", T.ArrayType(long))]
-    fields += [T.StructField(c, T.ArrayType(double)) for c in ("own", "rest")]
-    scored = durable(arrow_map(rows, kernel, fields), "lm-scores")
-    each = scored.select("key", F.explode(F.arrays_zip("rare", "own", "rest")).alias("t"))
-    rare = each.select("key", F.col("t.rare").alias("gram"), F.col("t.own").alias("own"), F.col("t.rest").alias("rest"))
-    met = rare.join(word_counts, "gram", "left")
-    low = (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.uniform())
-    sums = met.groupBy("key").agg(
-        F.sum(F.log10(low)).alias("more"),
-        F.sum(F.log10(F.least(F.col("own") + F.col("rest") * low, F.lit(1.0)))).alias("more_full"),
-        F.count("n").alias("more_known"),
+    One pass reads the texts and settles what the broadcast tables know; probes for rarer pairs go to the parts of
+    the filter, and words and contexts outside the broadcast table get their exact counts by a join.
+    """
+    read = _read_texts(picked(df, id=id_col, text=text_col), model)
+    done = read if tables.filter is None else _probe_parts(read, model, tables.filter)
+    scored = durable(done.select("id", "key", "n_tokens", "base", "known", "full", *_LOOSE), "lm-scores")
+    each = scored.select("key", F.explode(F.arrays_zip(*_LOOSE)).alias("t")).select("key", "t.*")
+    counts = tables.words
+    met = each.join(counts.select(F.col("gram").alias("word"), F.col("n").alias("word_n")), "word", "left")
+    met = met.join(counts.select(F.col("gram").alias("context"), F.col("n").alias("context_n")), "context", "left")
+    none = F.lit(0).cast("bigint")
+    far = F.col("place") < 0
+    low = (F.when(far, F.coalesce("word_n", none)).otherwise(F.col("place")) + 0.5) / F.lit(model.uniform())
+    met = met.withColumn("at", F.when(F.col("at") < 0, _level(F.coalesce("context_n", none))).otherwise(F.col("at")))
+    stands, held = (F.array(*[F.lit(float(x)) for x in table]) for table in (_STANDS, model.held))
+    context, pair = F.element_at(stands, F.col("at") + 1), F.element_at(stands, F.col("pair") + 1)
+    weight = F.when(pair >= LEAST, F.greatest(F.least(pair, context) - DISCOUNT, F.lit(0.0))).otherwise(0.0)
+    p = weight / F.greatest(context, F.lit(1.0)) + (1 - F.element_at(held, F.col("at") + 1)) * low
+    more = met.select(
+        "key",
+        F.when(far, F.log10(low)).otherwise(0.0).alias("base"),
+        F.log10(F.least(p, F.lit(1.0))).alias("full"),
+        F.when(far & F.col("word_n").isNotNull(), 1).otherwise(0).cast("bigint").alias("known"),
     )
-    joined = scored.drop("rare", "own", "rest").join(sums, "key", "left")
+    probed = scored.where("n_tokens = 0").select("key", "base", "full", "known")
+    sums = more.unionByName(probed).groupBy("key").agg(*[F.sum(c).alias(f"more_{c}") for c in ("base", "full", "known")])
+    joined = scored.where("n_tokens > 0").drop(*_LOOSE).join(sums, "key", "left")
     return joined.select(
         "id",
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("known") + F.coalesce("more_known", none)).alias("n_known"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         (F.col("full") + F.coalesce("more_full", F.lit(0.0))).alias("score"),
     )

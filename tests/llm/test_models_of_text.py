@@ -144,6 +144,47 @@ def test_a_filter_too_small_for_its_pairs_stays_at_or_above_the_words(spark, sma
     assert sum(r["score"] for r in held) >= sum(r["base_score"] for r in held)
 
 
+def test_scores_do_not_depend_on_what_is_broadcast(spark, small):
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(awkward(spark).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null"))
+    train = docs.where(queries.remainder(F.col("doc_id"), 5) != 1).select("text")
+    repeats = {}
+    for r in docs.collect():
+        own = (r["text"] or "").encode().lower().split()
+        repeats[r["doc_id"]] = max([1, *Counter(zip(own, own[1:])).values(), repeats.get(r["doc_id"], 0)])
+    seen = []
+    for room, table in ((lm.FILTER_BYTES, lm.FREQUENT), (1 << 17, 2000), (0, 0)):
+        model, tables = lm.train_model(train, filter_bytes=room, frequent=table)
+        assert (model.blocks > 0) == (tables.filter is not None) == (room < lm.FILTER_BYTES) and (room or model.pairs_held == 0)
+        rows = lm.score(docs, model, tables).collect()
+        seen.append(sorted((r["id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows))
+    for other in seen[1:]:
+        assert [r[:3] for r in other] == [r[:3] for r in seen[0]]
+        assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(other, seen[0]))
+        apart = sorted(abs(a[4] - b[4]) / max(abs(b[4]), 1) for a, b in zip(other, seen[0]))
+        # a false level, one in 200 pairs, moves each token of its pair by a quarter at most
+        far = [a for a, b in zip(other, seen[0]) if abs(a[4] - b[4]) > 0.25 * repeats[a[0]] + 0.01 * abs(b[4])]
+        assert apart[len(apart) * 98 // 100] < 0.01 and not far
+
+
+def test_parts_of_the_filter_are_probed_as_the_whole(spark):
+    rng = np.random.default_rng(5)
+    grams = spark.range(600_000).selectExpr("xxhash64(id) as gram", "1 + id % 3 as n")
+    blocks = lm._blocks_for(600_000 * 3)
+    bits = np.zeros((blocks, lm._BLOCK_WORDS), np.uint64)
+    for r in lm._filled(grams, F.lit(True), blocks).toLocalIterator():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint64)
+    assert blocks > 4 and (bits != 0).any(axis=1).all()
+    whole = lm.LogFrequencyFilter(bits.ravel())
+    asked = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    asked[:10_000] = np.array([r["gram"] for r in grams.limit(10_000).collect()], np.int64).view(np.uint64)
+    at = lm.LogFrequencyFilter.block_of(asked, blocks) // 2
+    for part in np.unique(at):
+        some = lm.LogFrequencyFilter(bits[part * 2 : part * 2 + 2].ravel())
+        assert (some.levels(asked[at == part], int(part) * 2, blocks) == whole.levels(asked[at == part])).all()
+    assert (whole.levels(asked[:10_000]) > 0).all()
+
+
 def test_language_model_awkward_rows(spark):
     docs = awkward(spark)
     model, counts = lm.train_model(docs.select("text"))
