@@ -43,8 +43,8 @@ BASE = 1.5  # of the logarithm that makes levels
 LEAST = 2  # occurrences of a pair worth keeping
 DISCOUNT = 0.6
 FILTER_BYTES = 1 << 25  # bound of the broadcast levels of the filter
-PART_BLOCKS = 32  # blocks of a part of the written levels: 4 MB, what a probing task holds
-FREQUENT = 1 << 20  # bound of the broadcast table of exact counts, in words
+PART_BLOCKS = 16  # blocks of a part of the written levels, 256 at most: 2 MB, what a probing task holds
+FREQUENT = 1 << 20  # bound of the broadcast table of exact counts, in words; below 1 << 24
 _BITS_PER_KEY = 16
 _BLOCK_WORDS = 1 << 14
 _GROUP = 400_000  # tokens handled at once
@@ -56,6 +56,7 @@ _ROWS_AT_ONCE = 400  # rows of probes answered together
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _PAIR = np.uint64(0xA24BAED4963EE407)
 _LEVEL = np.uint64(0x9FB21C651E98DF25)
+_INSIDE = np.uint64((1 << 40) - 1)  # what tells n-grams of a block apart
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -186,22 +187,19 @@ class LogFrequencyFilter:
     def probe(grams: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
         """(word inside the block, bit mask) of n-grams at a level."""
         with np.errstate(over="ignore"):
-            h = mixed(grams ^ (np.asarray(level, np.uint64) * _LEVEL))
+            h = mixed((grams & _INSIDE) ^ (np.asarray(level, np.uint64) * _LEVEL))
         one = np.uint64(1)
         six = np.uint64(63)
         mask = (one << (h & six)) | (one << ((h >> np.uint64(6)) & six)) | (one << ((h >> np.uint64(12)) & six))
         return (h >> np.uint64(18)) % np.uint64(_BLOCK_WORDS), mask
 
-    def levels(self, grams: np.ndarray, first: int = 0, blocks: int | None = None) -> np.ndarray:
-        """The highest level reached by probing 1, 2, ... until one is missing.
-
-        A filter of ``blocks`` blocks in all may be given by some of them in a row, from the block ``first``.
-        """
+    def levels(self, grams: np.ndarray, block: np.ndarray | None = None) -> np.ndarray:
+        """The highest level reached by probing 1, 2, ... until one is missing, in the n-grams' own blocks or those given."""
         out = np.zeros(len(grams), np.int64)
         if not self.blocks:
             return out
         alive = np.arange(len(grams))
-        base = (self.block_of(grams, blocks or self.blocks) - first) * _BLOCK_WORDS
+        base = (self.block_of(grams, self.blocks) if block is None else block) * _BLOCK_WORDS
         for level in range(1, _MAX_LEVEL):
             word, mask = self.probe(grams[alive], level)
             held = (self.bits[base[alive] + word.astype(np.int64)] & mask) == mask
@@ -416,7 +414,7 @@ def _per_row(numbers: np.ndarray, rows: np.ndarray) -> pa.ListArray:
 
 
 _LOOSE = ("word", "place", "context", "at", "pair")  # of tokens whose word or context needs a join
-_PROBE = ("doc", "gram", "places", "ats", "words", "contexts")  # of tokens whose pair is looked for in a part
+_PROBE = ("doc", "probes", "words", "contexts")  # of tokens whose pair is looked for in a part
 
 
 def _settle(model: Model, place, at, pair, word, context, size: np.ndarray) -> list[pa.Array]:
@@ -443,7 +441,30 @@ def _scoring_fields(rows: DataFrame) -> list[T.StructField]:
 def _probe_fields() -> list[T.StructField]:
     long, whole = T.LongType(), T.IntegerType()
     fields = [T.StructField("part", whole), T.StructField("turn", whole), T.StructField("block", long), T.StructField("bits", T.BinaryType())]
-    return fields + [T.StructField(c, T.ArrayType(k)) for c, k in zip(_PROBE, (whole, long, whole, whole, long, long))]
+    kinds = (T.ArrayType(whole), T.BinaryType(), T.ArrayType(long), T.ArrayType(long))
+    return fields + [T.StructField(c, k) for c, k in zip(_PROBE, kinds)]
+
+
+# a probe as bytes, for these are most of what is shuffled: the block in its part, the n-gram in its block, place and level plus 1
+_RECORD = 1 + 5 + 3 + 1
+
+
+def _packed(block: np.ndarray, grams: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.empty((len(grams), _RECORD), np.uint8)
+    out[:, 0] = block
+    out[:, 1:6] = np.ascontiguousarray(grams, "<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    out[:, 6:9] = (place + 1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    out[:, 9] = at + 1
+    return out
+
+
+def _unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block, n-gram in the block, place, level) of packed probes."""
+    data = data.reshape(-1, _RECORD)
+    grams, place = np.zeros((len(data), 8), np.uint8), np.zeros((len(data), 4), np.uint8)
+    grams[:, :5], place[:, :3] = data[:, 1:6], data[:, 6:9]
+    wide = place.view("<u4").ravel().astype(np.int32) - 1
+    return data[:, 0].astype(np.int64), grams.view("<u8").ravel(), wide, data[:, 9].astype(np.int32) - 1
 
 
 def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
@@ -457,9 +478,10 @@ def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def probes(keys: np.ndarray, doc, found: Lookup, tokens, asked: np.ndarray, blocks: int):
-        part = LogFrequencyFilter.block_of(found.grams[asked], blocks) // PART_BLOCKS
-        order = np.argsort(part, kind="stable")
-        asked, part = asked[order], part[order]
+        block = LogFrequencyFilter.block_of(found.grams[asked], blocks)
+        order = np.argsort(block // PART_BLOCKS, kind="stable")
+        asked, block = asked[order], block[order]
+        part = block // PART_BLOCKS
         new = np.append(True, part[1:] != part[:-1])
         begin = np.flatnonzero(new)
         inside = np.arange(len(part)) - np.repeat(begin, np.diff(np.append(begin, len(part))))
@@ -474,9 +496,15 @@ def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
             part=pa.array(part[heads]),
             turn=pa.array(np.ones(len(heads), np.int32)),
             doc=_per_row(doc[asked].astype(np.int32), size),
-            gram=_per_row(found.grams[asked].view(np.int64), size),
-            places=_per_row(place, size),
-            ats=_per_row(at, size),
+            probes=pa.Array.from_buffers(
+                pa.binary(),
+                len(heads),
+                [
+                    None,
+                    pa.py_buffer((np.append(heads, len(part)) * _RECORD).astype(np.int32).tobytes()),
+                    pa.py_buffer(_packed(block % PART_BLOCKS, found.grams[asked], place, at).tobytes()),
+                ],
+            ),
             words=_per_row(tokens[asked][far_word].view(np.int64), np.bincount(row[far_word], minlength=len(heads))),
             contexts=_per_row(found.before[asked][far_context].view(np.int64), np.bincount(row[far_context], minlength=len(heads))),
         )
@@ -533,15 +561,18 @@ def _probe_parts(read: DataFrame, model: Model, below: DataFrame) -> DataFrame:
     tasks = min(parts, max(shuffle_width(spark), 64))
     dealt = rows.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", "turn")
 
-    def answered(of: Model, bits: np.ndarray, first: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+    def answered(of: Model, bits: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
         # probes of a row are in the order of their documents
-        doc, gram, place, at, words_in, contexts_in = (
-            rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in _PROBE
+        doc, words_in, contexts_in = (
+            rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("doc", "words", "contexts")
         )
+        block, gram, place, at = _unpacked(np.frombuffer(b"".join(rows.column("probes").to_pylist()), np.uint8))
         size = pc.list_value_length(rows.column("doc")).to_numpy(zero_copy_only=False)
         keys = np.repeat(rows.column("key").to_numpy(), size) + doc
-        pair = LogFrequencyFilter(bits).levels(gram.view(np.uint64), first, of.blocks)
-        word, context = gram.copy(), gram.copy()
+        pair = LogFrequencyFilter(bits).levels(gram, block)
+        # keys that no word has, where no join is needed
+        word = mixed(gram ^ (block.astype(np.uint64) << np.uint64(40))).view(np.int64)
+        context = word.copy()
         word[place < 0], context[at < 0] = words_in, contexts_in
         begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         settled = _settle(of, place, at, pair, word, context, np.diff(np.append(begin, len(keys))))
@@ -565,7 +596,7 @@ def _probe_parts(read: DataFrame, model: Model, below: DataFrame) -> DataFrame:
                 for at in range(lo, hi if turn[lo] < 2 else lo, _ROWS_AT_ONCE):
                     rows = batch.slice(at, min(_ROWS_AT_ONCE, hi - at))
                     if turn[lo] == 1:
-                        yield answered(of, bits, int(part) * PART_BLOCKS, rows)
+                        yield answered(of, bits, rows)
                         continue
                     for number, data in zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()):
                         place = (number - int(part) * PART_BLOCKS) * _BLOCK_WORDS

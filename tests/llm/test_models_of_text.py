@@ -178,10 +178,13 @@ def test_parts_of_the_filter_are_probed_as_the_whole(spark):
     whole = lm.LogFrequencyFilter(bits.ravel())
     asked = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
     asked[:10_000] = np.array([r["gram"] for r in grams.limit(10_000).collect()], np.int64).view(np.uint64)
-    at = lm.LogFrequencyFilter.block_of(asked, blocks) // 2
-    for part in np.unique(at):
-        some = lm.LogFrequencyFilter(bits[part * 2 : part * 2 + 2].ravel())
-        assert (some.levels(asked[at == part], int(part) * 2, blocks) == whole.levels(asked[at == part])).all()
+    block = lm.LogFrequencyFilter.block_of(asked, blocks)
+    place, level = rng.integers(-1, 1 << 20, 20_000), rng.integers(-1, 60, 20_000)
+    for part in np.unique(block // 2):
+        some, mine = lm.LogFrequencyFilter(bits[part * 2 : part * 2 + 2].ravel()), block // 2 == part
+        sent = lm._unpacked(lm._packed(block[mine] % 2, asked[mine], place[mine], level[mine]).ravel())
+        assert (sent[2] == place[mine]).all() and (sent[3] == level[mine]).all()
+        assert (some.levels(sent[1], sent[0]) == whole.levels(asked[mine])).all()
     assert (whole.levels(asked[:10_000]) > 0).all()
 
 
