@@ -330,11 +330,11 @@ class Lookup:
     grams: np.ndarray
 
     def words(self, tokens: np.ndarray) -> np.ndarray:
-        """Join keys of words: of a word that needs no join the pair's hash, which is no word and never hot."""
-        return np.where(self.place < 0, tokens, self.grams).view(np.int64)
+        """Join keys of words, 0 for those that need no join."""
+        return np.where(self.place < 0, tokens, np.uint64(0)).view(np.int64)
 
     def contexts(self) -> np.ndarray:
-        return np.where(self.at < 0, self.before, self.grams).view(np.int64)
+        return np.where(self.at < 0, self.before, np.uint64(0)).view(np.int64)
 
 
 @dataclass
@@ -570,9 +570,7 @@ def _probe_parts(read: DataFrame, model: Model, below: DataFrame) -> DataFrame:
         size = pc.list_value_length(rows.column("doc")).to_numpy(zero_copy_only=False)
         keys = np.repeat(rows.column("key").to_numpy(), size) + doc
         pair = LogFrequencyFilter(bits).levels(gram, block)
-        # keys that no word has, where no join is needed
-        word = mixed(gram ^ (block.astype(np.uint64) << np.uint64(40))).view(np.int64)
-        context = word.copy()
+        word, context = np.zeros((2, len(gram)), np.int64)
         word[place < 0], context[at < 0] = words_in, contexts_in
         begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         settled = _settle(of, place, at, pair, word, context, np.diff(np.append(begin, len(keys))))
@@ -605,6 +603,23 @@ def _probe_parts(read: DataFrame, model: Model, below: DataFrame) -> DataFrame:
     return arrow_map(dealt, kernel, scoring)
 
 
+def _with_counts(each: DataFrame, words: DataFrame) -> DataFrame:
+    """``(key, far, place, at, pair)`` of loose tokens: counts of words (``far``: joined) and levels of contexts.
+
+    Only tokens whose word is outside the broadcast table meet the words, then only those whose context is.
+    """
+    none = F.lit(0).cast("bigint")
+    near = each.where("place >= 0").select("key", F.lit(False).alias("far"), "place", "context", "at", "pair")
+    of_word = words.select(F.col("gram").alias("word"), F.col("n").alias("word_n"))
+    far = each.where("place < 0").join(of_word, "word", "left")
+    far = far.select("key", F.lit(True).alias("far"), F.coalesce("word_n", none).alias("place"), "context", "at", "pair")
+    found = near.unionByName(far)
+    of_context = words.select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
+    behind = found.where("at < 0").drop("at").join(of_context, "context", "left")
+    behind = behind.withColumn("at", _level(F.coalesce("context_n", none))).drop("context", "context_n")
+    return found.where("at >= 0").drop("context").unionByName(behind)
+
+
 def score(df: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, n_known, base_score, score)`` for every row of ``df``.
 
@@ -614,23 +629,18 @@ def score(df: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id", t
     read = _read_texts(picked(df, id=id_col, text=text_col), model)
     done = read if tables.filter is None else _probe_parts(read, model, tables.filter)
     scored = durable(done.select("id", "key", "n_tokens", "base", "known", "full", *_LOOSE), "lm-scores")
-    each = scored.select("key", F.explode(F.arrays_zip(*_LOOSE)).alias("t")).select("key", "t.*")
-    counts = tables.words
-    met = each.join(counts.select(F.col("gram").alias("word"), F.col("n").alias("word_n")), "word", "left")
-    met = met.join(counts.select(F.col("gram").alias("context"), F.col("n").alias("context_n")), "context", "left")
+    met = _with_counts(scored.select("key", F.explode(F.arrays_zip(*_LOOSE)).alias("t")).select("key", "t.*"), tables.words)
     none = F.lit(0).cast("bigint")
-    far = F.col("place") < 0
-    low = (F.when(far, F.coalesce("word_n", none)).otherwise(F.col("place")) + 0.5) / F.lit(model.uniform())
-    met = met.withColumn("at", F.when(F.col("at") < 0, _level(F.coalesce("context_n", none))).otherwise(F.col("at")))
+    low = (F.col("place") + 0.5) / F.lit(model.uniform())
     stands, held = (F.array(*[F.lit(float(x)) for x in table]) for table in (_STANDS, model.held))
     context, pair = F.element_at(stands, F.col("at") + 1), F.element_at(stands, F.col("pair") + 1)
     weight = F.when(pair >= LEAST, F.greatest(F.least(pair, context) - DISCOUNT, F.lit(0.0))).otherwise(0.0)
     p = weight / F.greatest(context, F.lit(1.0)) + (1 - F.element_at(held, F.col("at") + 1)) * low
     more = met.select(
         "key",
-        F.when(far, F.log10(low)).otherwise(0.0).alias("base"),
+        F.when(F.col("far"), F.log10(low)).otherwise(0.0).alias("base"),
         F.log10(F.least(p, F.lit(1.0))).alias("full"),
-        F.when(far & F.col("word_n").isNotNull(), 1).otherwise(0).cast("bigint").alias("known"),
+        (F.col("far") & (F.col("place") > 0)).cast("bigint").alias("known"),
     )
     probed = scored.where("n_tokens = 0").select("key", "base", "full", "known")
     sums = more.unionByName(probed).groupBy("key").agg(*[F.sum(c).alias(f"more_{c}") for c in ("base", "full", "known")])
