@@ -43,8 +43,8 @@ BASE = 1.5  # of the logarithm that makes levels
 LEAST = 2  # occurrences of a pair worth keeping
 DISCOUNT = 0.6
 FILTER_BYTES = 1 << 25  # bound of the broadcast levels of the filter
-PART_BLOCKS = 16  # blocks of a part of the written levels, 256 at most: 2 MB, what a probing task holds
-FREQUENT = 1 << 20  # bound of the broadcast table of exact counts, in words; below 1 << 24
+PART_BLOCKS = 16  # blocks of a part of the written levels, 16 at most: 2 MB, what a probing task holds
+FREQUENT = 1 << 20  # bound of the broadcast table of exact counts, in words; this at most
 _BITS_PER_KEY = 16
 _BLOCK_WORDS = 1 << 14
 _GROUP = 400_000  # tokens handled at once
@@ -56,7 +56,7 @@ _ROWS_AT_ONCE = 400  # rows of probes answered together
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _PAIR = np.uint64(0xA24BAED4963EE407)
 _LEVEL = np.uint64(0x9FB21C651E98DF25)
-_INSIDE = np.uint64((1 << 40) - 1)  # what tells n-grams of a block apart
+_INSIDE = np.uint64((1 << 32) - 1)  # what tells n-grams of a block apart
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -381,7 +381,7 @@ def train_model(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: in
     """The model of ``train(text)`` and the tables that its scoring joins."""
     known_words = word_counts(train)
     singles = _by_level(known_words)
-    cut = 1
+    cut, frequent = 1, min(frequent, FREQUENT)
     while sum(grams for q, grams, _ in singles if q >= cut) > frequent:
         cut += 1
     top = known_words.where(_level(F.col("n")) >= cut).toArrow()
@@ -441,30 +441,30 @@ def _scoring_fields(rows: DataFrame) -> list[T.StructField]:
 def _probe_fields() -> list[T.StructField]:
     long, whole = T.LongType(), T.IntegerType()
     fields = [T.StructField("part", whole), T.StructField("turn", whole), T.StructField("block", long), T.StructField("bits", T.BinaryType())]
-    kinds = (T.ArrayType(whole), T.BinaryType(), T.ArrayType(long), T.ArrayType(long))
+    kinds = (T.ArrayType(whole), T.ArrayType(long), T.ArrayType(long), T.ArrayType(long))
     return fields + [T.StructField(c, k) for c, k in zip(_PROBE, kinds)]
 
 
-# a probe as bytes, for these are most of what is shuffled: the block in its part, the n-gram in its block, place and level plus 1
-_RECORD = 1 + 5 + 3 + 1
+# A probe is one number, for probes are most of what is shuffled: from above, 32 bits of the n-gram, the block in its part,
+# the place in the table of frequent words plus 1, and the level of the context plus 1.
+_BLOCK_BITS, _PLACE_BITS, _AT_BITS = 4, 21, 7
 
 
 def _packed(block: np.ndarray, grams: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.empty((len(grams), _RECORD), np.uint8)
-    out[:, 0] = block
-    out[:, 1:6] = np.ascontiguousarray(grams, "<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    out[:, 6:9] = (place + 1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-    out[:, 9] = at + 1
-    return out
+    out = (grams & _INSIDE) << np.uint64(_BLOCK_BITS)
+    out = (out | block.astype(np.uint64)) << np.uint64(_PLACE_BITS)
+    out = (out | (place + 1).astype(np.uint64)) << np.uint64(_AT_BITS)
+    return out | (at + 1).astype(np.uint64)
 
 
 def _unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(block, n-gram in the block, place, level) of packed probes."""
-    data = data.reshape(-1, _RECORD)
-    grams, place = np.zeros((len(data), 8), np.uint8), np.zeros((len(data), 4), np.uint8)
-    grams[:, :5], place[:, :3] = data[:, 1:6], data[:, 6:9]
-    wide = place.view("<u4").ravel().astype(np.int32) - 1
-    return data[:, 0].astype(np.int64), grams.view("<u8").ravel(), wide, data[:, 9].astype(np.int32) - 1
+
+    def bits(above: int, width: int) -> np.ndarray:
+        return (data >> np.uint64(above)).astype(np.int64) & ((1 << width) - 1)
+
+    block = bits(_PLACE_BITS + _AT_BITS, _BLOCK_BITS)
+    return block, data >> np.uint64(32), bits(_AT_BITS, _PLACE_BITS) - 1, bits(0, _AT_BITS) - 1
 
 
 def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
@@ -496,15 +496,7 @@ def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
             part=pa.array(part[heads]),
             turn=pa.array(np.ones(len(heads), np.int32)),
             doc=_per_row(doc[asked].astype(np.int32), size),
-            probes=pa.Array.from_buffers(
-                pa.binary(),
-                len(heads),
-                [
-                    None,
-                    pa.py_buffer((np.append(heads, len(part)) * _RECORD).astype(np.int32).tobytes()),
-                    pa.py_buffer(_packed(block % PART_BLOCKS, found.grams[asked], place, at).tobytes()),
-                ],
-            ),
+            probes=_per_row(_packed(block % PART_BLOCKS, found.grams[asked], place, at).view(np.int64), size),
             words=_per_row(tokens[asked][far_word].view(np.int64), np.bincount(row[far_word], minlength=len(heads))),
             contexts=_per_row(found.before[asked][far_context].view(np.int64), np.bincount(row[far_context], minlength=len(heads))),
         )
@@ -563,10 +555,10 @@ def _probe_parts(read: DataFrame, model: Model, below: DataFrame) -> DataFrame:
 
     def answered(of: Model, bits: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
         # probes of a row are in the order of their documents
-        doc, words_in, contexts_in = (
-            rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("doc", "words", "contexts")
+        doc, words_in, contexts_in, probes = (
+            rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("doc", "words", "contexts", "probes")
         )
-        block, gram, place, at = _unpacked(np.frombuffer(b"".join(rows.column("probes").to_pylist()), np.uint8))
+        block, gram, place, at = _unpacked(probes.view(np.uint64))
         size = pc.list_value_length(rows.column("doc")).to_numpy(zero_copy_only=False)
         keys = np.repeat(rows.column("key").to_numpy(), size) + doc
         pair = LogFrequencyFilter(bits).levels(gram, block)
