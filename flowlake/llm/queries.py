@@ -18,6 +18,10 @@ def query(fn):
     return fn
 
 
+def twin(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -56,6 +60,34 @@ def op6_embedding_dups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+twin(
+    "op6_embedding_dups",
+    """
+    WITH RECURSIVE vectors AS MATERIALIZED (
+        SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+    ), usable AS MATERIALIZED (
+        SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda c: c * c))) AS size FROM vectors
+        WHERE len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    ), links AS MATERIALIZED (
+        SELECT a.vec_id AS a, b.vec_id AS b
+        FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.93
+    ), reach(vec_id, other) AS (
+        SELECT vec_id, vec_id FROM embeddings
+        UNION
+        SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+    ), components AS (
+        SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+    ), degrees AS (
+        SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+    )
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN components USING (vec_id) LEFT JOIN degrees USING (vec_id)
+    """,
+)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of ``docs`` in sequences of 4096 tokens, with a checksum of each piece's ids."""
     pieces = packing.pack(docs, vocabulary("word_bpe_49k.json"))
@@ -166,6 +198,27 @@ def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# five hexadecimal digits of the SHA-1 are four digits of base 32
+twin(
+    "op11_warc",
+    """
+    WITH hashed AS (
+        SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+    ), placed AS (
+        SELECT *, row_number() OVER same AS place, first_value(page_id) OVER same AS first_id
+        FROM hashed WINDOW same AS (PARTITION BY payload ORDER BY page_id NULLS LAST)
+    )
+    SELECT page_id,
+        strlen(payload)::BIGINT AS payload_bytes,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (1 + ((('0x' || substr(hex, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), '') AS payload_digest,
+        CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN place > 1 THEN first_id END AS refers_to
+    FROM placed
+    """,
+)
+
+
 @query
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     found = whitening.whiten(table(spark, folder, "embeddings"))
