@@ -43,6 +43,11 @@ def read_parts(
     return read_csv(spark, parts, header=False).toDF(*names)
 
 
+def _literal(path: str) -> str:
+    """A found path as a pattern that matches only itself: readers take brackets, braces and wildcards for patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def latest_csv(spark: SparkSession, folder: str, header: bool = True) -> DataFrame:
     """All parts of the newest CSV report of a folder; older reports are listed but not read.
 
@@ -59,8 +64,8 @@ def latest_csv(spark: SparkSession, folder: str, header: bool = True) -> DataFra
     parent, _, name = newest["path"].rpartition("/")
     part = re.fullmatch(r"part-[0-9]+-([0-9a-f-]{36})[-.].*", name)
     if part:
-        return read_csv(spark, f"{parent}/part-*-{part[1]}*", header=header)
-    return read_csv(spark, newest["path"], header=header)
+        return read_csv(spark, f"{_literal(parent)}/part-*-{part[1]}*", header=header)
+    return read_csv(spark, _literal(newest["path"]), header=header)
 
 
 def json_fields(df: DataFrame, column: str) -> list[str]:

@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +201,16 @@ def test_shared_folder_is_the_clusters_or_an_error(spark, monkeypatch):
     assert session.shared_folder(Session("hdfs:///shared/")) == "hdfs:///shared"
     with pytest.raises(RuntimeError):
         session.shared_folder(Session(None))
+
+
+def test_latest_csv_in_folders_named_like_patterns(spark, tmp_path):
+    for name, value in (("run 1", 1), ("run [12]", 2), ("run {1,2}*", 3)):
+        spark.range(value).repartition(2).write.option("header", True).csv(str(tmp_path / name))
+        newest = time.time() + 100 * value
+        for part in (tmp_path / name).glob("part-*.csv"):
+            os.utime(part, (newest, newest))
+        assert readers.latest_csv(spark, str(tmp_path)).count() == value
+    alone = tmp_path / "one [a].csv"
+    alone.write_text("id\n7\n")
+    os.utime(alone, (time.time() + 1000, time.time() + 1000))
+    assert [r["id"] for r in readers.latest_csv(spark, str(tmp_path)).collect()] == [7]
