@@ -6,6 +6,8 @@ position, and the driver divides once. It holds one weight vector, whatever the
 a client are spread over all tasks, so a client with a third of the rows is no hot spot; a client's piece in a task has
 weights of its own, and as their mean weighted by rows is linear, averaging the pieces is averaging the clients.
 Every pass also counts predictions, from which epochs and clients get loss, accuracy, precision, recall and f1.
+Rows that several passes read are written in blocks first, one table row for a stretch of training rows with their numbers
+as bytes: a pass then moves blocks through Parquet, the JVM and Python, and its time is that of the steps.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from flowlake.operators.convergence import Patience
 from flowlake.operators.encode import require_labels
-from flowlake.operators.model import list_array, matrix_of, softmax_rows
-from flowlake.sources.durable import durable, gathered, spread
+from flowlake.operators.model import list_array, matrix_of, packed, softmax_rows, unpacked
+from flowlake.sources.durable import BLOCK_OPTIONS, durable, gathered, spread
 
 
 @dataclass(frozen=True)
@@ -87,6 +89,24 @@ def _loss_gradient(z: np.ndarray, y: np.ndarray, weight: np.ndarray, spec: MlpSp
     return float((weight * -logp[rows, y]).sum()), weight[:, None] * (p - hot)
 
 
+def _slope(z: np.ndarray, y: np.ndarray, weight: np.ndarray, spec: MlpSpec) -> np.ndarray:
+    """The gradient of ``_loss_gradient`` without the loss."""
+    p = softmax_rows(z)
+    rows = np.arange(len(y))
+    if spec.loss == "smoothing":
+        return _loss_gradient(z, y, weight, spec)[1]
+    if spec.loss == "focal":
+        true = p[rows, y]
+        pt = np.minimum(true, 1 - 1e-12)
+        lt = np.log(np.maximum(true, 1e-300))
+        slope = spec.gamma * (1 - pt) ** (spec.gamma - 1) * pt * lt - (1 - pt) ** spec.gamma
+        np.negative(p, out=p)
+        p[rows, y] += 1.0
+        return (weight * slope)[:, None] * p
+    p[rows, y] -= 1.0
+    return weight[:, None] * p
+
+
 def loss_and_gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, spec: MlpSpec):
     layers = _layers(flat, spec)
     acts = _forward(x, layers)
@@ -220,50 +240,115 @@ class _Tally:
             yield _part(_TOTALS, client, self._totals[client])
 
 
-def _rows_of(batch: pa.RecordBatch, spec: MlpSpec) -> tuple[np.ndarray, ...]:
-    x = matrix_of(batch.column("x"), spec.inputs)
-    return x, *(batch.column(c).to_numpy() for c in ("label", "weight", "client"))
+# what stands for no client in a block: no int
+_NOBODY = -(1 << 62)
+_BLOCK = "part int, n int, x binary, label binary, weight binary, client binary"
+
+
+def _clients_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("client").cast(pa.int64()).fill_null(_NOBODY).to_numpy()
+
+
+def _blocks(rows: DataFrame, spec: MlpSpec) -> DataFrame:
+    """``rows``, written in blocks: the stretches in which a pass over the rows would meet them, numbered by its tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            if batch.num_rows:
+                numbers = [matrix_of(batch.column("x"), spec.inputs), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight")), _clients_of(batch)]
+                columns = [packed(v.reshape(batch.num_rows, -1), np.array([batch.num_rows])) for v in numbers]
+                heads = [pa.array([v], pa.int32()) for v in (part, batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*heads, *columns], names=["part", "n", "x", "label", "weight", "client"])
+
+    return durable(gathered(rows).mapInArrow(run, _BLOCK), "mlp-blocks", **BLOCK_OPTIONS)
+
+
+def _stretches(batch: pa.RecordBatch, spec: MlpSpec) -> Iterator[tuple]:
+    """(part, x, label, weight, client) of a batch of rows, or of every block of a batch of blocks."""
+    if not batch.num_rows:
+        return
+    if "n" not in batch.schema.names:
+        x = matrix_of(batch.column("x"), spec.inputs)
+        yield TaskContext.get().partitionId(), x, batch.column("label").to_numpy(), batch.column("weight").to_numpy(zero_copy_only=False), _clients_of(batch)
+        return
+    x = unpacked(batch.column("x"), spec.inputs, np.float64)
+    label, weight, client = (unpacked(batch.column(c), 1, kind).ravel() for c, kind in (("label", np.int32), ("weight", np.float64), ("client", np.int64)))
+    at = 0
+    for part, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist()):
+        span = slice(at, at + n)
+        yield part, x[span], label[span], weight[span], client[span]
+        at += n
+
+
+def _trained(state: State, x: np.ndarray, y: np.ndarray, weight: np.ndarray, batch_rows: int, spec: MlpSpec) -> State:
+    """The state after a step for each ``batch_rows`` rows in turn."""
+    flat, mean, square, t = state.flat.copy(), state.mean.copy(), state.square.copy(), state.steps
+    gradient = np.empty(len(flat))
+    layers, parts = _layers(flat, spec), _layers(gradient, spec)
+    for at in range(0, len(y), batch_rows):
+        some = slice(at, at + batch_rows)
+        acts = _forward(x[some], layers)
+        delta = _slope(acts[-1], y[some], weight[some], spec)
+        for n in range(len(layers) - 1, -1, -1):
+            np.matmul(acts[n].T, delta, out=parts[n][0])
+            delta.sum(axis=0, out=parts[n][1])
+            if n:
+                delta = (delta @ layers[n][0].T) * (acts[n] > 0)
+        g = gradient / max(weight[some].sum(), 1e-300)
+        if spec.decay:
+            g += spec.decay * flat
+        t += 1
+        if spec.optimizer == "sgd":
+            flat -= spec.rate * g
+            continue
+        mean *= _KEEP
+        mean += (1 - _KEEP) * g
+        square *= _KEEP_SQUARES
+        square += (1 - _KEEP_SQUARES) * g * g
+        root = np.sqrt(square / (1 - _KEEP_SQUARES**t))
+        root += _GUARD
+        flat -= spec.rate * (mean / (1 - _KEEP**t)) / root
+    return State(flat, mean, square, t)
 
 
 def _local(start: State, spec: MlpSpec, number: int, batch_rows: int | None, passes: int, clients: tuple[int, ...] | None):
-    """Kernel: train each client's piece of a task from ``start``, by stretches as they arrive.
+    """Kernel: train each client's piece of a part from ``start``, by stretches as they arrive.
 
     Without ``batch_rows`` a piece takes a single step, by the mean gradient of all its rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, State] = {}
-        rows: dict[int, int] = {}
-        whole: dict[int, list] = {}
+        own: dict[tuple[int, int], State] = {}
+        rows: dict[tuple[int, int], int] = {}
+        whole: dict[tuple[int, int], list] = {}
+        draws: dict[int, np.random.Generator] = {}
         tally = _Tally(spec.classes)
-        rng = np.random.default_rng([spec.seed, number, TaskContext.get().partitionId()])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y, weight, client = _rows_of(batch, spec)
+        for part, x, y, weight, client in (s for batch in batches for s in _stretches(batch, spec)):
+            rng = draws.setdefault(part, np.random.default_rng([spec.seed, number, part]))
             for c in np.unique(client).tolist():
-                if clients is not None and c not in clients:
+                if c == _NOBODY or (clients is not None and c not in clients):
                     continue
                 mine = np.flatnonzero(client == c)
-                state = own.setdefault(c, start)
-                rows[c] = rows.get(c, 0) + len(mine)
+                state = own.setdefault((part, c), start)
+                rows[part, c] = rows.get((part, c), 0) + len(mine)
                 tally.add(c, _forward(x[mine], _layers(state.flat, spec))[-1], y[mine], weight[mine], spec)
                 if batch_rows is None:
                     _, g = loss_and_gradient(state.flat, x[mine], y[mine], weight[mine], spec)
-                    so_far = whole.setdefault(c, [0.0, 0.0])
-                    whole[c] = [so_far[0] + g, so_far[1] + weight[mine].sum()]
+                    so_far = whole.setdefault((part, c), [0.0, 0.0])
+                    whole[part, c] = [so_far[0] + g, so_far[1] + weight[mine].sum()]
                     continue
                 for _ in range(passes):
                     order = rng.permutation(mine)
-                    for at in range(0, len(order), batch_rows):
-                        some = order[at : at + batch_rows]
-                        _, g = loss_and_gradient(state.flat, x[some], y[some], weight[some], spec)
-                        state = state.step(g / max(weight[some].sum(), 1e-300), spec)
-                own[c] = state
-        for c, (g, total) in whole.items():
-            own[c] = own[c].step(g / max(total, 1e-300), spec)
-        for c, state in own.items():
-            yield _part(_WEIGHTS, c, state.vector() * rows[c])
+                    state = _trained(state, x[order], y[order], weight[order], batch_rows, spec)
+                own[part, c] = state
+        for piece, (g, total) in whole.items():
+            own[piece] = own[piece].step(g / max(total, 1e-300), spec)
+        ended: dict[int, np.ndarray] = {}
+        for (part, c), state in own.items():
+            ended[c] = ended.get(c, 0.0) + state.vector() * rows[part, c]
+        for c, vector in ended.items():
+            yield _part(_WEIGHTS, c, vector)
         yield from tally.parts()
 
     return run
@@ -274,10 +359,9 @@ def _judged(flat: np.ndarray, spec: MlpSpec):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally(spec.classes)
-        for batch in batches:
-            if batch.num_rows:
-                x, y, weight, client = _rows_of(batch, spec)
-                for c in np.unique(client).tolist():
+        for _, x, y, weight, client in (s for batch in batches for s in _stretches(batch, spec)):
+            for c in np.unique(client).tolist():
+                if c != _NOBODY:
                     mine = client == c
                     tally.add(c, _forward(x[mine], _layers(flat, spec))[-1], y[mine], weight[mine], spec)
         yield from tally.parts()
@@ -362,6 +446,8 @@ def fit_mlp(
     state = State.fresh(start_weights(spec))
     history: list[dict] = []
     best, best_flat = float("inf"), state.flat
+    if epochs > 1:
+        rows, validation = (None if df is None else _blocks(df, spec) for df in (rows, validation))
     stop = Patience(patience) if patience is not None else None
     for epoch in range(epochs):
         parts = gathered(rows).mapInArrow(_local(state, spec, epoch, batch_rows, 1, None), _SUMS)
@@ -401,6 +487,8 @@ def federated_average(
     """
     flat = start_weights(spec) if start is None else start
     history: list[dict] = []
+    if rounds > 1:
+        rows, validation = (None if df is None else _blocks(df, spec) for df in (rows, validation))
     for number in range(1, rounds + 1):
         kernel = _local(State.fresh(flat), spec, number, batch_rows, local_steps, tuple(clients))
         mean, found = _pass(gathered(rows).mapInArrow(kernel, _SUMS), spec, 3 * len(flat) + 1)

@@ -90,3 +90,34 @@ def test_rows_walk_alike_however_they_lie():
     for values in (bins, np.asfortranarray(bins)):
         assert tree.outputs()[tree.place(values)].tolist() == want
     assert tree.outputs()[tree.place(np.where(bins < 0, np.nan, bins), raw=True)].tolist() == want
+
+
+def test_epochs_read_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 2))
+    df = spark.createDataFrame([(x[i].tolist(), int(x[i, 0] > 0)) for i in range(3000)], "x array<double>, label int").repartition(4)
+    train, held = mlp.prepare_rows(df.where("x[1] < 0"), "x", "label"), mlp.prepare_rows(df.where("x[1] >= 0"), "x", "label")
+    sizes = [train.count(), held.count()]
+    read = _watched(mlp, monkeypatch)
+    spec = mlp.MlpSpec(2, 2, (8,), rate=0.02)
+    _, history = mlp.fit_mlp(train, spec, epochs=3, validation=held)
+    # the rows are read once; before, every epoch read them again
+    assert read[:2] == sizes and len(read) == 8 and max(read[2:]) <= 100
+    assert history[-1]["val_loss"] < history[0]["val_loss"]
+    # one epoch is not worth a table of blocks, and is the same training
+    once = mlp.fit_mlp(train, spec, epochs=1, validation=held)[1]
+    assert once == history[:1] or abs(once[0]["val_loss"] - history[0]["val_loss"]) < 1e-9
+
+
+def test_blocks_and_rows_train_alike_by_client(spark):
+    rng = np.random.default_rng(5)
+    rows = [(rng.normal(size=3).tolist(), int(rng.integers(0, 2)), [0, 1, None][i % 3]) for i in range(900)]
+    df = spark.createDataFrame(rows, "x array<double>, label int, client int")
+    train = mlp.prepare_rows(df, "x", "label", client="client")
+    spec = mlp.MlpSpec(3, 2, (4,), rate=0.1, loss="focal")
+    first, one = mlp.federated_average(train, spec, [0, 1], rounds=1, local_steps=2, batch_rows=16)
+    _, two = mlp.federated_average(train, spec, [0, 1], rounds=2, local_steps=2, batch_rows=16, validation=train)
+    assert abs(one[0]["loss"] - two[0]["loss"]) < 1e-12 and two[0]["n"] == 600
+    # rows of no client are in no score
+    assert two[1]["validation"]["all"]["n"] == 600 and set(two[1]["validation"]) == {"client_0", "client_1", "all"}
+    assert first.shape == mlp.start_weights(spec).shape
