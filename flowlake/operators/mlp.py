@@ -89,22 +89,32 @@ def _loss_gradient(z: np.ndarray, y: np.ndarray, weight: np.ndarray, spec: MlpSp
     return float((weight * -logp[rows, y]).sum()), weight[:, None] * (p - hot)
 
 
-def _slope(z: np.ndarray, y: np.ndarray, weight: np.ndarray, spec: MlpSpec) -> np.ndarray:
-    """The gradient of ``_loss_gradient`` without the loss."""
-    p = softmax_rows(z)
-    rows = np.arange(len(y))
+def _slope(z: np.ndarray, y: np.ndarray, at: np.ndarray, weight: np.ndarray | None, spec: MlpSpec) -> np.ndarray:
+    """The gradient of ``_loss_gradient`` without the loss, in the place of ``z``.
+
+    ``at`` has the positions of the true classes in ``z``, a row after the other; no ``weight`` is 1 everywhere.
+    """
     if spec.loss == "smoothing":
-        return _loss_gradient(z, y, weight, spec)[1]
+        return _loss_gradient(z, y, np.ones(len(y)) if weight is None else weight, spec)[1]
+    z -= np.maximum.reduce(z, axis=1, keepdims=True)
+    p = np.exp(z, out=z)
+    p /= np.add.reduce(p, axis=1, keepdims=True)
+    flat = p.reshape(-1)
+    true = flat.take(at)
     if spec.loss == "focal":
-        true = p[rows, y]
         pt = np.minimum(true, 1 - 1e-12)
-        lt = np.log(np.maximum(true, 1e-300))
-        slope = spec.gamma * (1 - pt) ** (spec.gamma - 1) * pt * lt - (1 - pt) ** spec.gamma
+        rest = 1 - pt
+        slope = spec.gamma * rest ** (spec.gamma - 1) * pt
+        slope *= np.log(np.maximum(true, 1e-300))
+        slope -= rest**spec.gamma
         np.negative(p, out=p)
-        p[rows, y] += 1.0
-        return (weight * slope)[:, None] * p
-    p[rows, y] -= 1.0
-    return weight[:, None] * p
+        flat[at] = 1.0 - true
+        p *= (slope if weight is None else weight * slope)[:, None]
+        return p
+    flat[at] = true - 1.0
+    if weight is not None:
+        p *= weight[:, None]
+    return p
 
 
 def loss_and_gradient(flat: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, spec: MlpSpec):
@@ -284,18 +294,26 @@ def _stretches(batch: pa.RecordBatch, spec: MlpSpec) -> Iterator[tuple]:
 def _trained(state: State, x: np.ndarray, y: np.ndarray, weight: np.ndarray, batch_rows: int, spec: MlpSpec) -> State:
     """The state after a step for each ``batch_rows`` rows in turn."""
     flat, mean, square, t = state.flat.copy(), state.mean.copy(), state.square.copy(), state.steps
-    gradient = np.empty(len(flat))
-    layers, parts = _layers(flat, spec), _layers(gradient, spec)
+    g, root = np.empty(len(flat)), np.empty(len(flat))
+    layers, parts = _layers(flat, spec), _layers(g, spec)
+    last = len(layers) - 1
+    even = bool((weight == 1.0).all())
+    true = np.arange(len(y)) % batch_rows * spec.classes + y
     for at in range(0, len(y), batch_rows):
         some = slice(at, at + batch_rows)
-        acts = _forward(x[some], layers)
-        delta = _slope(acts[-1], y[some], weight[some], spec)
-        for n in range(len(layers) - 1, -1, -1):
+        acts = [x[some]]
+        for n, (w, b) in enumerate(layers):
+            z = acts[-1] @ w
+            z += b
+            acts.append(np.maximum(z, 0.0, out=z) if n < last else z)
+        delta = _slope(acts.pop(), y[some], true[some], None if even else weight[some], spec)
+        for n in range(last, -1, -1):
             np.matmul(acts[n].T, delta, out=parts[n][0])
-            delta.sum(axis=0, out=parts[n][1])
+            np.add.reduce(delta, axis=0, out=parts[n][1])
             if n:
-                delta = (delta @ layers[n][0].T) * (acts[n] > 0)
-        g = gradient / max(weight[some].sum(), 1e-300)
+                delta = delta @ layers[n][0].T
+                delta *= acts[n] > 0
+        g /= max(len(acts[0]) if even else weight[some].sum(), 1e-300)
         if spec.decay:
             g += spec.decay * flat
         t += 1
@@ -305,10 +323,16 @@ def _trained(state: State, x: np.ndarray, y: np.ndarray, weight: np.ndarray, bat
         mean *= _KEEP
         mean += (1 - _KEEP) * g
         square *= _KEEP_SQUARES
-        square += (1 - _KEEP_SQUARES) * g * g
-        root = np.sqrt(square / (1 - _KEEP_SQUARES**t))
+        np.multiply(g, 1 - _KEEP_SQUARES, out=root)
+        root *= g
+        square += root
+        np.divide(square, 1 - _KEEP_SQUARES**t, out=root)
+        np.sqrt(root, out=root)
         root += _GUARD
-        flat -= spec.rate * (mean / (1 - _KEEP**t)) / root
+        np.divide(mean, 1 - _KEEP**t, out=g)
+        g *= spec.rate
+        g /= root
+        flat -= g
     return State(flat, mean, square, t)
 
 
