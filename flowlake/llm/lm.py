@@ -4,9 +4,10 @@ Words and word pairs are counted over the training rows. A pair's count c is hel
 ``1 + floor(log_b c)``: the filter contains the pair with every level up to its own, so a lookup
 probes level after level until one is missing. The filter holds every pair of at least ``LEAST``
 occurrences and grows with the corpus. Its upper levels, as many as fit ``FILTER_BYTES``, are
-broadcast; the levels below lie in a written table of parts of ``PART_BLOCKS`` blocks each, and
-the probes that the broadcast part cannot answer are shuffled to them. Frequent pairs are thus
-settled where the text is read, and no part is hot.
+broadcast; the levels below lie in a written table of parts of ``PART_BLOCKS`` blocks each, or more
+where there are many, and the probes that the broadcast part cannot answer are shuffled to them.
+Frequent pairs are thus settled where the text is read, and no part is hot. What is shuffled for each token, pairs to count
+and probes, goes as compressed byte planes.
 
     p(w | h) = max(c(hw) - D, 0) / c(h) + (1 - k) p0(w),   p0(w) = (c(w) + 1/2) / (N + (V + 1) / 2)
 
@@ -23,12 +24,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,21 +38,24 @@ from pyspark.sql.pandas.types import to_arrow_type
 from flowlake.llm.rows import arrow_map, mixed, picked, texts, words
 from flowlake.llm.rows import field as rows_field
 from flowlake.session import shuffle_width
-from flowlake.sources.durable import durable
+from flowlake.sources.durable import durable, shuffles_freed
 
 BASE = 1.5  # of the logarithm that makes levels
 LEAST = 2  # occurrences of a pair worth keeping
 DISCOUNT = 0.6
 FILTER_BYTES = 1 << 25  # bound of the broadcast levels of the filter
-PART_BLOCKS = 16  # blocks of a part of the written levels, 16 at most: 2 MB, what a probing task holds
+PART_BLOCKS = 16  # least and most blocks of a part of the written levels: 2 and 32 MB, what a probing task holds
+PART_BLOCKS_MOST = 256
+ROUNDS = 2  # documents with probes to shuffle are read in so many rounds, so that disk holds the probes of one
 FREQUENT = 1 << 20  # bound of the broadcast table of exact counts, in words; this at most
 _BITS_PER_KEY = 16
 _BLOCK_WORDS = 1 << 14
 _GROUP = 400_000  # tokens handled at once
 _CHUNK = 4_000_000  # tokens counted before partial counts leave the task
+_PART_TOKENS = 1 << 20  # tokens of the training rows for each part in which pairs are added up
 _MAX_LEVEL = 80
-_ROW_PROBES = 500  # probes a row, so that a batch of rows stays small
-_ROWS_AT_ONCE = 400  # rows of probes answered together
+_ROW_ITEMS = 4096  # pairs or probes a row, so that a batch of rows stays small
+_ROWS_AT_ONCE = 50  # rows of probes answered together
 
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _PAIR = np.uint64(0xA24BAED4963EE407)
@@ -106,10 +110,44 @@ def _grouped(batch: pa.RecordBatch):
         yield rows, np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
-def _counted(train: DataFrame, kernel, fields: list[T.StructField], *facts: Column) -> DataFrame:
-    """Partial counts of tasks added up. Tasks send one row for each distinct n-gram of some millions of tokens."""
-    parts = arrow_map(train, kernel, [T.StructField("gram", T.LongType()), T.StructField("n", T.LongType()), *fields])
-    return parts.repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"), *facts)
+def _runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the stretches of equal numbers, cut at _ROW_ITEMS."""
+    return _cut(np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])), len(numbers))
+
+
+def _cut(begin: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of stretches, none empty, that begin where the next ends, cut at _ROW_ITEMS."""
+    rows = -(-np.diff(np.append(begin, end)) // _ROW_ITEMS)
+    turn = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    begin = np.repeat(begin, rows) + turn * _ROW_ITEMS
+    return begin, np.append(begin[1:], end)
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of one length as byte planes (first bytes of all numbers, second bytes, ...), compressed where that helps.
+
+    Upper bytes are mostly alike; planes of random bytes stay as they are.
+    """
+    planes = [plane.tobytes() for c in columns for plane in c.view(np.uint8).reshape(len(c), -1).T]
+    packed = [pa.compress(plane, codec="zstd", asbytes=True) for plane in planes]
+    kept = [small if len(small) < len(plane) else plane for small, plane in zip(packed, planes)]
+    return np.array([len(columns[0]), *map(len, kept)], np.uint32).tobytes() + b"".join(kept)
+
+
+def _restored(data: bytes, *kinds: type | np.dtype) -> list[np.ndarray]:
+    """The columns that ``_squeezed`` packed, of the types given."""
+    types = [np.dtype(kind) for kind in kinds]
+    rows, *sizes = np.frombuffer(data, np.uint32, 1 + sum(t.itemsize for t in types)).tolist()
+    at, columns, sizes = 4 * (1 + len(sizes)), [], iter(sizes)
+    for kind in types:
+        out = np.empty((rows, kind.itemsize), np.uint8)
+        for i in range(kind.itemsize):
+            size = next(sizes)
+            plane = data[at : at + size]
+            out[:, i] = np.frombuffer(pa.decompress(plane, rows, codec="zstd") if size < rows else plane, np.uint8)
+            at += size
+        columns.append(out.view(kind).ravel())
+    return columns
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -131,30 +169,63 @@ def word_counts(train: DataFrame) -> DataFrame:
         if size:
             yield partial(held)
 
-    return durable(_counted(train, kernel, []), "words")
+    parts = arrow_map(train, kernel, [T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
+    return durable(parts.repartition("gram").groupBy("gram").agg(F.sum("n").alias("n")), "words")
 
 
 def pair_counts(train: DataFrame, model: Model) -> DataFrame:
     """The written ``(gram, n, at, context)`` of pairs with at least LEAST occurrences.
 
     ``at`` is the level of a context in the broadcast table; of others the hash stands in ``context``.
+    Most pairs occur once, so tasks send their counts packed: sorted runs of pairs, for each of many
+    parts of the hashes. A task adds up one part after the other, and only pairs that are kept become rows.
     """
-    shared = train.sparkSession.sparkContext.broadcast(model)
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    parts = max(1, -(-model.tokens // _PART_TOKENS))
+
+    # the least n-gram of each part of LogFrequencyFilter.block_of
+    least = np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], np.uint64)
 
     def partial(held: list[tuple]) -> pa.RecordBatch:
-        grams, at, context = (np.concatenate(c) for c in zip(*held))
+        grams, at, far = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        places = np.flatnonzero(at < 0)
         grams, first, n = np.unique(grams, return_index=True, return_counts=True)
-        at = at[first]
-        columns = [pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(at, mask=at < 0)]
-        columns.append(pa.array(context[first].view(np.int64), mask=at >= 0))
-        return pa.RecordBatch.from_arrays(columns, names=["gram", "n", "at", "context"])
+        n, at = n.astype(np.uint32), at[first]
+        far = far[np.searchsorted(places, first[at < 0])]
+        edges = np.searchsorted(grams, least)
+        part = np.flatnonzero(np.diff(np.append(edges, len(grams))))
+        begin, end = _cut(edges[part], len(grams))
+        steps = np.diff(grams, prepend=np.uint64(0))
+        steps[begin] = grams[begin]
+        columns = [
+            pa.array((np.searchsorted(edges, begin, side="right") - 1).astype(np.int32)),
+            pa.array([_squeezed(steps[lo:hi], n[lo:hi], at[lo:hi]) for lo, hi in zip(begin, end)]),
+            pa.array([c.tobytes() for c in np.split(far, np.cumsum(np.add.reduceat(at < 0, begin, dtype=np.int64))[:-1])]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[f.name for f in sent])
+
+    def total(held: list[tuple]) -> pa.RecordBatch:
+        grams, n, at, context = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        n = np.add.reduceat(n[order], first, dtype=np.int64)
+        kept = n >= LEAST
+        near = ~np.logical_or.reduceat(at[order] < 0, first)[kept]
+        at = np.maximum.reduceat(at[order], first)[kept].astype(np.int32)
+        context = np.maximum.reduceat(context[order], first)[kept]
+        columns = [pa.array(grams[first][kept].view(np.int64)), pa.array(n[kept])]
+        columns += [pa.array(at, mask=at < 0), pa.array(context, mask=near)]
+        return pa.RecordBatch.from_arrays(columns, names=[f.name for f in counted])
 
     def kernel(batches):
         held, size = [], 0
         for batch in batches:
             for _, tokens, ends in _grouped(batch):
                 found = shared.value.lookups(tokens, ends)
-                held.append((found.grams, found.at, found.before))
+                held.append((found.grams, found.at.astype(np.int8), found.before[found.at < 0]))
                 size += len(tokens)
                 if size >= _CHUNK:
                     yield partial(held)
@@ -162,9 +233,29 @@ def pair_counts(train: DataFrame, model: Model) -> DataFrame:
         if size:
             yield partial(held)
 
-    fields = [T.StructField("at", T.IntegerType()), T.StructField("context", T.LongType())]
-    counted = _counted(train, kernel, fields, F.max("at").alias("at"), F.max("context").alias("context"))
-    return durable(counted.where(F.col("n") >= LEAST), "pairs")
+    def adding(batches):
+        part, held = -1, []
+        for batch in batches:
+            for owner, data, contexts in zip(*(c.to_pylist() for c in batch.columns)):
+                if owner != part and held:
+                    yield total(held)
+                    held = []
+                part = owner
+                steps, n, at = _restored(data, np.uint64, np.uint32, np.int8)
+                context = np.full(len(at), np.iinfo(np.int64).min)
+                context[at < 0] = np.frombuffer(contexts, np.int64)
+                held.append((np.cumsum(steps), n, at, context))
+        if held:
+            yield total(held)
+
+    sent = [T.StructField("part", T.IntegerType()), T.StructField("pairs", T.BinaryType()), T.StructField("contexts", T.BinaryType())]
+    counted = [T.StructField(c, T.LongType()) for c in ("gram", "n", "context")]
+    counted.insert(2, T.StructField("at", T.IntegerType()))
+    tasks = min(parts, max(shuffle_width(spark), 64))
+    dealt = arrow_map(train, kernel, sent).repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
+    written = durable(arrow_map(dealt, adding, counted), "pairs")
+    shared.destroy()
+    return written
 
 
 def _level(n: Column) -> Column:
@@ -278,14 +369,19 @@ class Model:
     distinct: int  # V
     documents: int
     frequent: np.ndarray  # hashes of frequent words, sorted
-    frequent_n: np.ndarray
+    rank: np.ndarray  # of their counts among ``counts``
+    counts: np.ndarray  # different counts of frequent words, rising
     bits: np.ndarray  # the broadcast levels of the filter, from ``lowest`` up
     lowest: int = 1
     blocks: int = 0  # of the written levels below
+    part_blocks: int = PART_BLOCKS  # of them in a part
     held: np.ndarray = field(default_factory=lambda: np.zeros(_MAX_LEVEL + 1))  # k by level of the context
     pairs: int = 0  # pairs with at least LEAST occurrences, and those of them in the broadcast levels
     pairs_held: int = 0
 
+    def parts(self) -> int:
+        return -(-self.blocks // self.part_blocks)
+
     def uniform(self) -> float:
         return max(self.tokens + 0.5 * (self.distinct + 1), 0.5)
 
@@ -297,11 +393,12 @@ class Model:
             near = np.minimum(np.searchsorted(self.frequent, distinct), len(self.frequent) - 1)
             known = self.frequent[near] == distinct
             place[known] = near[known]
-            levels[known] = level_of(self.frequent_n[near[known]])
+            levels[known] = level_of(self.counts[self.rank[near[known]]])
         before = _contexts(tokens, ends)
         at = np.empty(len(tokens), np.int32)
         at[1:] = levels[where[:-1]]
         at[before == START] = level_of(np.array([self.documents]))[0]
+        place[place >= 0] = self.rank[place[place >= 0]]
         return Lookup(place[where], at, before, pair_hashes(before, tokens))
 
     def upper(self, grams: np.ndarray) -> np.ndarray:
@@ -311,7 +408,7 @@ class Model:
 
     def low(self, place: np.ndarray) -> np.ndarray:
         """p0 of words in the broadcast table."""
-        return (self.frequent_n[place] + 0.5) / self.uniform()
+        return (self.counts[place] + 0.5) / self.uniform()
 
     def full(self, place: np.ndarray, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """log10 of the probability of tokens whose word and context are in the broadcast table."""
@@ -324,7 +421,7 @@ class Model:
 class Lookup:
     """Tokens as the broadcast tables know them: places and levels are -1 outside."""
 
-    place: np.ndarray  # of the word in the table of frequent words
+    place: np.ndarray  # of the word's count among those of frequent words
     at: np.ndarray  # level of the context
     before: np.ndarray
     grams: np.ndarray
@@ -379,33 +476,38 @@ def _by_level(grams: DataFrame) -> list[tuple[int, int, int]]:
 
 def train_model(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT) -> tuple[Model, Tables]:
     """The model of ``train(text)`` and the tables that its scoring joins."""
-    known_words = word_counts(train)
-    singles = _by_level(known_words)
-    cut, frequent = 1, min(frequent, FREQUENT)
-    while sum(grams for q, grams, _ in singles if q >= cut) > frequent:
-        cut += 1
-    top = known_words.where(_level(F.col("n")) >= cut).toArrow()
-    hashes = top.column(0).to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    ends = known_words.where(F.col("gram") == F.lit(int(END.view(np.int64)))).first()
-    model = Model(
-        tokens=sum(n for _, _, n in singles),
-        distinct=sum(grams for _, grams, _ in singles),
-        documents=ends["n"] if ends else 0,
-        frequent=hashes[order],
-        frequent_n=top.column(1).to_numpy().astype(np.int64)[order],
-        bits=np.empty(0, np.uint64),
-    )
-    pairs = pair_counts(train, model)
-    levels = _by_level(pairs)
-    built, model.lowest = build_filter(pairs, [(q, grams) for q, grams, _ in levels], filter_bytes)
-    model.bits = built.bits
-    model.pairs = sum(grams for _, grams, _ in levels)
-    model.pairs_held = sum(grams for q, grams, _ in levels if q >= model.lowest)
-    model.blocks = _blocks_for(sum(q * grams for q, grams, _ in levels if q < model.lowest))
-    below = durable(_filled(pairs, F.col("level") < model.lowest, model.blocks), "filter") if model.blocks else None
-    model.held = _held_share(pairs, known_words, [(q, n) for q, _, n in singles])
-    return model, Tables(known_words, below)
+    with shuffles_freed(train.sparkSession):
+        known_words = word_counts(train)
+        singles = _by_level(known_words)
+        cut, frequent = 1, min(frequent, FREQUENT)
+        while sum(grams for q, grams, _ in singles if q >= cut) > frequent:
+            cut += 1
+        top = known_words.where(_level(F.col("n")) >= cut).toArrow()
+        hashes = top.column(0).to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        ends = known_words.where(F.col("gram") == F.lit(int(END.view(np.int64)))).first()
+        counts, rank = np.unique(top.column(1).to_numpy().astype(np.int64)[order], return_inverse=True)
+        model = Model(
+            tokens=sum(n for _, _, n in singles),
+            distinct=sum(grams for _, grams, _ in singles),
+            documents=ends["n"] if ends else 0,
+            frequent=hashes[order],
+            rank=rank.astype(np.int32),
+            counts=counts,
+            bits=np.empty(0, np.uint64),
+        )
+        pairs = pair_counts(train, model)
+        levels = _by_level(pairs)
+        built, model.lowest = build_filter(pairs, [(q, grams) for q, grams, _ in levels], filter_bytes)
+        model.bits = built.bits
+        model.pairs = sum(grams for _, grams, _ in levels)
+        model.pairs_held = sum(grams for q, grams, _ in levels if q >= model.lowest)
+        model.blocks = _blocks_for(sum(q * grams for q, grams, _ in levels if q < model.lowest))
+        # a document gets an answer from each part that it asks: past 64 parts these grow, until a task has its most to hold
+        model.part_blocks = min(max(-(-model.blocks // 64), PART_BLOCKS), PART_BLOCKS_MOST)
+        below = durable(_filled(pairs, F.col("level") < model.lowest, model.blocks), "filter", compression="zstd") if model.blocks else None
+        model.held = _held_share(pairs, known_words, [(q, n) for q, _, n in singles])
+        return model, Tables(known_words, below)
 
 
 def _per_row(numbers: np.ndarray, rows: np.ndarray) -> pa.ListArray:
@@ -414,7 +516,7 @@ def _per_row(numbers: np.ndarray, rows: np.ndarray) -> pa.ListArray:
 
 
 _LOOSE = ("word", "place", "context", "at", "pair")  # of tokens whose word or context needs a join
-_PROBE = ("doc", "probes", "words", "contexts")  # of tokens whose pair is looked for in a part
+_PROBE = ("words", "contexts")  # of tokens whose pair is looked for in a part
 
 
 def _settle(model: Model, place, at, pair, word, context, size: np.ndarray) -> list[pa.Array]:
@@ -425,7 +527,7 @@ def _settle(model: Model, place, at, pair, word, context, size: np.ndarray) -> l
     run = np.repeat(np.arange(len(size)), size)
     each = np.bincount(run[loose], minlength=len(size))
     counts = np.full(len(place), -1, np.int64)
-    counts[place >= 0] = model.frequent_n[place[place >= 0]]
+    counts[place >= 0] = model.counts[place[place >= 0]]
     lists = (word, counts, context, at.astype(np.int32), pair.astype(np.int32))
     return [pa.array(np.bincount(run, full, minlength=len(size))), *[_per_row(x[loose], each) for x in lists]]
 
@@ -441,35 +543,31 @@ def _scoring_fields(rows: DataFrame) -> list[T.StructField]:
 def _probe_fields() -> list[T.StructField]:
     long, whole = T.LongType(), T.IntegerType()
     fields = [T.StructField("part", whole), T.StructField("turn", whole), T.StructField("block", long), T.StructField("bits", T.BinaryType())]
-    kinds = (T.ArrayType(whole), T.ArrayType(long), T.ArrayType(long), T.ArrayType(long))
-    return fields + [T.StructField(c, k) for c, k in zip(_PROBE, kinds)]
+    return [*fields, T.StructField("probes", T.BinaryType()), *[T.StructField(c, T.ArrayType(long)) for c in _PROBE]]
 
 
-# A probe is one number, for probes are most of what is shuffled: from above, 32 bits of the n-gram, the block in its part,
-# the place in the table of frequent words plus 1, and the level of the context plus 1.
-_BLOCK_BITS, _PLACE_BITS, _AT_BITS = 4, 21, 7
+# A probe, as it is shuffled: 32 bits of the n-gram, the block in its part, the place of the word's count among those of
+# frequent words plus 1, and the level of the context plus 1. Bytes that are mostly alike take little room as planes.
+_PACKED = np.dtype([("gram", "<u4"), ("block", "<u2"), ("place", "<u4"), ("at", "u1")])
 
 
 def _packed(block: np.ndarray, grams: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = (grams & _INSIDE) << np.uint64(_BLOCK_BITS)
-    out = (out | block.astype(np.uint64)) << np.uint64(_PLACE_BITS)
-    out = (out | (place + 1).astype(np.uint64)) << np.uint64(_AT_BITS)
-    return out | (at + 1).astype(np.uint64)
+    out = np.empty(len(grams), _PACKED)
+    out["gram"], out["block"], out["place"], out["at"] = grams & _INSIDE, block, place + 1, at + 1
+    return out
 
 
 def _unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(block, n-gram in the block, place, level) of packed probes."""
+    place, at = (data[c].astype(np.int64) - 1 for c in ("place", "at"))
+    return data["block"].astype(np.int64), data["gram"].astype(np.uint64), place, at
 
-    def bits(above: int, width: int) -> np.ndarray:
-        return (data >> np.uint64(above)).astype(np.int64) & ((1 << width) - 1)
 
-    block = bits(_PLACE_BITS + _AT_BITS, _BLOCK_BITS)
-    return block, data >> np.uint64(32), bits(_AT_BITS, _PLACE_BITS) - 1, bits(0, _AT_BITS) - 1
+def _read_texts(rows: DataFrame, shared: Broadcast, turn: int = 0) -> DataFrame:
+    """A row for each document (``turn`` 2) with all that broadcast tables settle, and rows of probes (``turn`` 1) for the parts.
 
-
-def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
-    """A row for each document (``turn`` 2) with all that broadcast tables settle, and rows of probes (``turn`` 1) for the parts."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    ``shared`` is the broadcast model; keys of documents differ between rounds.
+    """
     scoring, probing = _scoring_fields(rows), _probe_fields()
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in [*scoring, *probing]])
 
@@ -477,34 +575,33 @@ def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
         arrays = [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows_in, f.type) for f in schema]
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    def probes(keys: np.ndarray, doc, found: Lookup, tokens, asked: np.ndarray, blocks: int):
-        block = LogFrequencyFilter.block_of(found.grams[asked], blocks)
-        order = np.argsort(block // PART_BLOCKS, kind="stable")
+    def probes(keys: np.ndarray, doc, found: Lookup, tokens, asked: np.ndarray, of: Model):
+        block = LogFrequencyFilter.block_of(found.grams[asked], of.blocks)
+        order = np.argsort(block // of.part_blocks, kind="stable")
         asked, block = asked[order], block[order]
-        part = block // PART_BLOCKS
-        new = np.append(True, part[1:] != part[:-1])
-        begin = np.flatnonzero(new)
-        inside = np.arange(len(part)) - np.repeat(begin, np.diff(np.append(begin, len(part))))
-        heads = np.flatnonzero(inside % _ROW_PROBES == 0)
-        size = np.diff(np.append(heads, len(part)))
-        row = np.repeat(np.arange(len(heads)), size)
+        part = block // of.part_blocks
+        heads, ends = _runs(part)
+        row = np.repeat(np.arange(len(heads)), ends - heads)
+        # probes of a row are in the order of their documents
+        step = np.diff(doc[asked], prepend=0)
+        step[heads] = doc[asked][heads]
         place, at = found.place[asked], found.at[asked]
         far_word, far_context = place < 0, at < 0
+        step, packed = step.astype(np.uint32), _packed(block % of.part_blocks, found.grams[asked], place, at)
         return batch_of(
             len(heads),
             key=pa.array(np.full(len(heads), keys[0])),
             part=pa.array(part[heads]),
             turn=pa.array(np.ones(len(heads), np.int32)),
-            doc=_per_row(doc[asked].astype(np.int32), size),
-            probes=_per_row(_packed(block % PART_BLOCKS, found.grams[asked], place, at).view(np.int64), size),
+            probes=pa.array([_squeezed(step[lo:hi], packed[lo:hi]) for lo, hi in zip(heads, ends)]),
             words=_per_row(tokens[asked][far_word].view(np.int64), np.bincount(row[far_word], minlength=len(heads))),
             contexts=_per_row(found.before[asked][far_context].view(np.int64), np.bincount(row[far_context], minlength=len(heads))),
         )
 
     def kernel(batches):
         of = shared.value
-        parts = -(-of.blocks // PART_BLOCKS)
-        number = TaskContext.get().partitionId() << 33
+        parts = of.parts()
+        number = (TaskContext.get().partitionId() * ROUNDS + turn) << 33
         for batch in batches:
             ids = batch.column(0)
             for some, tokens, ends in _grouped(batch):
@@ -535,32 +632,27 @@ def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
                 )
                 asked = np.flatnonzero((pair == 0) & (parts > 0))
                 if len(asked):
-                    yield probes(keys, doc, found, tokens, asked, of.blocks)
+                    yield probes(keys, doc, found, tokens, asked, of)
 
     return arrow_map(rows, kernel, [*scoring, *probing])
 
 
-def _probe_parts(read: DataFrame, model: Model, below: DataFrame) -> DataFrame:
+def _probe_parts(read: DataFrame, model: Model, shared: Broadcast, below: DataFrame) -> DataFrame:
     """The rows of ``read`` with probes answered. A task meets a part's blocks first, then streams what asks for them."""
-    spark = read.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    size, parts = model.part_blocks, model.parts()
     scoring = [read.schema[i] for i in range(6 + len(_LOOSE))]
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in scoring])
-    parts = -(-model.blocks // PART_BLOCKS)
-    number = F.call_function("div", F.col("block"), F.lit(PART_BLOCKS).cast("bigint")).cast("int")
+    number = F.call_function("div", F.col("block"), F.lit(size).cast("bigint")).cast("int")
     blocks = below.select(number.alias("part"), F.lit(0).alias("turn"), "block", "bits")
     rows = read.unionByName(blocks, allowMissingColumns=True)
-    tasks = min(parts, max(shuffle_width(spark), 64))
+    tasks = min(parts, max(shuffle_width(read.sparkSession), 64))
     dealt = rows.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", "turn")
 
     def answered(of: Model, bits: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
-        # probes of a row are in the order of their documents
-        doc, words_in, contexts_in, probes = (
-            rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("doc", "words", "contexts", "probes")
-        )
-        block, gram, place, at = _unpacked(probes.view(np.uint64))
-        size = pc.list_value_length(rows.column("doc")).to_numpy(zero_copy_only=False)
-        keys = np.repeat(rows.column("key").to_numpy(), size) + doc
+        words_in, contexts_in = (rows.column(c).flatten().to_numpy(zero_copy_only=False) for c in _PROBE)
+        sent = [_restored(data, np.uint32, _PACKED) for data in rows.column("probes").to_pylist()]
+        block, gram, place, at = _unpacked(np.concatenate([packed for _, packed in sent]))
+        keys = np.concatenate([key + np.cumsum(step, dtype=np.int64) for key, (step, _) in zip(rows.column("key").to_pylist(), sent)])
         pair = LogFrequencyFilter(bits).levels(gram, block)
         word, context = np.zeros((2, len(gram)), np.int64)
         word[place < 0], context[at < 0] = words_in, contexts_in
@@ -580,7 +672,7 @@ def _probe_parts(read: DataFrame, model: Model, below: DataFrame) -> DataFrame:
             edges = np.flatnonzero((np.diff(turn) != 0) | (np.diff(owner) != 0)) + 1
             for lo, hi in zip(np.append(0, edges), np.append(edges, len(turn))):
                 if owner[lo] != part:
-                    part, bits = owner[lo], np.zeros(PART_BLOCKS * _BLOCK_WORDS, np.uint64)
+                    part, bits = owner[lo], np.zeros(size * _BLOCK_WORDS, np.uint64)
                 if turn[lo] == 2:
                     yield batch.slice(lo, hi - lo).select(schema.names)
                 for at in range(lo, hi if turn[lo] < 2 else lo, _ROWS_AT_ONCE):
@@ -589,7 +681,7 @@ def _probe_parts(read: DataFrame, model: Model, below: DataFrame) -> DataFrame:
                         yield answered(of, bits, rows)
                         continue
                     for number, data in zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()):
-                        place = (number - int(part) * PART_BLOCKS) * _BLOCK_WORDS
+                        place = (number - int(part) * size) * _BLOCK_WORDS
                         bits[place : place + _BLOCK_WORDS] = np.frombuffer(data, np.uint64)
 
     return arrow_map(dealt, kernel, scoring)
@@ -618,9 +710,18 @@ def score(df: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id", t
     One pass reads the texts and settles what the broadcast tables know; probes for rarer pairs go to the parts of
     the filter, and words and contexts outside the broadcast table get their exact counts by a join.
     """
-    read = _read_texts(picked(df, id=id_col, text=text_col), model)
-    done = read if tables.filter is None else _probe_parts(read, model, tables.filter)
-    scored = durable(done.select("id", "key", "n_tokens", "base", "known", "full", *_LOOSE), "lm-scores")
+    rows = picked(df, id=id_col, text=text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    rounds, written = 1 if tables.filter is None else ROUNDS, []
+    with shuffles_freed(df.sparkSession):
+        for turn in range(rounds):
+            some = rows if rounds == 1 else rows.where(F.pmod(F.hash("id"), F.lit(rounds)) == turn)
+            done = _read_texts(some, shared, turn)
+            if tables.filter is not None:
+                done = _probe_parts(done, model, shared, tables.filter)
+            written.append(durable(done.select("id", "key", "n_tokens", "base", "known", "full", *_LOOSE), "lm-scores", compression="zstd"))
+    shared.destroy()
+    scored = reduce(DataFrame.unionByName, written)
     met = _with_counts(scored.select("key", F.explode(F.arrays_zip(*_LOOSE)).alias("t")).select("key", "t.*"), tables.words)
     none = F.lit(0).cast("bigint")
     low = (F.col("place") + 0.5) / F.lit(model.uniform())

@@ -1,7 +1,9 @@
+import glob
 import hashlib
 import math
 import os
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -288,3 +290,65 @@ def test_pipeline_stages(spark, small):
     pieces = corpus_pipeline.run(spark, small)
     sizes = {r["sequence_id"]: r["n"] for r in pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
     assert max(sizes.values()) <= 4096 and {r["doc_id"] for r in pieces.collect()} == counts[3]
+
+
+def test_pairs_and_probes_are_shuffled_packed():
+    rng = np.random.default_rng(6)
+    grams = np.sort(rng.integers(0, 2**64, 100_000, dtype=np.uint64))[:4096]
+    n, at = rng.zipf(3, 4096).astype(np.uint32), rng.integers(-1, 60, 4096).astype(np.int8)
+    steps = np.diff(grams, prepend=np.uint64(0))
+    sent = lm._squeezed(steps, n, at)
+    assert len(sent) < 9 * 4096
+    got = lm._restored(sent, np.uint64, np.uint32, np.int8)
+    assert all((a == b).all() for a, b in zip(got, (steps, n, at))) and (np.cumsum(got[0]) == grams).all()
+    probes = lm._packed(rng.integers(0, 16, 4096), grams, rng.integers(-1, 5000, 4096), at)
+    assert len(sent := lm._squeezed(probes)) < 8.2 * 4096
+    assert (lm._restored(sent, lm._PACKED)[0] == probes).all()
+    begin, end = lm._runs(np.repeat([3, 4, 9], [5000, 1, 4096]))
+    assert begin.tolist() == [0, 4096, 5000, 5001] and end.tolist() == [4096, 5000, 5001, 9097]
+    one = lm._squeezed(np.array([7], np.uint64))
+    assert lm._restored(one, np.uint64)[0].tolist() == [7]
+
+
+def test_pairs_are_added_up_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_PART_TOKENS", 50)
+    monkeypatch.setattr(lm, "_ROW_ITEMS", 3)
+    lines = ["a b a b", "b a rare b", None, "", "a b rare b", "x"] * 3
+    train = spark.createDataFrame([(t,) for t in lines], "text string").repartition(5)
+    for table in (lm.FREQUENT, 3, 0):
+        model, _ = lm.train_model(train, frequent=table)
+        got = {r["gram"]: r for r in lm.pair_counts(train, model).collect()}
+        want, context = Counter(), {}
+        counts = Counter(h for t in lines for h in lm.token_hashes((t or "").encode()).tolist())
+        for t in lines:
+            tokens = lm.token_hashes((t or "").encode())
+            before = lm._contexts(tokens, np.array([len(tokens)]))
+            for gram, h in zip(lm.pair_hashes(before, tokens).view(np.int64).tolist(), before.tolist()):
+                want[gram] += 1
+                context[gram] = h
+        assert {g: r["n"] for g, r in got.items()} == {g: n for g, n in want.items() if n >= lm.LEAST}
+        frequent = set(model.frequent.tolist())
+        for gram, r in got.items():
+            h = context[gram]
+            if h == int(lm.START) or h in frequent:
+                n = len(lines) if h == int(lm.START) else counts[h]
+                assert r["at"] == lm.level_of(np.array([n]))[0] and r["context"] is None
+            else:
+                assert r["at"] is None and r["context"] == int(np.array([h], np.uint64).view(np.int64)[0])
+
+
+def test_training_and_scoring_leave_no_shuffle_files(spark, small):
+    def files():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = files(), spark.conf.get(key, None)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model, tables = lm.train_model(docs.select("text"), filter_bytes=0)
+    scored = lm.score(docs, model, tables)
+    for _ in range(50):
+        if left := files() - before:
+            time.sleep(0.2)
+    assert tables.filter is not None and not left and spark.conf.get(key, None) == kept
+    assert scored.count() == docs.count() == scored.select("id").distinct().count()
