@@ -107,7 +107,9 @@ def _variants(fps: DataFrame, cuts: list[tuple[int, int]], side: int) -> DataFra
 def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     """``(a, b)`` with a < b: every pair of distinct ``fps.fp`` differing in at most ``bits`` places, once.
 
-    A pair is reported by its first segment with at most one difference only.
+    A pair is reported by its first segment with at most one difference only. The variants always
+    meet by a sort-merge join: Spark sizes them as if ``explode`` added no rows, some 34 to one,
+    and would broadcast them.
     """
     if not 0 <= bits < BITS // 2:
         raise ValueError("bits must lie in 0..31")
@@ -119,7 +121,7 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     for number, (shift, width) in enumerate(cuts[:-1]):
         earlier = F.bit_count(_segment(apart, shift, width)) <= 1
         found = found & ~((F.col("place") >= (number + 1) * 128) & earlier)
-    pairs = left.join(right, ["place", "rest"]).where(found)
+    pairs = left.join(right.hint("merge"), ["place", "rest"]).where(found)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

@@ -12,6 +12,7 @@ from llm_cases import awkward, empty  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from flowlake.llm import ego, simhash  # noqa: E402
 from flowlake.llm.components import components  # noqa: E402
+from flowlake.sources.durable import durable  # noqa: E402
 
 
 def plain_fingerprint(text):
@@ -109,6 +110,21 @@ def test_pipeline_stage_keeps_one_document_of_each_group(spark, small):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
 
 
+def test_pipeline_stage_joins_exploded_variants_without_a_broadcast(spark, small, monkeypatch):
+    written = {}
+
+    def watched(df, name="stage", **options):
+        out = durable(df, name, **options)
+        written[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr("flowlake.llm.components.durable", watched)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    corpus_pipeline.distinct(spark, spark.read.parquet(f"{small}/documents.parquet"), small)
+    assert "Generate explode" in written["edges"] and "SortMergeJoin" in written["edges"]
+    assert "Broadcast" not in written["edges"]
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int, node bigint, weight string"
 
 
