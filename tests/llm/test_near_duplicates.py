@@ -63,6 +63,18 @@ def test_links_find_every_close_pair_once(spark, bits):
     assert set(got) == want
 
 
+def test_links_broadcast_no_side_of_their_join(spark):
+    rng = random.Random(9)
+    values = [rng.getrandbits(63) for _ in range(300)]
+    nodes = durable(spark.createDataFrame([(v,) for v in [*values, *(v ^ 5 for v in values)]], "fp bigint"), "nodes")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    found = simhash.links(nodes)
+    assert {tuple(r) for r in found.collect()} == {(min(v, v ^ 5), max(v, v ^ 5)) for v in values}
+    # the plan as it ended, after adaptive changes, and as it began
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 def test_clusters_match_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
